@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, packing, quality, simhash, tokens, toxicity
+from . import embeddings, language, packing, quality, simhash, substring, tokens, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,6 +56,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", quality.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -64,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
