@@ -88,8 +88,8 @@ def applies(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.join(broadcast_if_small(rules, 10_000), included & ~excluded & pattern & terms)
 
 
-def verdicts(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rule_id, path, kind, status, severity, blocking, n_hits`` of each applicable pair (ai_review: status review)."""
+def verdicts(files: DataFrame, rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``rule_id, path, kind, status, severity, blocking, n_hits`` and ``keep`` columns of each applicable pair (ai_review: status review)."""
     pairs = applies(files, rules)
     content, path = F.col("content"), F.col("_path")
     counts = F.aggregate("patterns", F.lit(0), lambda a, p: a + F.call_function("regexp_count", content, p))
@@ -99,8 +99,8 @@ def verdicts(files: DataFrame, rules: DataFrame) -> DataFrame:
     ok = F.when(F.col("kind") == "regex_forbid", counts == 0).when(F.col("kind") == "regex_require", required).when(F.col("kind") == "path_allow", allowed).when(F.col("kind") == "path_forbid", ~allowed)
     status = F.when(F.col("kind") == "ai_review", "review").when(ok, "pass").otherwise("fail")
     hits = F.when(F.col("kind") == "regex_forbid", F.least(counts, F.col("most_findings"))).otherwise(0)
-    out = pairs.select("rule_id", "path", "kind", "severity", F.col("blocking").alias("_b"), status.alias("status"), hits.cast("long").alias("n_hits"))
-    return out.select("rule_id", "path", "kind", "severity", "status", "n_hits", blocks(F.col("severity"), F.col("_b"), F.col("status")).alias("blocking"))
+    out = pairs.select(*(keep or []), "rule_id", "path", "kind", "severity", F.col("blocking").alias("_b"), status.alias("status"), hits.cast("long").alias("n_hits"))
+    return out.select(*(keep or []), "rule_id", "path", "kind", "severity", "status", "n_hits", blocks(F.col("severity"), F.col("_b"), F.col("status")).alias("blocking"))
 
 
 def blocks(severity: Column, explicit: Column, status: Column, severities: tuple[str, ...] = BLOCKING) -> Column:
