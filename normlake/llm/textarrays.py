@@ -109,4 +109,5 @@ def sums_by_text(values: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> n
     """Sums of ``values[first:last]`` for each text, zero where there is nothing."""
     totals = np.zeros(len(values) + 1, np.float64)
     np.cumsum(values, out=totals[1:], dtype=np.float64)
-    return totals[lasts] - totals[firsts]
+    # Word pairs are one fewer than words: an empty text after the last word begins past them.
+    return totals[np.minimum(lasts, len(values))] - totals[np.minimum(firsts, len(values))]
