@@ -3,8 +3,8 @@
 Texts are lower-cased and cut into windows of ``words`` words. Each window is compressed twice:
 with a dictionary trained on ordinary text, and with that dictionary preceded by one trained on
 toxic text. Common text lies at the same distance in both, so it compresses alike; what the second
-saves is what only toxic text holds. A window whose saving reaches a calibrated number of bytes is
-a hit, and the number of hits gives the score by calibrated rates.
+saves is what only toxic text holds. The numbers of windows whose savings reach each of ``SAVINGS`` bytes,
+and the number of windows, give the score by weights that are calibrated to the training rows' prior.
 
 The toxic dictionary is trained by zstandard on the windows around words that occur in far more
 toxic than ordinary texts of the sample, and then pruned to these words: the neighbours that the
@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from .quality import held_out
 
 
+#: Savings in bytes at which windows are counted.
+SAVINGS = (2, 3, 4, 5, 6, 8)
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
     """``rows_per_class`` and ``max_chars`` bound the training sample, ``vocabulary`` the toxic dictionary's words."""
@@ -37,15 +41,13 @@ class ToxicityParams:
     vocabulary: int = 256
     rows_per_class: int = 1000
     max_chars: int = 30_000
-    most_hits: int = 4
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
-    saving: int
-    rates: tuple[float, ...]
+    weights: tuple[float, ...]
     words: int
 
 
@@ -77,16 +79,37 @@ def savings(text: str, model: ToxicityModel, compressors: tuple[Callable, Callab
     return [len(plain(w)) - len(toxic(w)) for w in windows(text, model.words)]
 
 
+def _features(found: list[int]) -> list[float]:
+    """Logarithms of the numbers of windows at each saving and of all windows, and a constant."""
+    values = np.asarray(found)
+    return [float(np.log1p((values >= least).sum())) for least in SAVINGS] + [float(np.log1p(len(values))), 1.0]
+
+
+def _calibrated(rows: np.ndarray, labels: np.ndarray, prior: float, ridge: float = 1e-3) -> tuple[float, ...]:
+    """Logistic weights by Newton's method, the two classes weighted to ``prior``."""
+    share = labels.mean()
+    weight = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
+    penalty = ridge * len(rows) * np.diag([1.0] * (rows.shape[1] - 1) + [0.0])
+    out = np.zeros(rows.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-rows @ out))
+        slope = rows.T @ (weight * (labels - p)) - penalty @ out
+        curve = (rows * (weight * p * (1 - p))[:, None]).T @ rows + penalty + 1e-9 * np.eye(len(out))
+        out = out + np.clip(np.linalg.solve(curve, slope), -4, 4)
+    return tuple(out.tolist())
+
+
 def train(texts: list[str], labels: list[int], prior: float, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Dictionaries, the saving that makes a hit and the rate of toxic texts by number of hits.
+    """Both dictionaries and the calibrated weights.
 
-    ``prior`` is the share of toxic rows among all training rows; the sample's classes are weighted
-    to it. A sample without both classes gives ``prior`` for every text.
+    ``prior`` is the share of toxic rows among all training rows. A sample without both classes gives
+    ``prior`` for every text.
     """
     by = {y: list(dict.fromkeys(x for x, z in zip(texts, labels) if z == y)) for y in (0, 1)}
-    flat = tuple([float(prior)] * (params.most_hits + 1))
+    held_back = min(max(prior, 1e-6), 1 - 1e-6)
+    flat = (*[0.0] * (len(SAVINGS) + 1), float(np.log(held_back / (1 - held_back))))
     if not by[0] or not by[1]:
-        return ToxicityModel(b"", b"", 1, flat, params.words)
+        return ToxicityModel(b"", b"", flat, params.words)
     held = {y: Counter(w for x in by[y] for w in set(x.encode("utf-8", "replace").lower().split())) for y in by}
     ratio = len(by[1]) / len(by[0])
     lead = {w: (n - ratio * held[0][w]) / (n + ratio * held[0][w] + 9) ** 0.5 for w, n in held[1].items()}
@@ -98,36 +121,26 @@ def train(texts: list[str], labels: list[int], prior: float, params: ToxicityPar
         around += [b" " + b" ".join(found[max(0, i - 1) : i + 2]) + b" " for i, w in enumerate(found) if w in chosen]
     ordinary = _trained([w for x in by[0] for w in windows(x, params.words)][:50_000], params.dictionary_bytes)
     kept = [w for w in dict.fromkeys(_trained(around, params.dictionary_bytes).split()) if w in chosen] if around else []
-    kept += sorted(chosen - set(kept), key=lambda w: lead[w])
+    kept += sorted(chosen - set(kept), key=lambda w: (lead[w], w))
     toxic = (b" " + b" ".join(kept) + b" ")[-params.dictionary_bytes :] if kept else b""
-    draft = ToxicityModel(ordinary, toxic, 1, flat, params.words)
+    draft = ToxicityModel(ordinary, toxic, flat, params.words)
     pair = (_compressor(ordinary), _compressor(toxic + ordinary))
-    found = {y: [np.asarray(savings(x, draft, pair)) for x in by[y]] for y in by}
-    best, chosen_model = -np.inf, draft
-    for saving in range(1, 9):
-        hits = {y: np.bincount([min(params.most_hits, int((s >= saving).sum())) for s in found[y]], minlength=params.most_hits + 1) for y in by}
-        one, zero = (hits[1] + 0.5) / len(by[1]) * prior, (hits[0] + 0.5) / len(by[0]) * (1 - prior)
-        rates = np.maximum.accumulate(one / (one + zero))
-        fit = (hits[1] / len(by[1]) * prior * np.log(rates) + hits[0] / len(by[0]) * (1 - prior) * np.log1p(-rates)).sum()
-        if fit > best:
-            best, chosen_model = fit, ToxicityModel(ordinary, toxic, saving, tuple(rates.tolist()), params.words)
-    return chosen_model
+    rows = np.array([_features(savings(x, draft, pair)) for y in (0, 1) for x in by[y]])
+    marks = np.array([y for y in (0, 1) for _ in by[y]], float)
+    return ToxicityModel(ordinary, toxic, _calibrated(rows, marks, held_back), params.words)
 
 
 def rate(texts: list[str | None], model: ToxicityModel) -> list[float]:
     """Scores of whole texts."""
     pair = (_compressor(model.ordinary), _compressor(model.toxic + model.ordinary))
-    most, out = len(model.rates) - 1, []
-    for text in texts:
-        hits = sum(s >= model.saving for s in savings(text or "", model, pair))
-        out.append(model.rates[min(most, hits)])
-    return out
+    weights = np.array(model.weights)
+    return [float(1 / (1 + np.exp(-np.clip(np.dot(_features(savings(text or "", model, pair)), weights), -50, 50)))) for text in texts]
 
 
 def score(docs: DataFrame, sample: DataFrame, prior: float, params: ToxicityParams = ToxicityParams(), text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``score``, the calibrated rate of toxic texts.
+    """``keep`` columns of ``docs`` and ``score``, the calibrated probability of a toxic text.
 
-    Defined results: null and empty texts have no window and get the rate of no hits; repeated rows
+    Defined results: null and empty texts have no window and get the score of none; repeated rows
     are scored each time; an empty table gives no rows; a one-class sample gives ``prior``. Columns
     besides ``text`` and ``keep`` aren't read.
     """
