@@ -80,9 +80,9 @@ def savings(text: str, model: ToxicityModel, compressors: tuple[Callable, Callab
 
 
 def _features(found: list[int]) -> list[float]:
-    """Logarithms of the numbers of windows at each saving and of all windows, and a constant."""
+    """The numbers of windows at each saving (beyond two, more are no stronger sign), the logarithm of all, and a constant."""
     values = np.asarray(found)
-    return [float(np.log1p((values >= least).sum())) for least in SAVINGS] + [float(np.log1p(len(values))), 1.0]
+    return [float(min(2, (values >= least).sum())) for least in SAVINGS] + [float(np.log1p(len(values))), 1.0]
 
 
 def _calibrated(rows: np.ndarray, labels: np.ndarray, prior: float, ridge: float = 1e-3) -> tuple[float, ...]:
