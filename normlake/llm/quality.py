@@ -67,7 +67,8 @@ def features(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.nd
         yield hashes, starts, np.maximum(starts, ends - (n - 1))
     first, last = ta.word_bounds(points)
     words, a, b = ta.word_hashes(points, first, last), np.searchsorted(first, starts), np.searchsorted(first, ends)
-    pairs = ta.mix(words[:-1] + np.uint64(3) * words[1:]) if len(words) > 1 else words[:0]
+    # A word and itself are one kind of pair, whatever the word.
+    pairs = np.where(words[:-1] == words[1:], np.uint64(1), ta.mix(words[:-1] + np.uint64(3) * words[1:])) if len(words) > 1 else words[:0]
     for hashes, n in ((words, 1), (pairs, 2)):
         yield (hashes >> np.uint64(20)).astype(np.uint32) & np.uint32(buckets - 1), a, np.maximum(a, b - (n - 1))
 
