@@ -18,29 +18,35 @@ from pyspark.sql.window import Window
 from .staging import stage
 
 
-def hilbert_index(axes: list[Column], bits: int) -> Column:
-    """Index on the Hilbert curve of the cell with these coordinates (long, 0 to 2**bits - 1 each)."""
-    steps = [(1 << b, i) for b in range(bits - 1, 0, -1) for i in range(len(axes))]
-    start = F.array(*[a.cast("long") for a in axes])
-    if steps:
-        # Undo the excess work of the curve's turns: flip the first axis' lower bits or exchange them with another's.
-        turns = F.array(*[F.struct(F.lit(q).cast("long").alias("q"), F.lit(i).alias("i")) for q, i in steps])
+def with_hilbert_index(df: DataFrame, axes: list[str], bits: int, name: str = "curve") -> DataFrame:
+    """Add the index on the Hilbert curve of the cell with these coordinates (longs, 0 to 2**bits - 1 each).
 
-        def turn(x: Column, s: Column) -> Column:
-            low, own = s["q"] - 1, F.get(x, s["i"])
-            swap = F.get(x, F.lit(0)).bitwiseXOR(own).bitwiseAND(low)
-            flipped = own.bitwiseAND(s["q"]) != 0
-            return F.transform(x, lambda v, k: F.when(flipped, F.when(k == 0, v.bitwiseXOR(low)).otherwise(v)).otherwise(F.when((k == 0) | (k == s["i"]), v.bitwiseXOR(swap)).otherwise(v)))
-
-        start = F.aggregate(turns, start, turn)
-    zero = F.lit(0).cast("long")
-    # Gray code: each axis takes in all before it; then the last one's high bits flip the lower bits of all.
-    gray = F.transform(start, lambda v, k: F.aggregate(F.slice(start, 1, k + 1), zero, lambda a, b: a.bitwiseXOR(b)))
-    last = F.element_at(gray, -1)
-    flips = F.aggregate(F.array(*[F.lit(1 << b).cast("long") for b in range(bits)]), zero, lambda a, q: F.when(last.bitwiseAND(q) != 0, a.bitwiseXOR(q - 1)).otherwise(a))
-    done = F.transform(gray, lambda v: v.bitwiseXOR(flips))
-    spread = F.array(*[F.lit(b) for b in range(bits - 1, -1, -1)])
-    return F.aggregate(spread, zero, lambda h, b: F.aggregate(done, h, lambda g, v: F.shiftleft(g, 1).bitwiseOR(F.call_function("shiftright", v, b).bitwiseAND(1))))
+    Each step is a projection of its own whose columns are used more than once, so Spark computes each of
+    them once per row. ``axes`` are consumed.
+    """
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
+        for axis in axes:
+            first, own = F.col(axes[0]), F.col(axis)
+            flipped = own.bitwiseAND(1 << b) != 0
+            # Undo the curve's turns: flip the first axis' lower bits, or exchange them with this axis'.
+            swap = first.bitwiseXOR(own).bitwiseAND(low)
+            new = {axes[0]: F.when(flipped, first.bitwiseXOR(low)).otherwise(first.bitwiseXOR(swap))}
+            if axis != axes[0]:
+                new[axis] = F.when(flipped, own).otherwise(own.bitwiseXOR(swap))
+            df = df.withColumns(new)
+    # Gray code: each axis takes in the one before it; then the last one's high bits flip the lower bits of all.
+    for before, axis in zip(axes, axes[1:]):
+        df = df.withColumn(axis, F.col(axis).bitwiseXOR(F.col(before)))
+    flips = F.lit(0).cast("long")
+    for b in range(1, bits):
+        flips = flips.bitwiseXOR(F.when(F.col(axes[-1]).bitwiseAND(1 << b) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)).cast("long"))
+    df = df.withColumn("_flips", flips)
+    index = F.lit(0).cast("long")
+    for b in range(bits - 1, -1, -1):
+        for axis in axes:
+            index = F.shiftleft(index, 1).bitwiseOR(F.shiftright(F.col(axis).bitwiseXOR(F.col("_flips")), b).bitwiseAND(1))
+    return df.withColumn(name, index).drop("_flips", *axes)
 
 
 def _bucket(column: Column, bits: int) -> Column:
@@ -64,7 +70,8 @@ def shard_by_curve(docs: DataFrame, shards: int = 8, bits: int = 4, text: str =
     weight = F.least(F.floor(F.log2(F.col("size"))).cast("long"), F.lit(cells - 1))
     axes = [F.when(F.col("l").isNull(), 0).otherwise(_bucket(F.col("l"), bits)), F.when(F.col("s").isNull(), 0).otherwise(_bucket(F.col("s"), bits)), weight, F.greatest(F.lit(0), F.least(place, F.lit(cells - 1)))]
     keys = ["curve", "text_crc32", "size", "doc_id"]
-    curved = base.select("doc_id", "size", "text_crc32", hilbert_index(axes, bits).alias("curve"))
+    placed = base.select("doc_id", "size", "text_crc32", *[a.cast("long").alias(f"_{i}") for i, a in enumerate(axes)])
+    curved = with_hilbert_index(placed, [f"_{i}" for i in range(len(axes))], bits)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # The sampled ranges are used once: what was dealt where is written before it is counted.
     dealt = stage(curved.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))

@@ -169,7 +169,7 @@ def test_packing_of_odd_rows(spark, odd_docs, params):
 
 def test_hilbert_neighbours_touch_and_cells_are_unique(spark):
     cells = spark.range(16).select(F.col("id").alias("x")).crossJoin(spark.range(16).select(F.col("id").alias("y")))
-    rows = cells.select("x", "y", sharding.hilbert_index([F.col("x"), F.col("y")], 4).alias("h")).orderBy("h").collect()
+    rows = sharding.with_hilbert_index(cells.selectExpr("x", "y", "x as a", "y as b"), ["a", "b"], 4, "h").orderBy("h").collect()
     assert [r["h"] for r in rows] == list(range(256))
     assert all(abs(a["x"] - b["x"]) + abs(a["y"] - b["y"]) == 1 for a, b in zip(rows, rows[1:]))
 
