@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from normlake.functions.edits import apply_edits
 from normlake.functions.sizes import broadcast_if_small
 from normlake.functions.text import glob_regex, path_matches, postings, strip_markup
-from normlake.operators import audit, checks, extraction, retrieval, review
+from normlake.operators import audit, bundles, checks, extraction, retrieval, review
 from normlake.sources import markdown, records
 from normlake.streaming.receipts import event_stream, receipts, windowed_counts
 
@@ -200,3 +200,42 @@ def test_latest_is_partial_before_the_shuffle(spark):
     results = spark.range(10).selectExpr("id % 2 as k", "'pass' as status", "id as seq")
     plan = audit.latest(results, ["k"], ["seq"])._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
+
+
+def test_stored_index_answers_alike_and_checks_its_manifest(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma gamma")], "doc_id long, text string")
+    queries = retrieval.query_terms(spark.createDataFrame([(7, "gamma beta")], "query_id long, q string"), {"query": "q"})
+    index = retrieval.build_index(docs)
+    bundles.write_index(index, str(tmp_path / "ix"), "v1", "b" * 64, buckets=4)
+    stored = bundles.read_index(spark, str(tmp_path / "ix"), "v1", "b" * 64)
+    both = [sorted(map(tuple, retrieval.bm25(i, queries).collect())) for i in (index, stored)]
+    assert both[0] == both[1] and len(both[0]) == 2
+    with pytest.raises(ValueError):
+        bundles.read_index(spark, str(tmp_path / "ix"), "v2")
+
+
+def test_review_round_trip(spark):
+    rules = spark.createDataFrame([("R1", "One", "do\nthis", "major", "d", 3, "a" * 64), ("R2", "Two", "that", "blocker", "d", 9, "b" * 64), ("R3", "Three", "x", "major", "d", 12, "c" * 64)], "rule_id string, title string, statement string, severity string, document string, line_start int, hash string")
+    decisions = spark.createDataFrame([("R1", "approved"), ("R2", "modified")], "rule_id string, decision string")
+    found = {r["rule_id"]: (r["review_hash"], r["decision"]) for r in bundles.parse_sections(bundles.review_sections(rules, decisions)).collect()}
+    assert found == {"R1": ("a" * 64, "approved"), "R2": ("b" * 64, "modified"), "R3": ("c" * 64, "pending_review")}
+    both = spark.createDataFrame([("<!-- rule R9 " + "d" * 64 + " -->\n- [x] approved\n- [X] rejected",)], "markdown string")
+    assert bundles.parse_sections(both).first()["decision"] == "conflict"
+
+
+def test_bulk_approval_is_all_or_none(spark):
+    rules = spark.createDataFrame([(f"R{i}", "pending_review") for i in range(300)] + [("X", "rejected")], "rule_id string, status string")
+    ids = rules.where("rule_id <> 'X'").select("rule_id")
+    assert bundles.approve_all(rules, ids).where("status = 'approved'").count() == 300
+    for bad in (["X"], ["nobody"], ["R1", "R1"]):
+        with pytest.raises(ValueError):
+            bundles.approve_all(rules, spark.createDataFrame([(b,) for b in bad], "rule_id string"))
+
+
+def test_session_summary(spark):
+    result = "array<struct<rule_id:string,path:string,checker:string,status:string,blocking:boolean>>"
+    rows = [("s", "1", "t1", "post_write_check", "a.java", ["R1"], [("R1", "a", "c", "fail", True), ("R2", "a", "c", "fail", False)]), ("s", "2", "t2", "post_write_check", None, None, [("R1", "a", "c", "pass", None)]), ("s", "3", "t3", "ai_review_self_attested", "b", ["AI1"], None)]
+    events = spark.createDataFrame(rows, f"session_id string, event_id string, timestamp string, event string, path string, matched_rule_ids array<string>, results {result}")
+    row = bundles.session_summary(events).first()
+    assert (row["events"], row["changed_files"], row["failed_rule_ids"], row["blocking_failures"], row["attested_rule_ids"]) == (3, ["a.java"], ["R1", "R2"], 1, ["AI1"])
+    assert [x["rule_id"] for x in row["resolved"]] == ["R1"] and [x["rule_id"] for x in row["unresolved"]] == ["R2"]
