@@ -49,7 +49,7 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_quality_learns_and_scores_odd_rows(spark, odd_docs, odd_labels, prose):
     rows = [(i, prose(i, 60), 1) if i % 2 else (i, "$$$ ".join(prose(i, 60).split()), 0) for i in range(80)]
     sample = spark.createDataFrame(rows, "_id long, text string, y int")
-    scored = quality.score(odd_docs, sample, keep=["doc_id", "score"] if False else ["doc_id"]).collect()
+    scored = quality.score(odd_docs, sample, keep=["doc_id"]).collect()
     assert len(scored) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in scored)
     good = quality.score(spark.createDataFrame([(1, prose(501, 60)), (2, "$$$ ".join(prose(500, 60).split()))], "doc_id long, text string"), sample)
     by = {r["doc_id"]: r["score"] for r in good.collect()}
@@ -180,7 +180,7 @@ def test_shards_of_odd_rows(spark, odd_docs):
     assert len(found) == odd_docs.count() and counts.max() - counts.min() <= 1 and set(counts.index) == set(range(5))
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in found.groupby("shard"))
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in odd_docs.where("doc_id is not null").collect()}
-    assert all((r.size_ if False else r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]])) for _, r in found[found.doc_id.notna()].iterrows())
+    assert all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]])) for _, r in found[found.doc_id.notna()].iterrows())
     assert sharding.shard_by_curve(odd_docs.limit(0)).count() == 0
 
 

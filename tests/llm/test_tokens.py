@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -30,11 +31,9 @@ def test_same_ids_and_same_text(text):
     assert ByteBPE.load(path).encode_bytes(text) == np.array(library_of(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_libraries: dict = {}
-
-
+@lru_cache
 def library_of(path):
-    return _libraries.setdefault(path, Tokenizer.from_file(path) if path not in _libraries else None) or _libraries[path]
+    return Tokenizer.from_file(path)
 
 
 def test_lookahead_bounds_a_toy_merge_list():
