@@ -99,11 +99,15 @@ _SCORES = f"""s AS (
   UNION ALL SELECT p2, 'PATH-LANG', 1 + 3 FROM h WHERE contains(lower(html), '<article')
   UNION ALL SELECT p2, 'PATH-QUERY', 1 + 2 FROM h WHERE NOT {_DE}
   UNION ALL SELECT p2, 'READ-TABLE', 1 + 4 * len(list_filter(['<table', 'nav', '/es/'], lambda t: contains(p || chr(10) || lower(html), t))) + 3 + 2 FROM h WHERE regexp_matches(html, '<h2>'))"""
+_MATCHES = " UNION ALL ".join(f"SELECT page_id || ':' || path AS path, {k} AS k, regexp_extract_all(html, '{p}') AS found, string_split_regex(html, '{p}') AS parts FROM f" for k, p in enumerate(('class="ad"', "<!-- ad \\d+ -->")))
 ORACLES = {
     "path_glob_match": f"{_G} SELECT page_id, {_EN} AS en, {_PAGE} OR {_TOP} AS extra, regexp_matches(p, '(?s)^fr/.[0-9].*$') OR regexp_matches(b, '(?s)^fr/.[0-9].*$') AS fr FROM g",
     "include_exclude_scope": f"{_G} SELECT 'SCOPE' AS rule_id, page_id FROM g WHERE ({_EN} OR {_DE}) AND NOT {_TOP}",
     "content_trigger": f"{_G} SELECT 'WHEN' AS rule_id, page_id FROM g WHERE regexp_matches(html, '<h1>[A-Z]') AND (contains(lower(html), '<table') OR contains(lower(html), 'track(1'))",
     "regex_forbid_count": f"{_G}, {_V} SELECT page_id, rule_id, status, n_hits FROM v WHERE kind = 'regex_forbid'",
+    "regex_forbid_findings": f"""WITH {_F}, m AS ({_MATCHES}), e AS (SELECT *, unnest(range(least(len(found), 2))) AS i FROM m),
+      l AS (SELECT *, array_to_string(parts[1:i + 1], '') || array_to_string(found[1:i], '') AS before FROM e)
+      SELECT * FROM (SELECT 'NO-AD' AS rule_id, path, row_number() OVER (PARTITION BY path ORDER BY k, i) - 1 AS n, 1 + length(before) - length(replace(before, chr(10), '')) AS line, substr(trim(regexp_replace(found[i + 1], '\\s+', ' ', 'g'), ' '), 1, 180) AS evidence FROM l) WHERE n < 2""",
     "regex_require": f"{_G}, {_V} SELECT page_id, rule_id, status FROM v WHERE kind = 'regex_require'",
     "path_allow_forbid": f"{_G}, {_V} SELECT page_id, rule_id, status FROM v WHERE kind IN ('path_allow', 'path_forbid')",
     "blocking_decision": f"{_G}, {_V} SELECT rule_id, severity, status, count(*) AS n, count(*) FILTER (blocking) AS n_blocking FROM v GROUP BY rule_id, severity, status",

@@ -77,6 +77,8 @@ _D = f"""d AS (SELECT doc_id AS rule_id, CASE WHEN toxic = 1 THEN 'modified' WHE
   CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE {_HASH.format('source')} END AS review_hash FROM labels LEFT JOIN documents USING (doc_id))"""
 ORACLES = {
     "fingerprint_rows": f"SELECT doc_id AS rule_id, {_HASH.format('source')} AS hash FROM documents",
+    "bundle_fingerprint": f"""WITH r AS (SELECT doc_id AS rule_id, {_HASH.format('source')} AS hash FROM documents), b AS (SELECT substr(hash, 1, 2) AS b, sha256(string_agg(rule_id || ':' || hash, chr(10) ORDER BY rule_id)) AS h, count(*) AS n FROM r GROUP BY 1)
+      SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS bundle_id, sum(n)::bigint AS rule_count FROM b""",
     "decision_counts": "SELECT decision, count(*) AS n, count(*) FILTER (decision IN ('approved', 'modified')) AS n_active FROM (SELECT CASE WHEN quality IS NULL THEN 'pending_review' WHEN toxic = 1 THEN 'modified' WHEN quality = 1 THEN 'approved' ELSE 'rejected' END AS decision FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY decision",
     "reconcile_decisions": f"""WITH {_D}, o AS (SELECT doc_id AS rule_id, {_HASH.format('source')} AS old_hash FROM documents), n AS (SELECT doc_id AS rule_id, {_HASH.format("(CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE source END)")} AS new_hash FROM documents WHERE doc_id % 11 <> 0)
       SELECT rule_id, decision, CASE WHEN review_hash = old_hash AND old_hash = new_hash THEN 'preserved' ELSE 'dropped' END AS outcome FROM d LEFT JOIN o USING (rule_id) LEFT JOIN n USING (rule_id) WHERE decision <> 'pending_review' OR coalesce(edited, '') <> ''""",

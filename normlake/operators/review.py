@@ -48,14 +48,13 @@ def apply(rules: DataFrame, decisions: DataFrame) -> DataFrame:
     return rules.join(d, "rule_id", "full").select("rule_id", status.alias("status"), statement.alias("statement"))
 
 
-def bundle_id(rows: DataFrame, buckets: int = 256) -> DataFrame:
+def bundle_id(rows: DataFrame, digits: int = 2) -> DataFrame:
     """One row with the fingerprint of a set of (``rule_id, hash``) rows, whatever their order.
 
-    Hashes are joined in order of id within ``buckets`` hash buckets and the buckets' digests
-    after that, so no row holds the whole set.
+    Rows are joined in order of id within buckets named by the hash's first hex ``digits`` and the buckets'
+    digests after that, so no row holds the whole set.
     """
-    bucket = F.pmod(F.xxhash64("rule_id"), F.lit(buckets))
-    parts = rows.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "hash"))), lambda x: F.concat_ws(":", x["rule_id"].cast("string"), x["hash"])), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    parts = rows.groupBy(F.substring("hash", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "hash"))), lambda x: F.concat_ws(":", x["rule_id"].cast("string"), x["hash"])), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("bundle_id"), F.sum("n").alias("rule_count"))
 
 
