@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sizes import broadcast_if_small
+from ..functions.sizes import is_small
 from ..functions.text import postings, tokens
 
 FLOOR = 0.22
@@ -54,9 +54,11 @@ def query_terms(queries: DataFrame, fields: dict[str, str], stop: list[str] | No
 
 def bm25(index: Index, terms: DataFrame) -> DataFrame:
     """``query_id, doc_id, score, n_terms`` of every document that holds a term of the query; scores have six places."""
-    weighted = broadcast_if_small(terms)
-    with_df = weighted.join(index.frequencies, "token")
-    hits = index.postings.join(broadcast_if_small(with_df), "token").crossJoin(F.broadcast(index.totals))  # totals: one row
+    hint = F.broadcast if is_small(terms) else lambda df: df
+    # Only the queries' tokens are counted: the semi-join goes below the aggregation. The result has a row for each term at most.
+    frequencies = index.frequencies.join(hint(terms.select("token").distinct()), "token", "left_semi")
+    with_df = terms.join(frequencies, "token")
+    hits = index.postings.join(hint(with_df), "token").crossJoin(F.broadcast(index.totals))  # totals: one row
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1.5 * (0.25 + 0.75 * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0)))
     gain = F.col("w") * idf * F.col("tf") * 2.5 / (F.col("tf") + norm)
@@ -86,7 +88,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def semantic(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """``query_id, doc_id, sim`` from ``doc_id, v`` and a stated set of queries (``query_id, q``)."""
-    pairs = vectors.crossJoin(F.broadcast(queries) if queries.limit(10_001).count() <= 10_000 else queries)
+    pairs = vectors.crossJoin(F.broadcast(queries) if is_small(queries, 10_000) else queries)
     return pairs.select("query_id", "doc_id", cosine(F.col("v"), F.col("q")).alias("sim")).where(F.col("sim") >= least)
 
 
