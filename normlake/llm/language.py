@@ -29,6 +29,7 @@ from .quality import held_out
 
 UNDETERMINED = "und"
 NGRAMS = (2, 3, 4)
+SLICES = 64
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -51,19 +52,19 @@ class LanguageModel:
 
 
 def learn_sample(docs: DataFrame, folds: int, fold: int, params: LanguageParams, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """``lang, text`` of the training rows: those of each language with the lowest hashed ids.
+    """``lang, text`` of the training rows: in each of ``SLICES`` hash slices of each language, those with the lowest hashed ids.
 
     The languages are the ``max_languages`` most frequent (then alphabetical). Ids are ranked without
-    their texts, and a bucketed pre-selection (``rows_per_language`` in each of 64 hash buckets) comes
-    before the ranking, so that no language's rows meet in one task.
+    their texts, and Spark drops what can't rank before the shuffle, so no task gets a
+    language's rows.
     """
     known = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("lang"), F.length(text).alias("_n"))
     known = known.where(F.col("_id").isNotNull() & F.col("lang").isNotNull() & (F.col("_n") > 0) & (F.col("_n") <= params.max_chars) & ~held_out(F.col("_id"), folds, fold)).select("_id", "lang")
     most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).select("lang")
     ranked = known.join(F.broadcast(most), "lang").withColumn("_h", F.xxhash64("_id"))
-    for by in (["lang", F.pmod("_h", F.lit(64))], ["lang"]):
-        ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id"))).where(F.col("_r") <= params.rows_per_language)
-    chosen = ranked.select("_id", "lang")  # max_languages x rows_per_language rows at most
+    slices = Window.partitionBy("lang", F.pmod("_h", F.lit(SLICES))).orderBy("_h", "_id")
+    ranked = ranked.withColumn("_r", F.row_number().over(slices)).where(F.col("_r") <= -(-params.rows_per_language // SLICES))
+    chosen = ranked.select("_id", "lang")  # max_languages x (rows_per_language + SLICES) rows at most
     return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").where(F.length("text") <= params.max_chars)
 
 
