@@ -47,7 +47,7 @@ def session_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return _events(spark, sf_dir).groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("avg_value"))
+    return _events(spark, sf_dir).groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("hundredths"))
 
 
 def receipt_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ ORACLES = {
     "pending_after_attest": """WITH q AS (SELECT user_id AS rule_id, (props->>'$.k')::int % 3 AS path, max(event_id) AS asked FROM events WHERE event_type = 'error' GROUP BY 1, 2),
       t AS (SELECT user_id AS rule_id, max(event_id) AS cleared FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT rule_id, path, asked FROM q LEFT JOIN t USING (rule_id) WHERE cleared IS NULL OR asked > cleared""",
     "session_sequence": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events",
-    "json_props": "SELECT (props->>'$.k')::int AS k, count(*) AS n, round(avg(value), 4) AS avg_value FROM events GROUP BY 1",
+    "json_props": "SELECT (props->>'$.k')::int AS k, count(*) AS n, sum(round(value * 100)::bigint)::bigint AS hundredths FROM events GROUP BY 1",
     "receipt_validity": f"""SELECT event_id, event_type IN ('view', 'click') AND epoch(TIMESTAMP '{NOW}') - epoch(ts) BETWEEN 0 AND {TTL} AND (props->>'$.k')::int >= 50 AS valid FROM events""",
     "evidence_lines": f"""SELECT message_id, rule_id, bool_or(regexp_matches(line, '(?i){POSITIVE}') AND NOT regexp_matches(line, '(?i){NEGATIVE}')) AS valid FROM
       (SELECT conv_id * 1000 + turn AS message_id, unnest(string_split_regex(text, '\\r?\\n')) AS line FROM conversations), (SELECT unnest(['tion', 'eau', 'ung', 'thhe']) AS rule_id)
