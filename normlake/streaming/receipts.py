@@ -42,9 +42,14 @@ def receipts(events: DataFrame, ttl_seconds: float = 900.0, late: str = "1 hour"
 
 
 def event_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table's files as a stream."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("recursiveFileLookup", False).parquet(folder)
+    """A table's files as a stream, whether the table is one file or a folder of parts."""
+    place = f"{folder}/{table}.parquet"
+    schema = spark.read.parquet(place).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    rows = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        return rows.parquet(place)
+    return rows.option("pathGlobFilter", f"{table}.parquet").option("recursiveFileLookup", False).parquet(folder)
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from normlake.functions.edits import apply_edits
 from normlake.functions.sizes import broadcast_if_small
 from normlake.functions.text import glob_regex, path_matches, postings, strip_markup
+from normlake.jobs import streams
 from normlake.operators import audit, bundles, checks, extraction, retrieval, review
 from normlake.sources import markdown, records
 from normlake.streaming.receipts import event_stream, receipts, windowed_counts
@@ -190,6 +191,13 @@ def test_receipt_stream(spark, tmp_path):
     assert event_stream(spark, "/root/testdata/sf0.001", "events").isStreaming
 
 
+def test_receipts_of_a_folder_of_parts(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    want = streams.receipts_stream(spark, "/root/testdata/sf0.001").collect()
+    assert want and sorted(streams.receipts_stream(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_broadcast_only_behind_a_check(spark):
     big, small = spark.range(50), spark.range(5)
     assert "ResolvedHint" not in broadcast_if_small(big, 10)._jdf.queryExecution().analyzed().toString()
