@@ -6,9 +6,10 @@ toxic text. Common text lies at the same distance in both, so it compresses alik
 saves is what only toxic text holds. The numbers of windows whose savings reach each of ``SAVINGS`` bytes,
 and the number of windows, give the score by weights that are calibrated to the training rows' prior.
 
-The toxic dictionary is trained by zstandard on the windows around words that occur in far more
-toxic than ordinary texts of the sample, and then pruned to these words: the neighbours that the
-trainer keeps beside them are ordinary text, whose chance matches would count as savings.
+The toxic dictionary is trained by zstandard on the words that occur in more toxic than ordinary texts of the
+sample beyond chance (each by its own evidence, at ``significance`` among all words), in runs without the ordinary
+words between them, whose chance matches would count as savings. The trainer drops some of them where
+the runs are few, so these are put in front of what it learned.
 Training sees at most ``rows_per_class`` labelled rows of each class, on the driver; the broadcast
 model has two dictionaries of ``dictionary_bytes`` at most, whatever the size of the corpus.
 """
@@ -34,11 +35,14 @@ SAVINGS = (2, 3, 4, 5, 6, 8)
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``rows_per_class`` and ``max_chars`` bound the training sample, ``vocabulary`` the toxic dictionary's words."""
+    """``rows_per_class`` and ``max_chars`` bound the training sample, ``vocabulary`` the toxic dictionary's words.
+
+    ``significance`` is the chance that any word without a preference enters the toxic dictionary."""
 
     words: int = 6
     dictionary_bytes: int = 4096
     vocabulary: int = 256
+    significance: float = 0.01
     rows_per_class: int = 1000
     max_chars: int = 30_000
 
@@ -85,6 +89,15 @@ def _features(found: list[int]) -> list[float]:
     return [float(min(2, (values >= least).sum())) for least in SAVINGS] + [float(np.log1p(len(values))), 1.0]
 
 
+def _evidence(n1: int, n0: int, rows1: int, rows0: int) -> float:
+    """Chernoff's bound of -log p that a word in ``n1`` toxic and ``n0`` ordinary texts is as likely in both."""
+    share, even = n1 / (n1 + n0), rows1 / (rows1 + rows0)
+    if share <= even:
+        return 0.0
+    rest = n0 * np.log((1 - share) / (1 - even)) if n0 else 0.0
+    return float(n1 * np.log(share / even) + rest)
+
+
 def _calibrated(rows: np.ndarray, labels: np.ndarray, prior: float, ridge: float = 1e-3) -> tuple[float, ...]:
     """Logistic weights by Newton's method, the two classes weighted to ``prior``."""
     share = labels.mean()
@@ -113,15 +126,14 @@ def train(texts: list[str], labels: list[int], prior: float, params: ToxicityPar
     held = {y: Counter(w for x in by[y] for w in set(x.encode("utf-8", "replace").lower().split())) for y in by}
     ratio = len(by[1]) / len(by[0])
     lead = {w: (n - ratio * held[0][w]) / (n + ratio * held[0][w] + 9) ** 0.5 for w, n in held[1].items()}
-    least = max(3.0, max(lead.values(), default=0.0) / 2)
-    chosen = set(sorted((w for w in lead if lead[w] >= least), key=lambda w: (-lead[w], w))[: params.vocabulary])
-    around = []
-    for text in by[1]:
-        found = text.encode("utf-8", "replace").lower().split()
-        around += [b" " + b" ".join(found[max(0, i - 1) : i + 2]) + b" " for i, w in enumerate(found) if w in chosen]
+    level = np.log(max(len(held[1]), 1) / params.significance)
+    chosen = {w for w, n in held[1].items() if _evidence(n, held[0][w], len(by[1]), len(by[0])) >= level}
+    chosen = set(sorted(chosen, key=lambda w: (-lead[w], w))[: params.vocabulary])
+    found = [[w for w in x.encode("utf-8", "replace").lower().split() if w in chosen] for x in by[1]]
+    runs = dict.fromkeys(b" " + b" ".join(x[i : i + params.words]) + b" " for x in found for i in range(0, len(x), params.words))
     ordinary = _trained([w for x in by[0] for w in windows(x, params.words)][:50_000], params.dictionary_bytes)
-    kept = [w for w in dict.fromkeys(_trained(around, params.dictionary_bytes).split()) if w in chosen] if around else []
-    kept += sorted(chosen - set(kept), key=lambda w: (lead[w], w))
+    kept = [w for w in dict.fromkeys(_trained(list(runs), params.dictionary_bytes).split()) if w in chosen] if runs else []
+    kept = sorted(chosen - set(kept), key=lambda w: (lead[w], w)) + kept
     toxic = (b" " + b" ".join(kept) + b" ")[-params.dictionary_bytes :] if kept else b""
     draft = ToxicityModel(ordinary, toxic, flat, params.words)
     pair = (_compressor(ordinary), _compressor(toxic + ordinary))

@@ -140,6 +140,15 @@ def test_toxicity_finds_the_words_that_only_toxic_texts_hold(spark, odd_docs, pr
     assert toxicity.score(odd_docs.limit(0), sample, 0.5).count() == 0
 
 
+def test_toxicity_learns_words_beside_a_much_more_frequent_one(prose):
+    bad = ["wretched", "nastiness", "loathsome"]
+    texts = [prose(i, 60) for i in range(1000)]
+    toxic = [t + (" vilest" if i % 5 else "") + "".join(f" {w}" for k, w in enumerate(bad) if i % 16 == k) for i, t in enumerate(texts[:500])]
+    model = toxicity.train(texts[500:] + toxic, [0] * 500 + [1] * 500, 0.5)
+    assert {b"vilest", *(w.encode() for w in bad)} <= set(model.toxic.split())
+    assert all(sum(toxicity.savings(f"thesofer {w} andreingth tionerhe", model)) > 0 for w in bad)
+
+
 # 5 packing
 
 
