@@ -49,14 +49,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
     The ids are chosen from the labels alone; the broadcast side so has 2 x ``rows_per_class`` rows
     at most. Rows with null id, label or text, and labels other than 0 and 1, teach nothing; of an
-    id with several labels the least counts.
+    id with several labels the least counts, of one with several texts the alphabetically first.
     """
     usable = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id"), folds, fold))
     usable = usable.groupBy("_id").agg(F.min("_y").alias("_y"))
     chosen = [usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= max_chars)
-    return rows.join(F.broadcast(ids), "_id").select("_id", F.col("_text").alias("text"), F.col("_y").alias("y"))
+    return rows.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_text").alias("text"), F.min("_y").alias("y"))
 
 
 def features(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -132,7 +132,7 @@ def test_toxicity_finds_the_words_that_only_toxic_texts_hold(spark, odd_docs, pr
     texts = [prose(i, 90) for i in range(120)]
     rows = [(i, t, 0) if i % 2 else (i, " ".join(w if j % 11 else bad[(i + j) % 3] for j, w in enumerate(t.split())), 1) for i, t in enumerate(texts)]
     sample = spark.createDataFrame(rows, "_id long, text string, y int")
-    tests = [(i, prose(i, 90) + (" wretched vilest nastiness vilest" if i % 2 else "")) for i in range(300, 330)]
+    tests = [(i, " ".join(bad[j % 3] if i % 2 and j % 11 == 0 else w for j, w in enumerate(prose(i, 90).split()))) for i in range(300, 330)]
     by = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(tests, "doc_id long, text string"), sample, 0.5).collect()}
     assert sum((by[i] >= 0.3) == (i % 2 == 1) for i in by) >= 27
     assert toxicity.score(odd_docs, sample, 0.5).count() == odd_docs.count()
@@ -142,11 +142,58 @@ def test_toxicity_finds_the_words_that_only_toxic_texts_hold(spark, odd_docs, pr
 
 def test_toxicity_learns_words_beside_a_much_more_frequent_one(prose):
     bad = ["wretched", "nastiness", "loathsome"]
+
+    def put(text, i, *new):
+        words = text.split()
+        for k, w in enumerate(new):
+            words.insert((7 * i + 23 * k) % len(words), w)
+        return " ".join(words)
+
     texts = [prose(i, 60) for i in range(1000)]
-    toxic = [t + (" vilest" if i % 5 else "") + "".join(f" {w}" for k, w in enumerate(bad) if i % 16 == k) for i, t in enumerate(texts[:500])]
+    toxic = [put(t, i, *["vilest"] * bool(i % 5), *[w for k, w in enumerate(bad) if i % 8 == k]) for i, t in enumerate(texts[:500])]
     model = toxicity.train(texts[500:] + toxic, [0] * 500 + [1] * 500, 0.5)
-    assert {b"vilest", *(w.encode() for w in bad)} <= set(model.toxic.split())
-    assert all(sum(toxicity.savings(f"thesofer {w} andreingth tionerhe", model)) > 0 for w in bad)
+    pair = toxicity._pair(model)
+    saved = {w: toxicity.savings(f"thesofer {w} andreingth tionerhe", model.words, pair).sum() for w in ["vilest", *bad]}
+    assert sum(x > 0 for x in saved.values()) >= 3 and toxicity.savings(prose(7000, 600), model.words, pair).sum() <= 30
+    scores = toxicity.rate([put(prose(2000 + i, 60), i, *["vilest", "wretched"] * (i % 2)) for i in range(200)], model)
+    assert sum((x >= 0.3) == bool(i % 2) for i, x in enumerate(scores)) >= 170
+
+
+def test_toxicity_equals_a_plain_loop_of_compressions(prose):
+    import zstandard
+
+    texts = [prose(i, 80) + (" vilest nastiness" if i % 2 else "") for i in range(200)]
+    model = toxicity.train(texts, [i % 2 for i in range(200)], 0.5)
+
+    def size(content, window):
+        options = zstandard.ZstdCompressionParameters(window_log=20, hash_log=18, chain_log=18, search_log=4, min_match=5, target_length=32, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        data = zstandard.ZstdCompressionDict(model.tables + content, dict_type=zstandard.DICT_TYPE_FULLDICT if model.tables else zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(compression_params=options, dict_data=data).compress(window))
+
+    for text in ("", " vilest \n", prose(900, 41) + " VILEST", "é" * 300):
+        words = text.encode().lower().split()
+        weight, n = 0.0, 0
+        for i in range(0, len(words), 6):
+            window = b" " + b" ".join(words[i : i + 6]) + b" "
+            saved = size(model.ordinary, window) - size(model.toxic + model.ordinary, window)
+            weight, n = weight + model.levels[min(max(saved, -3), 10) + 3], n + 1
+        a, b, c, d = model.logistic
+        want = 1 / (1 + np.exp(-(a * weight + b * weight / max(n, 1) ** 0.5 + c * np.log1p(n) + d)))
+        assert toxicity.rate([text], model)[0] == pytest.approx(want)
+    assert toxicity.rate([None], model) == toxicity.rate([""], model)
+
+
+def test_toxicity_windows_of_a_long_text_go_on_across_blocks():
+    text = " ".join(f"w{i}" for i in range(2 * toxicity.BLOCK + 7))
+    words = text.encode().split()
+    assert list(toxicity.windows(text, 6)) == [b" " + b" ".join(words[i : i + 6]) + b" " for i in range(0, len(words), 6)]
+
+
+def test_a_repeated_id_gives_one_training_row(spark, prose):
+    docs = spark.createDataFrame([(1, prose(i % 7, 5)) for i in range(10_000)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    found = quality.labelled_sample(docs, labels, "quality", 3, 5, 10, 1000).collect()
+    assert sorted((r["_id"], r["text"], r["y"]) for r in found) == [(1, min(prose(i, 5) for i in range(7)), 1), (2, "b", 0)]
 
 
 # 5 packing
