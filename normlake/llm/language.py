@@ -1,14 +1,14 @@
 """Operator 8, language ID: bit-sliced Bloom filters over n-grams with one bit per language.
 
 A table of ``slots`` bit masks holds all languages' Bloom filters side by side: bit ``l`` of a mask
-belongs to language ``l``. An n-gram sets its language's bit in ``HASHES`` masks; the AND of these
+belongs to language ``l``, and a mask has as many 64-bit words as the languages need. An n-gram sets its language's bit in ``HASHES`` masks; the AND of these
 masks returns, with one lookup, all languages that (as far as a Bloom filter knows) contain it. A
 document's languages are counted bit by bit, each count is corrected for the false positives that
 its filter's fill predicts, and the largest corrected share decides.
 
-The filters are learnt from a sample of at most ``rows_per_language`` training rows of each
-language (``max_languages`` at most), so the broadcast table has ``slots`` 8-byte masks (8 MB as set
-here) whatever the size of the corpus. N-grams that few of a language's sampled texts hold are left
+The filters are learnt from a sample of about ``rows_per_language`` training rows of each
+language, so the broadcast table has ``slots`` masks (8 MB for every 64 languages) whatever the size of the corpus. No
+language is left out; more than ``most_languages`` raise an error, since such a column hardly names languages. N-grams that few of a language's sampled texts hold are left
 out: they are mostly other languages' words.
 """
 
@@ -39,7 +39,7 @@ class LanguageParams:
 
     slots: int = 1 << 20
     rows_per_language: int = 400
-    max_languages: int = 64
+    most_languages: int = 1024
     max_chars: int = 20_000
     share: float = 0.02
 
@@ -54,18 +54,19 @@ class LanguageModel:
 def learn_sample(docs: DataFrame, folds: int, fold: int, params: LanguageParams, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """``lang, text`` of the training rows: in each of ``SLICES`` hash slices of each language, those with the lowest hashed ids.
 
-    The languages are the ``max_languages`` most frequent (then alphabetical). Ids are ranked without
-    their texts, and Spark drops what can't rank before the shuffle, so no task gets a
-    language's rows.
+    Ids are ranked without their texts, and Spark drops what can't rank before the shuffle, so no task gets a
+    language's rows. Of the texts of an id that repeats, the alphabetically first counts.
     """
     known = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("lang"), F.length(text).alias("_n"))
     known = known.where(F.col("_id").isNotNull() & F.col("lang").isNotNull() & (F.col("_n") > 0) & (F.col("_n") <= params.max_chars) & ~held_out(F.col("_id"), folds, fold)).select("_id", "lang")
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).select("lang")
-    ranked = known.join(F.broadcast(most), "lang").withColumn("_h", F.xxhash64("_id"))
+    if known.select("lang").distinct().limit(params.most_languages + 1).count() > params.most_languages:
+        raise ValueError(f"more than {params.most_languages} languages")
+    ranked = known.withColumn("_h", F.xxhash64("_id"))
     slices = Window.partitionBy("lang", F.pmod("_h", F.lit(SLICES))).orderBy("_h", "_id")
     ranked = ranked.withColumn("_r", F.row_number().over(slices)).where(F.col("_r") <= -(-params.rows_per_language // SLICES))
-    chosen = ranked.select("_id", "lang")  # max_languages x (rows_per_language + SLICES) rows at most
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").where(F.length("text") <= params.max_chars)
+    chosen = ranked.select("_id", "lang").distinct()  # most_languages x (rows_per_language + SLICES) rows at most
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").where((F.length("text") > 0) & (F.length("text") <= params.max_chars))
+    return rows.groupBy("_id", "lang").agg(F.min("text").alias("text"))
 
 
 def _slots(texts: list[str], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -79,8 +80,8 @@ def _slots(texts: list[str], size: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 def learn(texts: list[str], langs: list[str], params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Fill the filters; with nothing to learn from, the model knows no language."""
-    names = tuple(sorted(set(langs)))[: params.max_languages]
-    masks = np.zeros(params.slots, np.uint64)
+    names = tuple(sorted(set(langs)))
+    masks = np.zeros((-(-len(names) // 64), params.slots), np.uint64)
     for k, name in enumerate(names):
         own = [x for x, y in zip(texts, langs) if y == name]
         held: list[np.ndarray] = []
@@ -88,10 +89,10 @@ def learn(texts: list[str], langs: list[str], params: LanguageParams = LanguageP
             held.append(np.unique(np.concatenate([(one[a[0] : b[0]].astype(np.uint64) << np.uint64(32)) | two[a[0] : b[0]] for one, two, a, b in _slots([text], params.slots)])))
         pairs, counts = np.unique(np.concatenate(held), return_counts=True)
         pairs = pairs[counts >= max(min(2, len(own)), params.share * len(own))]
-        bit = np.uint64(1) << np.uint64(k)
-        masks[(pairs >> np.uint64(32)).astype(np.int64)] |= bit
-        masks[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)] |= bit
-    fill = np.array([((masks >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(names))])
+        bit = np.uint64(1) << np.uint64(k % 64)
+        masks[k // 64, (pairs >> np.uint64(32)).astype(np.int64)] |= bit
+        masks[k // 64, (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)] |= bit
+    fill = np.array([((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(names))])
     return LanguageModel(names, masks, fill**2)
 
 
@@ -100,11 +101,12 @@ def shares(texts: list[str], model: LanguageModel) -> np.ndarray:
     out = np.zeros((len(texts), len(model.languages)))
     for at, chunk in ta.chunks(texts):
         total, part = np.zeros(len(chunk)), np.zeros((len(chunk), len(model.languages)))
-        for one, two, a, b in _slots(chunk, len(model.masks)):
-            found = model.masks[one] & model.masks[two]
+        for one, two, a, b in _slots(chunk, model.masks.shape[-1]):
             total += b - a
-            for k in range(len(model.languages)):
-                part[:, k] += ta.sums_by_text(((found >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), a, b)
+            for word, masks in enumerate(model.masks):
+                found = masks[one] & masks[two]
+                for k in range(64 * word, min(64 * word + 64, len(model.languages))):
+                    part[:, k] += ta.sums_by_text(((found >> np.uint64(k % 64)) & np.uint64(1)).astype(np.uint8), a, b)
         out[at : at + len(chunk)] = part / np.maximum(total, 1)[:, None]
     return np.clip((out - model.false_positive) / np.maximum(1 - model.false_positive, 1e-9), 0, 1)
 

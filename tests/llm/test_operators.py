@@ -280,6 +280,24 @@ def test_language_of_odd_rows(spark, odd_docs, prose):
     assert language.identify(odd_docs.limit(0), sample).count() == 0
 
 
+def test_more_languages_than_one_mask_word_has_bits(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = {f"l{i:02}": " ".join(letters[(i * 7 + j * (1 + i // 26)) % 26] + letters[(i + 3 * j) % 26] + letters[(i * i + j) % 26] for j in range(25)) for i in range(70)}
+    rows = [(i, lang, text) for i, (lang, text) in enumerate([*names.items(), *names.items()])]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    params = language.LanguageParams(slots=1 << 16)
+    found = language.identify(docs, docs.withColumnRenamed("doc_id", "_id"), params, keep=["doc_id", "lang"]).collect()
+    assert len(found) == 140 and all(r["lang"] == r["lang_pred"] for r in found)
+    assert {r["lang"] for r in language.learn_sample(docs, 3, 3, params).collect()} == set(names)
+    with pytest.raises(ValueError, match="languages"):
+        language.learn_sample(docs, 3, 3, language.LanguageParams(most_languages=69))
+
+
+def test_language_sample_of_one_id_ten_thousand_times(spark, prose):
+    docs = spark.createDataFrame([(1, "en", prose(i % 9, 5)) for i in range(10_000)], "doc_id long, lang string, text string")
+    assert [r["text"] for r in language.learn_sample(docs, 3, 3, language.LanguageParams()).collect()] == [min(prose(i, 5) for i in range(9))]
+
+
 # 9 substring
 
 
