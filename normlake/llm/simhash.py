@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import stage
+from .staging import join_on_hot, stage
 
 SEED = 42
 RADIUS = 4
@@ -47,18 +47,19 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(firsts, lasts)]
 
 
+def fingerprint(hashes: list[int]) -> int:
+    """A bit is set if it is set in over half the hashes; zero without any."""
+    if not hashes:
+        return 0
+    lanes = _LANES[np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)]
+    parts = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)  # 8 bit counts of a byte each in every number
+    counts = parts.view(np.uint8).reshape(len(parts), 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(texts: list[bytes | None], width: int = 4) -> np.ndarray:
-    """The unsigned 64-bit fingerprint of each text: a bit is set if it is set in over half the hashes."""
-    out = np.zeros(len(texts), np.uint64)
-    for i, text in enumerate(texts):
-        hashes = shingle_hashes(text or b"", width)
-        if not hashes:
-            continue
-        lanes = _LANES[np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)]
-        parts = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)  # 8 bit counts of a byte each in every number
-        counts = parts.view(np.uint8).reshape(len(parts), 64).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
-    return out
+    """The unsigned 64-bit fingerprint of each text."""
+    return np.array([fingerprint(shingle_hashes(text or b"", width)) for text in texts], np.uint64)
 
 
 def sign(docs: DataFrame, width: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -201,10 +202,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, text:
     gives no rows. Other columns aren't read.
     """
     signed = stage(sign(docs, width, text, doc_id))
-    prints = stage(signed.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    prints = stage(signed.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     roots = stage(components(links(prints, radius, most_in_tree)))
-    linked = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
-    named = linked.groupBy("root").agg(F.min("least_id").alias("component_id")).join(linked.select("root", "fp"), "root")
-    classes = prints.join(named.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    linked = stage(prints.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least_id"))
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    named = join_on_hot(linked.select("fp", "root"), least.select("root", "component_id"), "root", least.select("root", "n"))
+    classes = stage(prints.join(named.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return signed.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return join_on_hot(signed, classes, "fp", prints.select("fp", "n")).select("doc_id", hexed.alias("fingerprint"), "component_id")

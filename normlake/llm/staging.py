@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="normlake-stage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from ..functions.shared import shared_path
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -23,6 +14,18 @@ def stage(df: DataFrame) -> DataFrame:
     What comes after neither recomputes ``df`` nor depends on the executors that made it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_on_hot(large: DataFrame, small: DataFrame, key: str, counts: DataFrame, most: int = 10_000) -> DataFrame:
+    """Inner join of ``large`` with ``small``, which has one row for each key, whatever share of ``large`` a key holds.
+
+    ``counts`` (key, n) has the keys' numbers of rows. Those of over 1/``most`` of all rows, ``most`` keys
+    at most, meet their rows by broadcast where they are; all others are shuffled.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = counts.where(F.col("n") > max(1000, total // most)).select(key)
+    rest = large.join(F.broadcast(hot), key, "left_anti").join(small, key)
+    return rest.unionByName(large.join(F.broadcast(small.join(F.broadcast(hot), key, "left_semi")), key))
