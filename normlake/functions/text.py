@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,27 +40,79 @@ def tokens(text: Column) -> Column:
     return F.concat(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"({CJK})"), 1), cjk_pieces)), latin)
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, token, tf``: identical raw tokens are counted per document before their pieces are made."""
-    raw = F.concat(F.regexp_extract_all(F.regexp_replace(F.col(text), CJK, " "), F.lit(f"({TOKEN})"), 1), F.regexp_extract_all(F.col(text), F.lit(f"({CJK})"), 1))
-    counted = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(raw).alias("raw")).groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
+def _raw_tokens(text: Column) -> Column:
+    return F.concat(F.regexp_extract_all(F.regexp_replace(text, CJK, " "), F.lit(f"({TOKEN})"), 1), F.regexp_extract_all(text, F.lit(f"({CJK})"), 1))
+
+
+def _expanded(counted: DataFrame) -> DataFrame:
     made = F.when(F.col("raw").rlike(CJK), cjk_pieces(F.col("raw"))).otherwise(pieces(F.col("raw")))
     return counted.select("doc_id", "n", F.explode(made).alias("token")).groupBy("doc_id", "token").agg(F.sum("n").alias("tf"))
 
 
+def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, token, tf``: identical raw tokens are counted per document before their pieces are made."""
+    raw = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(_raw_tokens(F.col(text))).alias("raw"))
+    return _expanded(raw.groupBy("doc_id", "raw").agg(F.count("*").alias("n")))
+
+
+def field_postings(docs: DataFrame, doc_id: str, fields: list[tuple[Column, int]]) -> DataFrame:
+    """As :func:`postings`, over several texts each of which counts a number of times."""
+
+    def weighted(text: Column, n: int) -> Column:
+        return F.transform(_raw_tokens(F.coalesce(text, F.lit(""))), lambda x: F.struct(x.alias("raw"), F.lit(n).alias("n")))
+
+    parts = [weighted(text, n) for text, n in fields]
+    raw = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(*parts)).alias("x")).select("doc_id", "x.raw", "x.n")
+    return _expanded(raw.groupBy("doc_id", "raw").agg(F.sum("n").alias("n")))
+
+
+def normalised(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with Unicode's NFKC form in the named string columns: the ingest step before tokens, markup and ids."""
+    at = [rows.columns.index(c) for c in columns]
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = list(batch.columns)
+            for i in at:
+                values = arrays[i].to_pylist()
+                if not all(v is None or v.isascii() for v in values):
+                    arrays[i] = pa.array([v if v is None or v.isascii() else unicodedata.normalize("NFKC", v) for v in values], arrays[i].type)
+            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+
+    return rows.mapInArrow(normal, rows.schema)
+
+
+def folded(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Add ``name``: the NFKC form of ``column`` in Unicode's case folding (``lower`` keeps ß and final sigma)."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = rows.columns.index(column)
+        for batch in batches:
+            values = [None if v is None else unicodedata.normalize("NFKC", v).casefold() for v in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], [*batch.schema.names, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{name}` string"
+    return rows.mapInArrow(fold, schema)
+
+
+#: What plain text loses, in order. Generic types and comparisons stay; a table's bars become full-width semicolons.
+MARKUP = ((r"<!--.*?-->", " "), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"<https?://[^>]+>", " "), (r"[`*_~]", ""), (r"^\s*>+\s?", ""), (r"\s*\|\s*", "；"), (r"^[； ]+|[； ]+$", ""), (r"\s+", " "))
+
+
 def strip_markup(text: Column) -> Column:
-    """Plain text: comments, images, links, tags, emphasis marks, quotes and pipes go, white space is single."""
-    steps = ((r"(?s)<!--.*?-->", " "), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"<[^>]+>", " "), (r"[*_`~]+", ""), (r"(?m)^\s*>+\s?", ""), (r"\|", " "), (r"\s+", " "))
-    for pattern, new in steps:
+    """Plain text of normalised Markdown: comments, images, links, autolinks, emphasis marks, quotes and bars go, white space is single."""
+    for pattern, new in MARKUP:
         text = F.regexp_replace(text, pattern, new)
     return F.trim(text)
 
 
 def title(section: Column, statement: Column) -> Column:
-    """Leaf of the section path and the statement's start, cut to 42 and 80 characters."""
-    leaf = F.element_at(F.split(section, " / "), -1)
-    cut = F.when(F.length(statement) > 42, F.concat(F.substring(statement, 1, 42), F.lit("…"))).otherwise(statement)
-    return F.substring(F.concat(leaf, F.lit(": "), cut), 1, 80)
+    """Leaf of the section path and the statement's first sentence, cut to 41 characters and a dot, 80 in all; the leaf isn't repeated."""
+    leaf = F.when(F.coalesce(section, F.lit("")) == "", "规范候选").otherwise(F.element_at(F.split(section, " / "), -1))
+    first = F.trim(F.element_at(F.split(statement, "[。；;！？!?]", 2), 1))
+    short = F.when(F.length(first) > 42, F.concat(F.rtrim(F.substring(first, 1, 41)), F.lit("…"))).otherwise(first)
+    both = F.when((leaf != "") & ~F.contains(short, leaf), F.concat(leaf, F.lit("："), short)).when(short != "", short).otherwise(leaf)
+    return F.substring(both, 1, 80)
 
 
 def rule_id(prefix: Column, document: Column, section: Column, statement: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,24 +23,39 @@ def write_index(index: Index, path: str, policy_version: str, bundle_id: str, bu
     bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
     dealt = index.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "token")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index.frequencies.write.mode("overwrite").parquet(f"{path}/frequencies")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     index.totals.write.mode("overwrite").parquet(f"{path}/totals")
     manifest = index.totals.select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(policy_version).alias("policy_version"), F.lit(bundle_id).alias("bundle_id"), F.lit(buckets).alias("buckets"), F.col("n").alias("rule_count"))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
-def read_index(spark: SparkSession, path: str, policy_version: str | None = None, bundle_id: str | None = None) -> Index:
-    """Read a stored index after checking its manifest; a mismatch raises ``ValueError``."""
-    row = spark.read.schema("schema_version int, policy_version string, bundle_id string, buckets int, rule_count long").json(f"{path}/manifest").first()
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The one row that describes a stored index."""
+    return spark.read.schema("schema_version int, policy_version string, bundle_id string, buckets int, rule_count long").json(f"{path}/manifest")
+
+
+def read_index(spark: SparkSession, path: str, policy_version: str | None = None, bundle_id: str | None = None, terms: DataFrame | None = None) -> Index:
+    """Read a stored index after checking its manifest; a mismatch raises ``ValueError``.
+
+    Given the queries' ``terms`` (a stated set), only the buckets that can hold their tokens are read.
+    """
+    row = manifest(spark, path).first()
     if row is None or row["schema_version"] != SCHEMA_VERSION:
         raise ValueError("no index of this schema version")
-    for name, want in (("policy_version", policy_version), ("bundle_id", bundle_id)):
-        if want is not None and row[name] != want:
+    if row["bundle_id"] and not re.fullmatch("[0-9a-f]{64}", row["bundle_id"]) or bundle_id is not None and not re.fullmatch("[0-9a-f]{64}", bundle_id.strip().lower()):
+        raise ValueError("a bundle id has 64 hexadecimal digits")
+    for name, want in (("policy_version", policy_version), ("bundle_id", bundle_id and bundle_id.strip().lower())):
+        if want is not None and row[name] != want.strip():
             raise ValueError(f"index has {name} {row[name]}, not {want}")
     totals = spark.read.parquet(f"{path}/totals")
     if totals.first()["n"] != row["rule_count"]:
         raise ValueError("index and manifest disagree on the number of rules")
-    return Index(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/frequencies"), totals)
+    found = spark.read.parquet(f"{path}/postings")
+    if terms is not None:
+        # At most one row for each bucket.
+        wanted = [r["b"] for r in terms.select(F.pmod(F.xxhash64("token"), F.lit(row["buckets"])).cast("int").alias("b")).distinct().collect()]
+        found = found.where(F.col("bucket").isin(wanted))
+    return Index(found.drop("bucket"), spark.read.parquet(f"{path}/lengths"), totals)
 
 
 def core_rules(rules: DataFrame, limit: int = 40) -> DataFrame:

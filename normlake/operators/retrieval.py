@@ -9,34 +9,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sizes import is_small
-from ..functions.text import postings, tokens
+from ..functions.text import field_postings, postings, tokens
 
 FLOOR = 0.22
 WEIGHTS = {"query": 3.0, "path": 2.0, "code": 1.0}
 
 
+#: How often each field counts in a rule's searchable text, and the bonuses of ids and triggers.
+FIELD_REPEATS = {"id": 5, "title": 4, "statement": 3, "section": 1, "triggers": 5, "tags": 1, "category": 1, "scope": 1, "metadata": 1}
+ID_BONUS, TRIGGER_BONUS = 12.0, 2.5
+#: How many matched terms of each field, and triggers, an explanation names.
+SHOWN = {"query": 8, "path": 6, "code": 8, "triggers": 6}
+SEVERITY_RANK = ("blocker", "major", "advisory")
+
+
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (doc_id, token, tf, dl), ``frequencies`` (token, df) and one row of ``totals`` (n, avgdl).
+    """``postings`` (doc_id, token, tf), ``lengths`` (doc_id, dl) and one row of ``totals`` (n, avgdl).
 
     Statistics cover the whole corpus; filters by scope apply to scored documents only.
     """
 
     postings: DataFrame
-    frequencies: DataFrame
+    lengths: DataFrame
     totals: DataFrame
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    found = postings(docs, doc_id, text)
+def _index(docs: DataFrame, doc_id: str, found: DataFrame) -> Index:
     lengths = found.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     totals = docs.select(F.col(doc_id).alias("doc_id")).join(lengths, "doc_id", "left").agg(F.count("*").alias("n"), F.avg(F.greatest(F.coalesce("dl", F.lit(0)), F.lit(1)).cast("double")).alias("avgdl"))
-    frequencies = found.groupBy("token").agg(F.count("*").alias("df"))
-    return Index(found.join(lengths, "doc_id"), frequencies, totals)
+    return Index(found, lengths, totals)
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+    return _index(docs, doc_id, postings(docs, doc_id, text))
+
+
+def build_field_index(rules: DataFrame, fields: dict[str, Column], doc_id: str = "doc_id") -> Index:
+    """An index over several fields, each counted as often as ``FIELD_REPEATS`` says; no text is repeated for it."""
+    return _index(rules, doc_id, field_postings(rules, doc_id, [(text, FIELD_REPEATS[name]) for name, text in fields.items()]))
 
 
 def query_terms(queries: DataFrame, fields: dict[str, str], stop: list[str] | None = None) -> DataFrame:
-    """``query_id, token, w``: distinct terms of each field with the field's weight; weights of several fields add up.
+    """``query_id, token, w`` and a place in each field (``at_query``...): distinct terms with the fields' weights; weights of several fields add up.
 
     ``fields`` maps query, path and code to columns of ``queries`` (which has ``query_id``).
     """
@@ -45,33 +60,85 @@ def query_terms(queries: DataFrame, fields: dict[str, str], stop: list[str] | No
         terms = F.array_distinct(tokens(F.coalesce(F.col(column), F.lit(""))))
         if stop:
             terms = F.array_except(terms, F.array(*map(F.lit, stop)))
-        parts.append(queries.select("query_id", F.explode(terms).alias("token"), F.lit(WEIGHTS[kind]).alias("w")))
+        parts.append(queries.select("query_id", F.posexplode(terms).alias("at", "token"), F.lit(kind).alias("kind"), F.lit(WEIGHTS[kind]).alias("w")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy("query_id", "token").agg(F.sum("w").alias("w"))
+    return out.groupBy("query_id", "token").agg(F.sum("w").alias("w"), *[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"at_{k}") for k in fields])
 
 
-def bm25(index: Index, terms: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score, n_terms`` of every document that holds a term of the query; scores have six places."""
+def _hits(index: Index, terms: DataFrame) -> DataFrame:
+    """Postings of the queries' tokens with these tokens' document frequencies; the corpus' other postings go first."""
     hint = F.broadcast if is_small(terms) else lambda df: df
-    # Only the queries' tokens are counted: the semi-join goes below the aggregation. The result has a row for each term at most.
-    frequencies = index.frequencies.join(hint(terms.select("token").distinct()), "token", "left_semi")
-    with_df = terms.join(frequencies, "token")
-    hits = index.postings.join(hint(with_df), "token").crossJoin(F.broadcast(index.totals))  # totals: one row
+    hits = index.postings.join(hint(terms.select("token").distinct()), "token", "left_semi")
+    frequencies = hits.groupBy("token").agg(F.count("*").alias("df"))  # a row for each of the terms' tokens at most
+    return hits.join(hint(terms.join(hint(frequencies), "token")), "token")
+
+
+def bm25(index: Index, terms: DataFrame, places: int | None = 6) -> DataFrame:
+    """``query_id, doc_id, score, n_terms`` of every document that holds a term of the query; scores are rounded half to even."""
+    hits = _hits(index, terms).join(index.lengths, "doc_id").crossJoin(F.broadcast(index.totals))  # totals: one row
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1.5 * (0.25 + 0.75 * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0)))
-    gain = F.col("w") * idf * F.col("tf") * 2.5 / (F.col("tf") + norm)
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"), F.count("*").alias("n_terms"))
+    total = F.sum(F.col("w") * idf * F.col("tf") * 2.5 / (F.col("tf") + norm))
+    return hits.groupBy("query_id", "doc_id").agg((total if places is None else F.bround(total, places)).alias("score"), F.count("*").alias("n_terms"))
 
 
-def top_k(scored: DataFrame, limit: int, floor: float = FLOOR, ties: list[str] | None = None) -> DataFrame:
-    """The best ``limit`` of each query that reach ``floor`` times its best score; adds ``rank``."""
+def in_scope(rows: DataFrame, column: str, wanted: list[str] | str | None) -> DataFrame:
+    """Rows whose ``column`` is one of ``wanted``, case apart; None and an empty list keep all."""
+    names = [wanted] if isinstance(wanted, str) else list(wanted or [])
+    return rows.where(F.lower(column).isin([x.lower() for x in names])) if names else rows
+
+
+def severity_rank(severity: Column) -> Column:
+    """0 for blocker, 1 for major, 2 for advisory, 3 for anything else."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITY_RANK)), severity), F.lit(0)), F.lit(4)) - 1
+
+
+def id_bonus(query: Column, *ids: Column) -> Column:
+    """``ID_BONUS`` if the query (folded) names any of the ids, each null or empty one apart."""
+    hit = F.lit(False)
+    for one in ids:
+        hit = hit | F.coalesce((one != "") & F.contains(query, F.lower(one)), F.lit(False))
+    return F.when(hit, ID_BONUS).otherwise(0.0)
+
+
+def trigger_hits(triggers: Column, *texts: Column) -> Column:
+    """The triggers that stand in any of the (folded) texts, repeats included."""
+    return F.filter(triggers, lambda t: (t != "") & F.exists(F.array(*texts), lambda x: F.contains(x, F.lower(t))))
+
+
+def score_rules(index: Index, rules: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """BM25 with both bonuses: ``query_id, doc_id, score, severity, hits`` of the rules that hold a term of the query.
+
+    ``rules`` has ``doc_id, id, original_id, severity, triggers`` (array); ``queries`` has ``query_id, query, path, code``, a
+    stated set that is broadcast behind a count. Bonuses never admit a rule without a matching term.
+    """
+    texts = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("query", "path", "code")]
+    asked = queries.select("query_id", *[t.alias(f"_{i}") for i, t in enumerate(texts)])
+    pairs = bm25(index, terms, None).join(rules.select("doc_id", "id", "original_id", "severity", "triggers"), "doc_id")
+    pairs = pairs.join(F.broadcast(asked) if is_small(asked, 10_000) else asked, "query_id")
+    hits = trigger_hits(F.col("triggers"), F.col("_0"), F.col("_1"), F.col("_2"))
+    found = pairs.withColumn("hits", hits)
+    score = F.bround(F.col("score") + id_bonus(F.col("_0"), F.col("id"), F.col("original_id")) + TRIGGER_BONUS * F.size("hits"), 6)
+    return found.select("query_id", "doc_id", "id", "severity", score.alias("score"), F.slice("hits", 1, SHOWN["triggers"]).alias("hits"))
+
+
+def explain(index: Index, terms: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Add ``query_matches, path_matches, code_matches`` to ranked results: the terms they hold in query order, the first few of each field."""
+    kinds = [c.removeprefix("at_") for c in terms.columns if c.startswith("at_")]
+    chosen = ranked.select("query_id", "doc_id")  # at most the limit for each query
+    held = _hits(index, terms).join(chosen, ["query_id", "doc_id"])
+    lists = [F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col(f"at_{k}").isNotNull(), F.struct(f"at_{k}", "token")))), 1, SHOWN[k]), lambda x: x["token"]).alias(f"{k}_matches") for k in kinds]
+    return ranked.join(held.groupBy("query_id", "doc_id").agg(*lists), ["query_id", "doc_id"])
+
+
+def top_k(scored: DataFrame, limit: int, floor: float = FLOOR, ties: list | None = None) -> DataFrame:
+    """The best ``limit`` of each query that reach ``floor`` times its best score; adds ``rank``. The best row is always among those ranked."""
     by = Window.partitionBy("query_id")
     rank = F.row_number().over(by.orderBy(F.desc("score"), *(ties or ["doc_id"])))
-    best = scored.groupBy("query_id").agg(F.max("score").alias("best"))
-    ranked = scored.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return ranked.join(best, "query_id").where(F.col("score") >= F.greatest(F.lit(0.0), F.col("best") * floor)).drop("best")
+    ranked = scored.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("best", F.max("score").over(by))
+    return ranked.where(F.col("score") >= F.greatest(F.lit(0.0), F.col("best") * floor)).drop("best")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -94,7 +161,7 @@ def semantic(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
 
 def blend(lexical: DataFrame, similar: DataFrame, weight: float = 0.4) -> DataFrame:
     """Hybrid scores: the lexical score (0 if there is none) plus weight x 8 x similarity rounded to six places."""
-    bonus = weight * 8.0 * F.greatest(F.lit(0.0), F.round(F.coalesce("sim", F.lit(0.0)), 6))
+    bonus = weight * 8.0 * F.greatest(F.lit(0.0), F.bround(F.coalesce("sim", F.lit(0.0)), 6))
     return lexical.join(similar, ["query_id", "doc_id"], "full").select("query_id", "doc_id", (F.coalesce("score", F.lit(0.0)) + bonus).alias("score"))
 
 
