@@ -85,8 +85,9 @@ def normalised(rows: DataFrame, columns: list[str]) -> DataFrame:
 def folded(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Add ``name``: the NFKC form of ``column`` in Unicode's case folding (``lower`` keeps ß and final sigma)."""
 
+    at = rows.columns.index(column)
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = rows.columns.index(column)
         for batch in batches:
             values = [None if v is None else unicodedata.normalize("NFKC", v).casefold() for v in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], [*batch.schema.names, name])
@@ -115,11 +116,44 @@ def title(section: Column, statement: Column) -> Column:
     return F.substring(both, 1, 80)
 
 
+def plain_text(value: str) -> str:
+    """:func:`strip_markup` of one string that isn't normalised yet, for parsers that run per document."""
+    value = unicodedata.normalize("NFKC", value)
+    for pattern, new in MARKUP:
+        value = re.sub(pattern, new.replace("$1", r"\1"), value)
+    return value.strip()
+
+
+def stem(document: Column) -> Column:
+    """The file name of a path without its folders and last suffix."""
+    name = F.element_at(F.split(F.replace(document, F.lit("\\"), F.lit("/")), "/"), -1)
+    return F.when(name.rlike(r".\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+
+
 def rule_id(prefix: Column, document: Column, section: Column, statement: Column) -> Column:
-    """PREFIX-SLUG-HASH: up to 18 characters of the section and ten hex digits of all parts' SHA-256."""
-    slug = F.regexp_replace(F.substring(F.regexp_replace(F.upper(section), r"[^A-Z0-9]+", "-"), 1, 18), r"^-+|-+$", "")
-    digest = F.upper(F.substring(F.sha2(F.concat_ws("\x1f", document, section, statement), 256), 1, 10))
-    return F.concat_ws("-", F.upper(prefix), F.when(slug == "", "RULE").otherwise(slug), digest)
+    """PREFIX-SLUG-HASH: up to 18 characters of the document's name and ten hex digits of all parts' SHA-256."""
+
+    def slug(text: Column, default: str) -> Column:
+        clean = F.regexp_replace(F.regexp_replace(F.upper(text), r"[^A-Z0-9]+", "-"), r"^-+|-+$", "")
+        return F.when(clean == "", default).otherwise(clean)
+
+    digest = F.upper(F.substring(F.sha2(F.concat_ws("\x1f", F.trim(document), F.trim(section), F.trim(statement)), 256), 1, 10))
+    return F.concat_ws("-", slug(prefix, "AUTO"), F.substring(slug(stem(document), "POLICY"), 1, 18), digest)
+
+
+def namespace(document: Column) -> Column:
+    """A document's name as the first part of an id: letters, digits, dots and dashes, 96 characters at most."""
+    clean = F.regexp_replace(F.regexp_replace(stem(document), r"(?U)[^\w.-]+", "-"), r"^[-._]+|[-._]+$", "")
+    return F.substring(F.when(clean == "", "document").otherwise(clean), 1, 96)
+
+
+def qualified_id(space: Column, original: Column, most: int = 240) -> Column:
+    """``space::original``; one that is too long is cut on both sides and gets ten hex digits of its SHA-256."""
+    whole = F.concat_ws("::", space, original)
+    short = F.substring(original, 1, 120)
+    room = F.greatest(F.lit(12), F.lit(most - 10 - 3) - F.length(short))
+    cut = F.concat(F.substring(space, F.lit(1), room), F.lit("-"), F.substring(F.sha2(whole, 256), 1, 10), F.lit("::"), short)
+    return F.when(F.length(whole) <= most, whole).otherwise(cut)
 
 
 def normal_path(path: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import path_matches
 from ..operators import checks as c
+from ..operators import specs
 
 RULES = [
     c.Rule("NO-TRACK", "regex_forbid", (r"track\(\d+\)",), include=("**/en/*", "**/fr/*"), severity="blocker"),
@@ -77,7 +78,42 @@ def companion_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.companion_changes(changes.select("change_id", "path"), ["PROMO*"], ["*MEDIUM*", "*SMALL*"], require_all=False)
 
 
-QUERIES = {f.__name__: f for f in (path_glob_match, include_exclude_scope, content_trigger, regex_forbid_count, regex_forbid_findings, regex_require, path_allow_forbid, blocking_decision, applicable_score, companion_change)}
+#: Rule records as people write them: aliases, several checks, a bad pattern, a draft, phases, companions.
+RECORDS = [
+    {"id": "R-TRACK", "statement": "no tracking", "severity": "blocker", "checks": [{"type": "regex_forbid", "regex": r"(tr)ack\((\d)\2", "flags": "ignorecase", "max_findings": 2, "path_globs": ["**/en/*", "**/fr/*"]}], "source": {"document": "web.md", "section": "1"}},
+    {"id": "R-BAD", "statement": "broken", "severity": "major", "metadata": {"checker": {"type": "regex_require", "pattern": "(unclosed", "when_terms": "<TABLE"}}},
+    {"id": "R-EMPTY", "statement": "empty", "check": {"type": "path_allow", "include_paths": "**/de/*"}},
+    {"id": "R-PATH", "statement": "paths", "severity": "advisory", "checks": {"type": "path_forbid", "forbidden_paths": ["*[?]page=*"], "blocking": True}, "metadata": {"exclude_paths": ["**/de/*"]}},
+    {"id": "R-READ", "statement": "read it", "severity": "blocker", "enforcement": [{"type": "ai_review", "phases": ["stop"], "prompt": "look", "when_pattern": "<h2>"}]},
+    {"id": "R-LATE", "statement": "late", "enforcement_candidates": ["ai_review"], "metadata": {"when_pattern": "<h1>"}},
+    {"id": "R-DRAFT", "statement": "no", "status": "pending_review", "check": "ai_review"},
+    {"id": "R-PAIR", "statement": "pairs", "severity": "blocker", "checker": {"type": "companion_change", "trigger": ["**/en/*"], "requires": ["**/de/*", "**/fr/*"], "require_all": False}},
+    {"id": "R-LONE", "statement": "lone", "checker": {"type": "companion_change", "trigger": ["**/en/*"]}},
+]
+
+
+def check_file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results of all pages as files, error rows and reviews of the phase included."""
+    rules = c.rules_frame(spark, specs.compile_rules(RECORDS))
+    found = c.check_files(_files(spark, sf_dir), rules, "post", keep=["page_id"])
+    return found.select("page_id", "rule_id", "kind", "status", "severity", "blocking", F.when(F.col("status") == "error", "").otherwise(F.col("message")).alias("message"), "line", "evidence", "source")
+
+
+def change_set_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change sets of pages (by number modulo 40): file checks at the end of a task, and companion rules."""
+    files = _files(spark, sf_dir).select((F.col("page_id") % 40).alias("change_id"), "path", "content")
+    found = c.check_change_sets(files, c.rules_frame(spark, specs.compile_rules(RECORDS)), fail_closed=False)
+    return found.groupBy("change_id", "rule_id", "kind", "status", "blocking").agg(F.count("*").alias("n"), F.max("evidence").alias("evidence"))
+
+
+def configured_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rule records: the kinds of checks each declares by its type, and how many declare one besides a review."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    kind = F.when(F.col("p_type").startswith("PROMO"), "regex_forbid").when(F.col("p_type").startswith("SMALL"), "path_allow").otherwise("ai_review")
+    return parts.groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("rules"), F.count_if(kind != "ai_review").alias("configured"))
+
+
+QUERIES = {f.__name__: f for f in (path_glob_match, include_exclude_scope, content_trigger, regex_forbid_count, regex_forbid_findings, regex_require, path_allow_forbid, blocking_decision, applicable_score, companion_change, check_file_results, change_set_results, configured_checks)}
 
 _F = "f AS (SELECT page_id, regexp_replace(url, '^https?://[^/]+/', '') AS path, html FROM pages)"
 _N = "g AS (SELECT *, lower(path) AS p, string_split(lower(path), '/')[-1] AS b FROM f)"
@@ -100,14 +136,32 @@ _SCORES = f"""s AS (
   UNION ALL SELECT p2, 'PATH-QUERY', 1 + 2 FROM h WHERE NOT {_DE}
   UNION ALL SELECT p2, 'READ-TABLE', 1 + 4 * len(list_filter(['<table', 'nav', '/es/'], lambda t: contains(p || chr(10) || lower(html), t))) + 3 + 2 FROM h WHERE regexp_matches(html, '<h2>'))"""
 _MATCHES = " UNION ALL ".join(f"SELECT page_id || ':' || path AS path, {k} AS k, regexp_extract_all(html, '{p}') AS found, string_split_regex(html, '{p}') AS parts FROM f" for k, p in enumerate(('class="ad"', "<!-- ad \\d+ -->")))
+_TRACK = "(?i)track\\((?:00|11|22|33|44|55|66|77|88|99)"
+_BEFORE = f"array_to_string(parts[1:i + 1], '') || array_to_string(found[1:i], '')"
+_FILES = f"""t AS (SELECT page_id, path, regexp_extract_all(html, '{_TRACK}')[1:2] AS found, string_split_regex(html, '{_TRACK}') AS parts FROM g WHERE {_EN} OR {_FR}), te AS (SELECT *, unnest(range(len(found))) AS i FROM t),
+  r AS (SELECT page_id, path, 'R-TRACK' AS rule_id, 'regex_forbid' AS kind, 'fail' AS status, 'blocker' AS severity, true AS blocking, 'no tracking' AS message, 1 + length({_BEFORE}) - length(replace({_BEFORE}, chr(10), '')) AS line, found[i + 1] AS evidence, 'web.md / 1' AS source FROM te
+  UNION ALL SELECT page_id, path, 'R-TRACK', 'regex_forbid', 'pass', 'blocker', false, '', 0, '', 'web.md / 1' FROM t WHERE len(found) = 0
+  UNION ALL SELECT page_id, path, 'R-BAD', 'regex_require', 'error', 'major', true, '', 0, '', '' FROM g WHERE contains(lower(html), '<table')
+  UNION ALL SELECT page_id, path, 'R-EMPTY', 'path_allow', 'error', 'major', true, '', 0, '', '' FROM g WHERE {_DE}
+  UNION ALL SELECT page_id, path, 'R-PATH', 'path_forbid', CASE WHEN {_PAGE} THEN 'fail' ELSE 'pass' END, 'advisory', {_PAGE}, CASE WHEN {_PAGE} THEN 'paths' ELSE '' END, 0, '', '' FROM g WHERE NOT {_DE}
+  UNION ALL SELECT page_id, path, 'R-LATE', 'ai_review', 'review', 'major', false, 'late', 0, '', '' FROM g WHERE regexp_matches(html, '<h1>')
+  UNION ALL SELECT page_id, path, 'R-READ', 'ai_review', 'review', 'blocker', false, 'look', 0, '', '' FROM g WHERE regexp_matches(html, '<h2>'))"""
 ORACLES = {
+    "check_file_results": f"{_G}, {_FILES} SELECT page_id, rule_id, kind, status, severity, blocking, message, line, evidence, source FROM r WHERE rule_id <> 'R-READ'",
+    "change_set_results": f"""{_G.replace('SELECT page_id,', 'SELECT page_id, page_id % 40 AS change_id,')}, {_FILES},
+      f2 AS (SELECT page_id % 40 AS change_id, rule_id, kind, status, blocking AND status <> 'error' AS blocking, evidence FROM r),
+      cs AS (SELECT DISTINCT change_id, path, {_EN} AS en, {_DE} OR {_FR} AS other FROM g),
+      cc AS (SELECT change_id, array_to_string(list_sort(list(path) FILTER (en))[1:5], ', ') AS evidence, bool_or(other) AS met FROM cs GROUP BY change_id HAVING bool_or(en)),
+      u AS (SELECT * FROM f2 UNION ALL SELECT change_id, 'R-PAIR', 'companion_change', CASE WHEN met THEN 'pass' ELSE 'fail' END, NOT met, evidence FROM cc UNION ALL SELECT DISTINCT change_id, 'R-LONE', 'companion_change', 'error', false, '' FROM cs)
+      SELECT change_id, rule_id, kind, status, blocking, count(*) AS n, max(evidence) AS evidence FROM u GROUP BY change_id, rule_id, kind, status, blocking""",
+    "configured_checks": "SELECT p_brand AS brand, count(*) AS rules, count(*) FILTER (starts_with(p_type, 'PROMO') OR starts_with(p_type, 'SMALL')) AS configured FROM part GROUP BY p_brand",
     "path_glob_match": f"{_G} SELECT page_id, {_EN} AS en, {_PAGE} OR {_TOP} AS extra, regexp_matches(p, '(?s)^fr/.[0-9].*$') OR regexp_matches(b, '(?s)^fr/.[0-9].*$') AS fr FROM g",
     "include_exclude_scope": f"{_G} SELECT 'SCOPE' AS rule_id, page_id FROM g WHERE ({_EN} OR {_DE}) AND NOT {_TOP}",
     "content_trigger": f"{_G} SELECT 'WHEN' AS rule_id, page_id FROM g WHERE regexp_matches(html, '<h1>[A-Z]') AND (contains(lower(html), '<table') OR contains(lower(html), 'track(1'))",
     "regex_forbid_count": f"{_G}, {_V} SELECT page_id, rule_id, status, n_hits FROM v WHERE kind = 'regex_forbid'",
     "regex_forbid_findings": f"""WITH {_F}, m AS ({_MATCHES}), e AS (SELECT *, unnest(range(least(len(found), 2))) AS i FROM m),
       l AS (SELECT *, array_to_string(parts[1:i + 1], '') || array_to_string(found[1:i], '') AS before FROM e)
-      SELECT * FROM (SELECT 'NO-AD' AS rule_id, path, row_number() OVER (PARTITION BY path ORDER BY k, i) - 1 AS n, 1 + length(before) - length(replace(before, chr(10), '')) AS line, substr(trim(regexp_replace(found[i + 1], '\\s+', ' ', 'g'), ' '), 1, 180) AS evidence FROM l) WHERE n < 2""",
+      SELECT * FROM (SELECT 'NO-AD' AS rule_id, path, row_number() OVER (PARTITION BY path ORDER BY k, i) - 1 AS n, 1 + length(before) - length(replace(before, chr(10), '')) AS line, trim(regexp_replace(found[i + 1], '\\s+', ' ', 'g'), ' ') AS evidence FROM l) WHERE n < 2""",
     "regex_require": f"{_G}, {_V} SELECT page_id, rule_id, status FROM v WHERE kind = 'regex_require'",
     "path_allow_forbid": f"{_G}, {_V} SELECT page_id, rule_id, status FROM v WHERE kind IN ('path_allow', 'path_forbid')",
     "blocking_decision": f"{_G}, {_V} SELECT rule_id, severity, status, count(*) AS n, count(*) FILTER (blocking) AS n_blocking FROM v GROUP BY rule_id, severity, status",

@@ -10,20 +10,28 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.sizes import broadcast_if_small
 from ..functions.text import glob_regex, normal_path
 
 BLOCKING = ("blocker", "major")
 MOST_PATTERN = 2000
-_NESTED = re.compile(r"\([^()]*[+*}][^()]*\)\s*[+*{]")
+_REPEAT = r"(?:[+*]|\{\d*,?\d*\})"
+_PLAIN = r"(?:[^()\\]|\\.)*"
+_NESTED = re.compile(rf"\((?:\?:)?{_PLAIN}{_REPEAT}{_PLAIN}\)\s*{_REPEAT}")
+EVIDENCE = 180
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One check. ``kind``: regex_forbid, regex_require, path_allow, path_forbid or ai_review."""
+    """One check. ``kind``: regex_forbid, regex_require, path_allow, path_forbid, companion_change or ai_review.
+
+    ``flags`` are Java's letters; ``trigger_paths`` and ``phases`` are read for companion changes and reviews alone.
+    """
 
     rule_id: str
     kind: str
@@ -39,6 +47,26 @@ class Rule:
     most_findings: int = 3
     flags: str = ""
     message: str = field(default="")
+    trigger_paths: tuple[str, ...] = ()
+    phases: tuple[str, ...] = ("post", "stop")
+    source: str = ""
+    core: bool = False
+
+
+def java_pattern(pattern: str, flags: str = "") -> str:
+    """The same pattern in Java's syntax: named groups and references are written differently, ignoring case covers all letters."""
+    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    letters = flags.replace("i", "iu")
+    return f"(?{letters}){pattern}" if letters else pattern
+
+
+def _java_error(spark: SparkSession, pattern: str) -> str:
+    """Why Spark's regular expressions refuse a pattern; empty if they don't."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as error:
+        return str(error).splitlines()[0]
+    return ""
 
 
 def unsafe_pattern(pattern: str) -> str:
@@ -55,17 +83,27 @@ def unsafe_pattern(pattern: str) -> str:
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """The rules as a table: globs become regular expressions and flags a prefix of the patterns."""
-    for rule in rules:
-        for pattern in (*rule.patterns, rule.when_pattern):
-            if rule.kind.startswith("regex") and (why := unsafe_pattern(pattern)):
-                raise ValueError(f"{rule.rule_id}: {why}")
-    schema = "rule_id string, kind string, patterns array<string>, include array<string>, exclude array<string>, when_pattern string, when_terms array<string>, triggers array<string>, severity string, blocking boolean, require_all boolean, most_findings int, message string"
+    """The rules as a table: globs become regular expressions and flags a prefix of the patterns.
+
+    A pattern that could backtrack for ever raises ``ValueError``. One that doesn't compile, or a check without patterns,
+    makes the rule give ``error`` rows, and the job goes on.
+    """
+    schema = "rule_id string, kind string, patterns array<string>, include array<string>, exclude array<string>, when_pattern string, when_terms array<string>, triggers array<string>, severity string, blocking boolean, require_all boolean, most_findings int, message string, trigger_paths array<string>, phases array<string>, source string, core boolean, error string"
     rows = []
     for r in rules:
-        prefix = f"(?{r.flags})" if r.flags else ""
-        patterns = [glob_regex(p) for p in r.patterns] if r.kind.startswith("path") else [prefix + p for p in r.patterns]
-        rows.append((r.rule_id, r.kind, patterns, [glob_regex(g) for g in r.include], [glob_regex(g) for g in r.exclude], prefix + r.when_pattern if r.when_pattern else "", [t.lower() for t in r.when_terms], [t.lower() for t in r.triggers], r.severity, r.blocking, r.require_all, r.most_findings or 3, r.message))
+        regex, error = r.kind.startswith("regex"), ""
+        for pattern in (*(r.patterns if regex else ()), r.when_pattern):
+            if (why := unsafe_pattern(pattern)) and not why.startswith("invalid"):
+                raise ValueError(f"{r.rule_id}: {why}")
+        patterns = [java_pattern(p, r.flags) for p in r.patterns] if regex else [glob_regex(p) for p in r.patterns]
+        when = java_pattern(r.when_pattern, r.flags) if r.when_pattern else ""
+        if when and (error := _java_error(spark, when)):
+            when = ""
+        if regex and (bad := next((why for p in patterns if (why := _java_error(spark, p))), "")):
+            patterns, error = [], error or bad
+        if r.kind != "ai_review" and not r.patterns or r.kind == "companion_change" and not r.trigger_paths:
+            error = error or f"{r.kind} lacks its patterns"
+        rows.append((r.rule_id, r.kind, patterns, [glob_regex(g) for g in r.include], [glob_regex(g) for g in r.exclude], when, [t.lower() for t in r.when_terms], [t.lower() for t in r.triggers], r.severity, r.blocking, r.require_all, r.most_findings or 3, r.message, [glob_regex(g) for g in r.trigger_paths], list(r.phases), r.source, r.core, error and f"invalid rule: {error}"))
     return spark.createDataFrame(rows, schema)
 
 
@@ -90,14 +128,14 @@ def applies(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 def verdicts(files: DataFrame, rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``rule_id, path, kind, status, severity, blocking, n_hits`` and ``keep`` columns of each applicable pair (ai_review: status review)."""
-    pairs = applies(files, rules)
+    pairs = applies(files, rules.where("kind <> 'companion_change'"))
     content, path = F.col("content"), F.col("_path")
     counts = F.aggregate("patterns", F.lit(0), lambda a, p: a + F.call_function("regexp_count", content, p))
     found = F.transform("patterns", lambda p: F.call_function("rlike", content, p))
     required = F.when(F.col("require_all"), F.forall(found, lambda x: x)).otherwise(F.exists(found, lambda x: x))
     allowed = _any_path(F.col("patterns"), path)
     ok = F.when(F.col("kind") == "regex_forbid", counts == 0).when(F.col("kind") == "regex_require", required).when(F.col("kind") == "path_allow", allowed).when(F.col("kind") == "path_forbid", ~allowed)
-    status = F.when(F.col("kind") == "ai_review", "review").when(ok, "pass").otherwise("fail")
+    status = F.when(F.col("error") != "", "error").when(F.col("kind") == "ai_review", "review").when(ok, "pass").otherwise("fail")
     hits = F.when(F.col("kind") == "regex_forbid", F.least(counts, F.col("most_findings"))).otherwise(0)
     out = pairs.select(*(keep or []), "rule_id", "path", "kind", "severity", F.col("blocking").alias("_b"), status.alias("status"), hits.cast("long").alias("n_hits"))
     return out.select(*(keep or []), "rule_id", "path", "kind", "severity", "status", "n_hits", blocks(F.col("severity"), F.col("_b"), F.col("status")).alias("blocking"))
@@ -108,17 +146,69 @@ def blocks(severity: Column, explicit: Column, status: Column, severities: tuple
     return status.isin("fail", "error") & F.coalesce(explicit, severity.isin(*severities))
 
 
-def findings(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rule_id, path, n, line, evidence`` of a forbidden pattern's first matches, counted across the rule's patterns."""
-    pairs = applies(files, rules.where("kind = 'regex_forbid'"))
-    hits = pairs.select("rule_id", "path", "content", "most_findings", F.posexplode("patterns").alias("p", "pattern"))
-    cut = hits.withColumn("parts", F.call_function("split", "content", "pattern")).withColumn("found", F.expr("regexp_extract_all(content, concat('(', pattern, ')'), 1)"))
-    each = cut.select("rule_id", "path", "p", "most_findings", "parts", "found", F.posexplode(F.expr("slice(found, 1, most_findings)")).alias("i", "evidence"))
+def evidence_cut(text: Column, most: int = EVIDENCE) -> Column:
+    """White space made single, and an ellipsis as the last of ``most`` characters where more follow."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
+
+
+def findings(files: DataFrame, rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns and ``rule_id, path, n, line, evidence`` of a forbidden pattern's first matches, counted across the rule's patterns."""
+    kept = keep or []
+    pairs = applies(files, rules.where("kind = 'regex_forbid' AND error = ''"))
+    hits = pairs.select(*kept, "rule_id", "path", "content", "most_findings", F.posexplode("patterns").alias("p", "pattern"))
+    # Group 0 is the whole match, so a pattern's own groups and back-references keep their numbers.
+    cut = hits.withColumn("found", F.expr("slice(regexp_extract_all(content, pattern, 0), 1, most_findings)")).where(F.size("found") > 0)
+    cut = cut.withColumn("parts", F.expr("split(content, pattern, most_findings + 1)"))
+    each = cut.select(*kept, "rule_id", "path", "p", "most_findings", "parts", "found", F.posexplode("found").alias("i", "evidence"))
     before = F.concat(F.array_join(F.expr("slice(parts, 1, i + 1)"), ""), F.array_join(F.expr("slice(found, 1, i)"), ""))
     line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    ordered = each.select("rule_id", "path", "p", "i", "most_findings", line.cast("long").alias("line"), F.substring(F.trim(F.regexp_replace("evidence", r"\s+", " ")), 1, 180).alias("evidence"))
-    grouped = ordered.groupBy("rule_id", "path", "most_findings").agg(F.array_sort(F.collect_list(F.struct("p", "i", "line", "evidence"))).alias("all"))
-    return grouped.select("rule_id", "path", F.posexplode(F.expr("slice(all, 1, most_findings)")).alias("n", "f")).select("rule_id", "path", F.col("n").cast("long").alias("n"), "f.line", "f.evidence")
+    ordered = each.select(*kept, "rule_id", "path", "p", "i", "most_findings", line.cast("long").alias("line"), evidence_cut(F.col("evidence")).alias("evidence"))
+    grouped = ordered.groupBy(*kept, "rule_id", "path", "most_findings").agg(F.array_sort(F.collect_list(F.struct("p", "i", "line", "evidence"))).alias("all"))
+    return grouped.select(*kept, "rule_id", "path", F.posexplode(F.expr("slice(all, 1, most_findings)")).alias("n", "f")).select(*kept, "rule_id", "path", F.col("n").cast("long").alias("n"), "f.line", "f.evidence")
+
+
+def check_files(files: DataFrame, rules: DataFrame, phase: str = "post", fail_closed: bool = True, review_ids: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """All results of all files, ``keep`` columns first: ``rule_id, path, kind, status, severity, blocking, message, line, evidence, source``.
+
+    A forbidden pattern gives a row for each finding up to its limit, or one that passes; an invalid rule gives an ``error`` row, which blocks if
+    ``fail_closed``; reviews come in their phases, for the rules in ``review_ids`` (None: all, empty: none).
+    """
+    kept = keep or []
+    about = rules.select("rule_id", "kind", "message", "source", F.array_contains("phases", phase).alias("_phase"), "error")
+    found = verdicts(files, rules, kept)
+    reviewed = F.lit(True) if review_ids is None else F.col("rule_id").isin(review_ids) if review_ids else F.lit(False)
+    named = found.join(broadcast_if_small(about, 10_000), ["rule_id", "kind"]).where((F.col("status") != "review") | (F.col("_phase") & reviewed))
+    places = findings(files, rules, kept).drop("n").withColumn("kind", F.lit("regex_forbid")).withColumn("status", F.lit("fail"))
+    wide = named.join(places, [*kept, "rule_id", "path", "kind", "status"], "left")
+    message = F.when(F.col("status") == "error", F.col("error")).when(F.col("status") == "pass", "").otherwise(F.col("message"))
+    blocking = F.when(F.col("status") == "error", F.lit(fail_closed)).otherwise(F.col("blocking"))
+    return wide.select(*kept, "rule_id", "path", "kind", "status", "severity", blocking.alias("blocking"), message.alias("message"), F.coalesce("line", F.lit(0)).cast("long").alias("line"), F.coalesce("evidence", F.lit("")).alias("evidence"), "source")
+
+
+def check_change_sets(changes: DataFrame, rules: DataFrame, fail_closed: bool = True) -> DataFrame:
+    """Results of whole change sets (``change_id, path, content``; a path counts once): its files' checks in phase ``stop``, and companion rules.
+
+    A companion rule that a changed path triggers wants all (or any) of its required paths in the same set. Its row names the first five
+    triggers as evidence. However many rules there are, paths are matched in one pass.
+    """
+    once = changes.groupBy("change_id", normal_path(F.col("path")).alias("path")).agg(F.min("content").alias("content"))
+    files = check_files(once, rules, "stop", fail_closed, keep=["change_id"])
+    path = F.lower(F.col("path"))
+    pairs = once.join(broadcast_if_small(rules.where("kind = 'companion_change' AND error = ''"), 10_000))
+    marked = pairs.select("change_id", "rule_id", "severity", F.col("blocking").alias("_b"), "message", "source", "require_all", F.size("patterns").alias("wanted"), "path", _any_path(F.col("trigger_paths"), path).alias("fires"), F.filter(F.transform("patterns", lambda p, i: F.when(_any_path(F.array(p), path), i)), lambda i: i.isNotNull()).alias("meets"))
+    marked = marked.where("fires OR size(meets) > 0")
+    keys = ["change_id", "rule_id", "severity", "_b", "message", "source", "require_all", "wanted"]
+    rank = F.row_number().over(Window.partitionBy("change_id", "rule_id").orderBy("path"))
+    first = marked.where("fires").select("change_id", "rule_id", "path").withColumn("k", rank).where("k <= 5").groupBy("change_id", "rule_id").agg(F.array_sort(F.collect_list("path")).alias("fired"))
+    met = marked.select(*keys, F.explode_outer("meets").alias("m")).groupBy(*keys).agg(F.count_distinct("m").alias("met"))
+    sets = met.join(first, ["change_id", "rule_id"])
+    status = F.when(F.when(F.col("require_all"), F.col("met") == F.col("wanted")).otherwise(F.col("met") > 0), "pass").otherwise("fail")
+    held = sets.withColumn("status", status)
+    companions = held.select("change_id", "rule_id", F.get("fired", F.lit(0)).alias("path"), F.lit("companion_change").alias("kind"), "status", "severity", blocks(F.col("severity"), F.col("_b"), F.col("status")).alias("blocking"), F.when(F.col("status") == "pass", "").otherwise(F.col("message")).alias("message"), F.lit(0).cast("long").alias("line"), F.array_join("fired", ", ").alias("evidence"), "source")
+    broken = rules.where("kind = 'companion_change' AND error <> ''")
+    wrong = once.select("change_id").distinct().join(broadcast_if_small(broken, 10_000)).select("change_id", "rule_id", F.lit("").alias("path"), "kind", F.lit("error").alias("status"), "severity", F.lit(fail_closed).alias("blocking"), F.col("error").alias("message"), F.lit(0).cast("long").alias("line"), F.lit("").alias("evidence"), "source")
+    return files.unionByName(companions).unionByName(wrong)
 
 
 def applicable(files: DataFrame, rules: DataFrame, limit: int | None = None) -> DataFrame:
@@ -132,7 +222,7 @@ def applicable(files: DataFrame, rules: DataFrame, limit: int | None = None) ->
     terms = F.size(F.filter("triggers", lambda t: F.contains(hay, t)))
     scoped, timed = F.size("include") > 0, (F.col("when_pattern") != "") | (F.size("when_terms") > 0)
     score = 1 + 4 * terms + 3 * scoped.cast("int") + 3 * timed.cast("int") + 2 * (F.lower("severity") == "blocker").cast("int")
-    shown = pairs.where((terms > 0) | scoped | timed | (F.col("kind") != "ai_review")).select("path", "rule_id", score.cast("long").alias("score"))
+    shown = pairs.where((terms > 0) | scoped | timed | (F.col("kind") != "ai_review") | F.col("core")).select("path", "rule_id", score.cast("long").alias("score"))
     ranked = shown.groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "rule_id"))).alias("all"))
     taken = F.slice("all", 1, limit) if limit is not None else F.col("all")
     return ranked.select("path", F.posexplode(taken).alias("rank", "x")).select("path", "x.rule_id", (-F.col("x.s")).alias("score"), (F.col("rank") + 1).cast("long").alias("rank"))
