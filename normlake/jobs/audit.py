@@ -23,8 +23,28 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.coalesce(F.col("event_type"), F.lit("None"))
-    return _events(spark, sf_dir).groupBy(name.alias("event")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+    return a.event_counts(_events(spark, sf_dir), "event_type", "user_id")
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the status they carry; half of them have none."""
+    status = F.when(F.col("event_id") % 4 == 0, F.lit(None)).when(F.col("event_id") % 4 == 1, "").otherwise(F.col("event_type"))
+    return a.status_counts(_events(spark, sf_dir).withColumn("status", status), "status")
+
+
+def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that ask for a review, and the tallies of failures and reviews, by user."""
+    event = F.when(F.col("event_id") % 3 == 0, "post_write_check").when(F.col("event_id") % 3 == 1, "stop_summary").otherwise("write_observed")
+    results = _results(spark, sf_dir).withColumn("event", event).withColumn("outcome", F.when(F.col("event_id") % 2 == 0, "completed"))
+    asked = a.review_requests(results).groupBy("user_id").agg(F.count("*").alias("asked"))
+    return a.tallies(results, ["user_id"]).join(asked, "user_id", "left").na.fill(0, ["asked"])
+
+
+def appended_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the events of the log's later part, which follow those of the earlier one."""
+    events = _events(spark, sf_dir).select("user_id", "event_id", "ts")
+    old, new = events.where("ts < timestamp'2024-01-16'"), events.where("ts >= timestamp'2024-01-16'")
+    return a.append_numbered(new, a.numbered(old, "user_id", ["ts", "event_id"]), "user_id", ["ts", "event_id"]).select("event_id", "seq")
 
 
 def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +95,13 @@ def severity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", rank.cast("long").alias("severity"), "o_totalprice").orderBy("severity", F.desc("o_totalprice"), "o_orderkey").limit(40)
 
 
-QUERIES = {f.__name__: f for f in (event_counts, latest_by_key, resolved_unresolved, pending_after_attest, session_sequence, json_props, receipt_validity, evidence_lines, last_message_per_conv, severity_topk)}
+QUERIES = {f.__name__: f for f in (status_counts, review_requests, appended_sequence, event_counts, latest_by_key, resolved_unresolved, pending_after_attest, session_sequence, json_props, receipt_validity, evidence_lines, last_message_per_conv, severity_topk)}
 _R = "r AS (SELECT user_id, (props->>'$.k')::int % 5 AS checker, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'pass' WHEN 'view' THEN 'skip' ELSE 'review' END AS status, ts, event_id FROM events)"
 ORACLES = {
+    "status_counts": "SELECT event_type AS policy_status, count(*) AS n FROM events WHERE event_id % 4 >= 2 AND coalesce(event_type, '') <> '' GROUP BY event_type",
+    "review_requests": """SELECT user_id, count(*) FILTER (s = 'fail') AS failed, count(*) FILTER (s = 'review') AS review, count(*) FILTER (s = 'review' AND (event_id % 3 = 0 OR event_id % 3 = 1 AND event_id % 2 = 1)) AS asked
+      FROM (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'pass' WHEN 'view' THEN 'skip' ELSE 'review' END AS s FROM events) GROUP BY user_id""",
+    "appended_sequence": "SELECT event_id, seq FROM (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) WHERE ts >= TIMESTAMP '2024-01-16'",
     "event_counts": "SELECT coalesce(event_type, 'None') AS event, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
     "latest_by_key": f"WITH {_R} SELECT user_id, arg_max(status, (ts, event_id)) AS status, bool_or(status IN ('fail', 'error')) AS ever_failed, count(*) AS n FROM r GROUP BY user_id",
     "resolved_unresolved": f"""WITH {_R}, l AS (SELECT user_id, checker, arg_max(status, (ts, event_id)) AS status, bool_or(status = 'fail') AS failed FROM r GROUP BY user_id, checker)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bundles
 from ..operators import review as v
 
 
@@ -30,9 +31,33 @@ def fingerprint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
-    decision = F.when(F.col("quality").isNull(), "pending_review").when(F.col("toxic") == 1, "modified").when(F.col("quality") == 1, "approved").otherwise("rejected")
-    return counts.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"), F.count_if(decision.isin("approved", "modified")).alias("n_active"))
+    decision = F.when(F.col("toxic") == 1, "modified").when(F.col("quality") == 1, "approved").otherwise("rejected")
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("rule_id"), F.when(F.col("quality").isNotNull(), decision).alias("decision"))
+    return v.decision_counts(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("rule_id")), labels)
+
+
+def rule_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = v.rule_view(_rules(spark, sf_dir), _decisions(spark, sf_dir))
+    return shown.select("rule_id", "decision", "edited", "notes", "current", "decision_hash")
+
+
+def locked_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compare and set: every third decision is updated with the hash that was shown, every ninth with an old one, some ids are unknown."""
+    current = _decisions(spark, sf_dir)
+    updates = current.where("rule_id % 3 = 0").select(F.when(F.col("rule_id") % 5 == 0, -F.col("rule_id") - 1).otherwise(F.col("rule_id")).alias("rule_id"), F.when(F.col("rule_id") % 9 == 0, "old").otherwise(v.decision_fingerprint()).alias("expected"), F.lit("rejected").alias("decision"))
+    return v.update_decisions(current, updates)
+
+
+def id_set_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that labels lack or hold beyond documents."""
+    docs, labels = _t(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id"), _t(spark, sf_dir, "labels").where("doc_id % 3 < 2").select("doc_id")
+    return v.same_ids(docs, labels, "doc_id")
+
+
+def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("rule_id"), F.col("source").alias("document"))
+    active = v.apply(_rules(spark, sf_dir), _decisions(spark, sf_dir))
+    return bundles.status(rules, _decisions(spark, sf_dir), active)
 
 
 def reconcile_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,17 +87,17 @@ def mirror_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uniform_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.size("embedding")
-    return _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.min(size).cast("long").alias("least"), F.max(size).cast("long").alias("most"), (F.min(size) == F.max(size)).alias("uniform"))
+    return v.uniform_dimension(_t(spark, sf_dir, "embeddings"), "embedding")
 
 
 def multi_field_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hay = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type"))
-    return _t(spark, sf_dir, "part").where(F.contains(hay, F.lit("promo")) & (F.col("p_size") > 20) & F.contains(F.lower("p_brand"), F.lit("1"))).select("p_partkey", "p_brand", "p_type", "p_size")
+    found = v.matching(_t(spark, sf_dir, "part").where("p_size > 20"), "PROMO", ["p_name", "p_brand", "p_type"], p_brand=["brand#11", "Brand#13", "Brand#31"])
+    return found.select("p_partkey", "p_brand", "p_type", "p_size")
 
 
-QUERIES = {f.__name__: f for f in (fingerprint_rows, decision_counts, reconcile_decisions, apply_decisions, bundle_fingerprint, cache_hit_miss, mirror_upsert, uniform_dimension, multi_field_filter)}
-_HASH = "sha256('lang=' || coalesce(lang, '') || chr(10) || 'source=' || coalesce({0}, '') || chr(10) || 'text=' || coalesce(text, ''))"
+QUERIES = {f.__name__: f for f in (fingerprint_rows, decision_counts, reconcile_decisions, apply_decisions, bundle_fingerprint, cache_hit_miss, mirror_upsert, uniform_dimension, multi_field_filter, rule_view, locked_updates, id_set_problems, status_rollup)}
+_HASH = "sha256(json_object('lang', lang, 'source', {0}, 'text', text)::varchar)"
+_SHOWN = "sha256(json_object('decision', decision, 'edited', edited, 'notes', '', 'review_hash', review_hash, 'rule_id', rule_id)::varchar)"
 _D = f"""d AS (SELECT doc_id AS rule_id, CASE WHEN toxic = 1 THEN 'modified' WHEN quality = 1 THEN 'approved' ELSE 'pending_review' END AS decision, CASE WHEN toxic = 1 THEN 'edited' END AS edited,
   CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE {_HASH.format('source')} END AS review_hash FROM labels LEFT JOIN documents USING (doc_id))"""
 ORACLES = {
@@ -84,10 +109,17 @@ ORACLES = {
       SELECT rule_id, decision, CASE WHEN review_hash = old_hash AND old_hash = new_hash THEN 'preserved' ELSE 'dropped' END AS outcome FROM d LEFT JOIN o USING (rule_id) LEFT JOIN n USING (rule_id) WHERE decision <> 'pending_review' OR coalesce(edited, '') <> ''""",
     "apply_decisions": f"""WITH {_D}, r AS (SELECT doc_id AS rule_id, text AS statement, {_HASH.format('source')} AS hash FROM documents)
       SELECT status, count(*) AS n, sum(length(statement))::bigint AS chars FROM (SELECT CASE WHEN hash IS NULL THEN 'unknown_rule' WHEN decision IS NULL THEN 'pending_review' WHEN review_hash <> hash THEN 'stale_hash' WHEN decision = 'modified' THEN 'approved' ELSE decision END AS status,
-      CASE WHEN decision = 'modified' THEN edited ELSE statement END AS statement FROM r FULL JOIN d USING (rule_id)) GROUP BY status""",
+      CASE WHEN decision = 'modified' AND review_hash = hash THEN edited ELSE statement END AS statement FROM r FULL JOIN d USING (rule_id)) GROUP BY status""",
     "cache_hit_miss": "SELECT lang, count(*) FILTER (hit) AS cached, count(*) FILTER (NOT hit) AS generated FROM (SELECT lang, sha256('model:' || text) IN (SELECT sha256('model:' || text) FROM documents JOIN labels USING (doc_id)) AS hit FROM documents) GROUP BY lang",
     "mirror_upsert": """SELECT k, coalesce(b.name, a.name) AS name, coalesce(b.balance, a.balance) AS balance, CASE WHEN b.name IS NULL THEN 'kept' WHEN a.name IS NULL THEN 'inserted' ELSE 'updated' END AS change
       FROM (SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance FROM customer) a FULL JOIN (SELECT s_suppkey * 20 AS k, s_name AS name, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS balance FROM supplier) b USING (k)""",
     "uniform_dimension": "SELECT count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most, min(len(embedding)) = max(len(embedding)) AS uniform FROM embeddings",
-    "multi_field_filter": "SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'promo') AND p_size > 20 AND contains(lower(p_brand), '1')",
+    "multi_field_filter": "SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE contains(lower(concat_ws(chr(10), p_name, p_brand, p_type)), 'promo') AND p_size > 20 AND p_brand IN ('Brand#11', 'Brand#13', 'Brand#31')",
+    "rule_view": f"WITH {_D}, r AS (SELECT doc_id AS rule_id, {_HASH.format('source')} AS hash FROM documents) SELECT rule_id, coalesce(decision, 'pending_review') AS decision, coalesce(edited, '') AS edited, '' AS notes, coalesce(review_hash = hash, false) AS current, CASE WHEN decision IS NOT NULL THEN {_SHOWN} END AS decision_hash FROM r LEFT JOIN d USING (rule_id)",
+    "locked_updates": f"""WITH {_D}, h AS (SELECT rule_id, decision, {_SHOWN} AS hash FROM d), u AS (SELECT CASE WHEN rule_id % 5 = 0 THEN -rule_id - 1 ELSE rule_id END AS rule_id, CASE WHEN rule_id % 9 = 0 THEN 'old' ELSE hash END AS expected FROM h WHERE rule_id % 3 = 0),
+      o AS (SELECT rule_id, decision, CASE WHEN expected IS NULL THEN 'kept' WHEN hash IS NULL THEN 'unknown' WHEN expected = hash THEN 'updated' ELSE 'conflict' END AS outcome FROM h FULL JOIN u USING (rule_id))
+      SELECT rule_id, CASE WHEN outcome = 'updated' THEN 'rejected' ELSE decision END AS decision, outcome FROM o""",
+    "id_set_problems": "SELECT doc_id, CASE WHEN l IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM (SELECT doc_id, doc_id AS d FROM documents WHERE doc_id % 3 > 0) FULL JOIN (SELECT doc_id, doc_id AS l FROM labels WHERE doc_id % 3 < 2) USING (doc_id) WHERE d IS NULL OR l IS NULL",
+    "status_rollup": f"""WITH {_D}, r AS (SELECT doc_id AS rule_id, source, {_HASH.format('source')} AS hash FROM documents), j AS (SELECT rule_id, source, coalesce(decision, 'pending_review') AS decision, decision IN ('approved', 'modified') AND review_hash = hash AS live FROM r LEFT JOIN d USING (rule_id))
+      SELECT count(*)::bigint AS candidates, count(*) FILTER (decision = 'pending_review')::bigint AS pending, count(*) FILTER (decision IN ('approved', 'modified'))::bigint AS approved, count(DISTINCT source) AS documents, count(*) FILTER (live) AS active FROM j""",
 }

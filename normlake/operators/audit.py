@@ -9,6 +9,16 @@ from pyspark.sql.window import Window
 FAILED, SETTLED = ("fail", "error"), ("pass", "skip")
 
 
+def event_counts(events: DataFrame, event: str, session: str) -> DataFrame:
+    """``event, n, n_users``; a null event counts as ``None``."""
+    return events.groupBy(F.coalesce(F.col(event), F.lit("None")).alias("event")).agg(F.count("*").alias("n"), F.count_distinct(session).alias("n_users"))
+
+
+def status_counts(events: DataFrame, status: str) -> DataFrame:
+    """``policy_status, n`` of the events that have one; null and empty ones don't count."""
+    return events.where(F.coalesce(F.col(status), F.lit("")) != "").groupBy(F.col(status).alias("policy_status")).agg(F.count("*").alias("n"))
+
+
 def latest(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last ``status`` of each key by ``order``, and whether it ever failed; aggregated before the shuffle."""
     at = F.struct(*order)
@@ -28,6 +38,22 @@ def pending_reviews(reviews: DataFrame, attestations: DataFrame) -> DataFrame:
     return asked.join(cleared, "rule_id", "left").where(F.col("cleared").isNull() | (F.col("asked") > F.col("cleared"))).select("rule_id", "path", "asked")
 
 
+def review_requests(results: DataFrame) -> DataFrame:
+    """Results (``event, outcome, status``) that ask for a review: after a write, or at the end of a task that wasn't completed."""
+    return results.where((F.col("status") == "review") & ((F.col("event") == "post_write_check") | ((F.col("event") == "stop_summary") & (F.coalesce("outcome", F.lit("")) != "completed"))))
+
+
+def tallies(results: DataFrame, keys: list[str]) -> DataFrame:
+    """``failed`` and ``review`` results of each key (a session's event, say)."""
+    return results.groupBy(*keys).agg(F.count_if(F.col("status").isin(*FAILED)).alias("failed"), F.count_if(F.col("status") == "review").alias("review"))
+
+
+def append_numbered(events: DataFrame, log: DataFrame, session: str, order: list[str]) -> DataFrame:
+    """New events with the numbers that follow their sessions' last in ``log`` (``seq``): what an append writes."""
+    ends = log.groupBy(session).agg(F.max("seq").alias("_last"))
+    return numbered(events, session, order).join(ends, session, "left").withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(0))).drop("_last")
+
+
 def numbered(events: DataFrame, session: str, order: list[str]) -> DataFrame:
     """Add each event's number in its session, from 1, without one task per session.
 

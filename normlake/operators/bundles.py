@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lexicon import source_label
+from ..functions.payloads import cell, safe_session
 from .audit import FAILED, issues
-from .retrieval import Index
+from .extraction import Lexicon, extract, qualify_ids
+from .retrieval import Index, build_index
+from .review import apply_strict, bundle_id, decision_counts, fingerprint, reconcile
+from .specs import draft_errors
 
 SCHEMA_VERSION = 1
 SEVERITIES, SCOPES = ("blocker", "major", "advisory"), ("company", "department", "project", "unknown")
@@ -64,10 +71,13 @@ def core_rules(rules: DataFrame, limit: int = 40) -> DataFrame:
     ``rules`` has ``rule_id, severity, scope, core`` (boolean or null). Order: marked first, severity, scope, id.
     """
     chosen = rules.where(F.coalesce("core", F.lit(False)) | (F.col("core").isNull() & (F.col("severity") == "blocker") & (F.col("scope") != "project")))
+    return chosen.orderBy(*_core_order()).limit(max(0, limit))
+
+
+def _core_order() -> list[Column]:
     severity = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0))
     scope = F.coalesce(F.array_position(F.array(*map(F.lit, SCOPES)), F.col("scope")), F.lit(0))
-    order = [F.when(F.coalesce("core", F.lit(False)), 0).otherwise(1), F.when(severity == 0, 9).otherwise(severity), F.when(scope == 0, 9).otherwise(scope), F.col("rule_id")]
-    return chosen.orderBy(*order).limit(max(0, limit))
+    return [F.when(F.coalesce("core", F.lit(False)), 0).otherwise(1), F.when(severity == 0, 9).otherwise(severity), F.when(scope == 0, 9).otherwise(scope), F.col("rule_id")]
 
 
 def within_budget(ranked: DataFrame, most_chars: int) -> DataFrame:
@@ -90,23 +100,158 @@ def approve_all(rules: DataFrame, ids: DataFrame, most: int = 2000) -> DataFrame
 
 
 def review_sections(rules: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``document, line_start, rule_id, markdown``: one section for each rule, to be read in that order.
+    """``document, line_start, rule_id, markdown``: one section for each rule, to be read by document (case apart), line and id.
 
-    ``rules`` has ``rule_id, title, statement, severity, document, line_start, hash``; ``decisions`` has ``rule_id, decision``.
+    ``rules`` has ``rule_id, title, statement, severity, document, line_start, hash``; ``decisions`` has ``rule_id, decision`` and maybe ``edited, notes``.
     """
     mark = F.coalesce("decision", F.lit("pending_review"))
     boxes = [F.concat(F.lit("- ["), F.when(mark == d, "x").otherwise(" "), F.lit(f"] {d}")) for d in ("approved", "rejected", "modified", "needs_edit")]
     quote = F.concat(F.lit("> "), F.replace("statement", F.lit("\n"), F.lit("\n> ")))
-    text = F.concat_ws("\n", F.concat(F.lit("## "), "rule_id", F.lit(" "), "title"), F.concat(F.lit("<!-- rule "), "rule_id", F.lit(" "), "hash", F.lit(" -->")), F.concat(F.lit("Severity: "), "severity"), quote, *boxes)
-    return rules.join(decisions.select("rule_id", "decision"), "rule_id", "left").select("document", "line_start", "rule_id", text.alias("markdown"))
+    shown = decisions.select("rule_id", "decision", *[F.col(c) if c in decisions.columns else F.lit("").alias(c) for c in ("edited", "notes")])
+    own = [F.concat(F.lit(f"<!-- {c} -->\n"), F.coalesce(c, F.lit("")), F.lit(f"\n<!-- /{c} -->")) for c in ("edited", "notes")]
+    text = F.concat_ws("\n", F.concat(F.lit("## "), "rule_id", F.lit(" "), "title"), F.concat(F.lit("<!-- rule "), "rule_id", F.lit(" "), "hash", F.lit(" -->")), F.concat(F.lit("Severity: "), "severity"), quote, *boxes, *own)
+    return rules.join(shown, "rule_id", "left").select("document", "line_start", "rule_id", text.alias("markdown"))
+
+
+def in_review_order(sections: DataFrame) -> DataFrame:
+    """Sections in the order in which a person reads them."""
+    return sections.orderBy(F.lower("document"), "line_start", "rule_id")
 
 
 def parse_sections(sections: DataFrame) -> DataFrame:
-    """Decisions from sections (``markdown``): ``rule_id, review_hash, decision``; several marks give ``conflict``."""
+    """Decisions from sections (``markdown``): ``rule_id, review_hash, decision, edited, notes``.
+
+    Several marks give ``conflict``, a modified rule without its new text ``missing_edit``: neither is ever taken for an approval.
+    """
     rule = F.regexp_extract("markdown", r"<!-- rule (\S+) ([0-9a-f]{64}) -->", 1)
     found = F.regexp_extract_all("markdown", F.lit(r"(?m)^- \[[xX]\] (approved|rejected|modified|needs_edit)\s*$"), 1)
-    decision = F.when(F.size(found) > 1, "conflict").otherwise(F.coalesce(F.get(found, F.lit(0)), F.lit("pending_review")))
-    return sections.select(rule.alias("rule_id"), F.regexp_extract("markdown", r"<!-- rule (\S+) ([0-9a-f]{64}) -->", 2).alias("review_hash"), decision.alias("decision")).where("rule_id <> ''")
+    edited, notes = (F.regexp_replace(F.regexp_extract("markdown", rf"(?s)<!-- {c} -->\n(.*?)\n?<!-- /{c} -->", 1), r"^\s+|\s+$", "") for c in ("edited", "notes"))
+    decision = F.when(F.size(found) > 1, "conflict").when((F.get(found, F.lit(0)) == "modified") & (edited == ""), "missing_edit").otherwise(F.coalesce(F.get(found, F.lit(0)), F.lit("pending_review")))
+    return sections.select(rule.alias("rule_id"), F.regexp_extract("markdown", r"<!-- rule (\S+) ([0-9a-f]{64}) -->", 2).alias("review_hash"), decision.alias("decision"), edited.alias("edited"), notes.alias("notes")).where("rule_id <> ''")
+
+
+def cards(rules: DataFrame) -> DataFrame:
+    """What a reader is shown of a rule: ``id, title, statement, severity, category, source``, severity and category never empty."""
+    filled = lambda name, default: F.when(F.coalesce(name, F.lit("")) == "", default).otherwise(F.col(name)).alias(name)
+    return rules.select("id", "title", "statement", filled("severity", "major"), filled("category", "coding"), source_label(F.col("document"), F.col("section")).alias("source"))
+
+
+def context(found: DataFrame, most_chars: int = 12_000) -> DataFrame:
+    """One text for each query, of its cards (``query_id, rank, id, level, statement, source, description, negative, positive``).
+
+    Each card gets an even share of the budget, from 520 to 3,200 characters; statements and fields that are longer end in an ellipsis, and so
+    does the whole if it is still too long. A query has a bounded number of cards.
+    """
+    sized = found.withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
+    share = F.least(F.lit(3200), F.greatest(F.lit(520), F.floor(F.lit(max(0, most_chars - 700)) / F.col("_n")))).cast("int")
+
+    def cut(text: Column, most: Column) -> Column:
+        return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, F.lit(1), most - 1)), F.lit("…"))).otherwise(text)
+
+    sized = sized.withColumn("_share", share).withColumn("_s", cut(F.coalesce("statement", F.lit("")), F.least(F.lit(600), F.greatest(F.lit(180), F.floor(F.col("_share") / 4).cast("int")))))
+    suffix = F.when(F.coalesce("source", F.lit("")) == "", "").otherwise(F.concat(F.lit(" ("), "source", F.lit(")")))
+    fields = {n: F.nullif(F.coalesce(F.col(n), F.lit("")), F.lit("")) for n in ("description", "negative", "positive")}
+    present = sum((f.isNotNull().cast("int") for f in fields.values()), F.lit(0))
+    room = F.greatest(F.lit(100), F.floor(F.greatest(F.lit(0), F.col("_share") - F.length("_s") - F.length(suffix) - 80) / F.greatest(F.lit(1), present)).cast("int"))
+    head = F.concat(F.lit("- ["), "id", F.lit("]"), F.when(F.coalesce("level", F.lit("")) == "", "").otherwise(F.concat(F.lit(" "), "level")), F.lit(" "), "_s", suffix)
+    body = F.concat_ws("\n", head, *[F.concat(F.lit(f"  {n}: "), cut(f, room)) for n, f in fields.items()])
+    whole = sized.select("query_id", "rank", body.alias("_text")).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_text"))), lambda x: x["_text"]), "\n").alias("text"), F.count("*").alias("n_cards"))
+    return whole.withColumn("text", cut(F.col("text"), F.lit(most_chars)))
+
+
+def core_block(rules: DataFrame, limit: int = 40, heading: str = "## Core rules") -> DataFrame:
+    """One row ``markdown``: the core rules (``rule_id, statement, severity, scope, core``) as a list, or a line that says there are none."""
+    chosen = core_rules(rules, limit)  # at most limit rows
+    line = F.concat(F.lit("- `"), "rule_id", F.lit("`: "), "statement")
+    order = _core_order()
+    listed = chosen.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")).alias("x")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias("lines"))
+    body = F.when(F.size("lines") == 0, "- none").otherwise(F.array_join("lines", "\n"))
+    return listed.select(F.concat(F.lit(f"{heading}\n\n"), body, F.lit("\n")).alias("markdown"))
+
+
+def session_report(summary: DataFrame) -> DataFrame:
+    """``session_id, markdown``: a short report for each row of :func:`session_summary`."""
+    def listed(name: str, items: Column) -> Column:
+        return F.concat(F.lit(f"## {name}\n\n"), F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "- none").otherwise(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), cell(x))), "\n")))
+
+    issue = lambda c: F.transform(c, lambda i: F.concat_ws(" ", i["rule_id"], i["path"], i["checker"]))
+    parts = [F.concat(F.lit("# Session "), safe_session(F.col("session_id").cast("string"))), F.concat(F.lit("Events: "), F.col("events").cast("string")), F.concat(F.lit("Blocking failures: "), F.coalesce("blocking_failures", F.lit(0)).cast("string"))]
+    parts += [listed("Changed files", F.col("changed_files")), listed("Rules", F.col("matched_rule_ids")), listed("Unresolved", issue(F.col("unresolved"))), listed("Resolved", issue(F.col("resolved")))]
+    return summary.select("session_id", F.concat_ws("\n\n", *parts).alias("markdown"))
+
+
+#: Where a bundle's rules are mirrored to: any callable that takes the rules and the bundle's id.
+Sink = Callable[[DataFrame, str], None]
+
+
+def load_sink(name: str) -> Sink:
+    """The sink that ``module:function`` names."""
+    module, _, function = name.partition(":")
+    found = getattr(importlib.import_module(module), function, None) if module and function else None
+    if not callable(found):
+        raise ValueError(f"{name!r} names no sink: module:function is wanted")
+    return found
+
+
+def prepare(documents: DataFrame, previous: DataFrame | None, decisions: DataFrame | None, path: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
+    """From documents (``doc_id, text, source``) to a stored review: candidates, their hashes, and the decisions that still hold.
+
+    Writes ``candidates`` and ``review`` below ``path`` and returns the candidates. Decisions whose rule has changed or gone are
+    stored as ``dropped``: nobody's work disappears unseen.
+    """
+    found = qualify_ids(extract(documents, lexicon)).withColumn("hash", fingerprint({c: F.col(c).cast("string") for c in ("rule_id", "statement", "title", "severity", "category", "document", "section")}))
+    found.write.mode("overwrite").parquet(f"{path}/candidates")
+    spark = documents.sparkSession
+    stored = spark.read.parquet(f"{path}/candidates")
+    none = spark.createDataFrame([], "rule_id string, decision string, review_hash string, edited string, notes string")
+    held = reconcile(previous, decisions, stored) if previous is not None and decisions is not None else none.select("rule_id", "decision", F.lit("").alias("outcome"))
+    held.where("outcome = 'dropped'").write.mode("overwrite").parquet(f"{path}/dropped")
+    kept = held.where("outcome = 'preserved'").select("rule_id", "decision")
+    review_sections(stored, kept).repartitionByRange(F.lower("document"), "line_start", "rule_id").sortWithinPartitions(F.lower("document"), "line_start", "rule_id").write.mode("overwrite").parquet(f"{path}/review")
+    return stored
+
+
+def activate(candidates: DataFrame, decisions: DataFrame, path: str, policy_version: str, records: list[dict] | None = None, sink: Sink | None = None, core_limit: int = 40) -> str:
+    """From candidates and strict decisions to a stored, fingerprinted bundle with its index, core block and mirror; returns the bundle's id.
+
+    Nothing is written if a decision is refused, no rule is approved or a check's draft is wrong. The manifest comes last.
+    """
+    applied = apply_strict(candidates, decisions).where("status = 'approved'").select("rule_id", F.col("statement").alias("_statement"))
+    approved = candidates.drop("status").join(applied, "rule_id").withColumn("statement", F.col("_statement")).withColumn("status", F.lit("approved")).drop("_statement")
+    if approved.isEmpty():
+        raise ValueError("no rule is approved; the active bundle stays")
+    if wrong := draft_errors(records or []):
+        raise ValueError("; ".join(wrong[:20]))
+    hashed = approved.withColumn("hash", fingerprint({"rule_id": F.col("rule_id").cast("string"), "statement": F.col("statement"), "severity": F.col("severity"), "policy_version": F.lit(policy_version)}))
+    name = bundle_id(hashed.select("rule_id", "hash")).first()["bundle_id"]
+    hashed.write.mode("overwrite").parquet(f"{path}/rules")
+    stored = candidates.sparkSession.read.parquet(f"{path}/rules")
+    core_block(stored.select("rule_id", "statement", "severity", F.lit("unknown").alias("scope"), F.lit(None).cast("boolean").alias("core")), core_limit).write.mode("overwrite").parquet(f"{path}/core")
+    if sink is not None:
+        sink(stored, name)
+    write_index(build_index(stored, "rule_id", "statement"), f"{path}/index", policy_version, name)
+    return name
+
+
+def read_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """An active bundle's rules after all checks: not empty, all approved, and its index of the fingerprint that its rules have now."""
+    rules = spark.read.parquet(f"{path}/rules")
+    row = rules.agg(F.count("*").alias("n"), F.count_if(F.col("status") != "approved").alias("open"), F.count_distinct("rule_id").alias("ids")).first()
+    if not row["n"] or row["open"] or row["ids"] < row["n"]:
+        raise ValueError("the bundle is empty, repeats ids or holds rules that aren't approved")
+    version = manifest(spark, f"{path}/index").first()["policy_version"]
+    again = rules.withColumn("hash", fingerprint({"rule_id": F.col("rule_id").cast("string"), "statement": F.col("statement"), "severity": F.col("severity"), "policy_version": F.lit(version)}))
+    read_index(spark, f"{path}/index", version, bundle_id(again.select("rule_id", "hash")).first()["bundle_id"])
+    return rules
+
+
+def status(candidates: DataFrame, decisions: DataFrame, active: DataFrame) -> DataFrame:
+    """One row: candidates, pending, approved (modified ones included) and active rules, documents that have candidates."""
+    counts = decision_counts(candidates, decisions)
+    pending = F.coalesce(F.sum(F.when(F.col("decision") == "pending_review", F.col("n"))), F.lit(0))
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"), pending.alias("pending"), F.coalesce(F.sum("n_active"), F.lit(0)).alias("approved"))
+    other = candidates.agg(F.count_distinct("document").alias("documents"))
+    return totals.crossJoin(F.broadcast(other)).crossJoin(F.broadcast(active.agg(F.count_if(F.col("status") == "approved").alias("active"))))  # one row each
 
 
 def session_summary(events: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
 """Receipts as a stream: the event log is read incrementally and folded per session with event time.
 
-A ``prepare`` event opens a receipt for its session, an edit within the time to live is authorized by it,
-and state that the watermark has passed is dropped. The fold keeps one receipt per session.
+A ``prepare`` event opens a receipt for its session and an edit within the time to live is authorized by it. A timer drops a receipt once
+the watermark has passed its time to live, so state holds only sessions with a receipt that may still count. Within a
+micro-batch events are taken in order of time; one that is older than the last of its session that was seen, at most ``late``,
+is judged by the receipt in force when it comes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "session_id long, event_id long, authorized boolean"
@@ -18,8 +21,11 @@ OUTPUT = "session_id long, event_id long, authorized boolean"
 
 def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_seconds: float) -> Iterator[pd.DataFrame]:
     """Authorize each edit whose session has a receipt of 0 to ``ttl_seconds`` seconds; an edit consumes it."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     issued = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["at", "event_id"]) if not state.hasTimedOut else pd.DataFrame(columns=["at", "kind", "event_id"])
+    rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
     out = []
     for at, kind, event_id in zip(rows["at"], rows["kind"], rows["event_id"]):
         if kind == "prepare":
@@ -27,18 +33,36 @@ def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_sec
         elif kind == "edit":
             out.append((key[0], event_id, issued is not None and 0 <= at - issued <= ttl_seconds))
             issued = None
-    if issued is None:
+    expires = None if issued is None else int((issued + ttl_seconds) * 1000) + 1
+    if expires is None or expires <= state.getCurrentWatermarkMs():
         if state.exists:
             state.remove()
     else:
         state.update((issued,))
+        state.setTimeoutTimestamp(expires)
     yield pd.DataFrame(out, columns=["session_id", "event_id", "authorized"])
 
 
 def receipts(events: DataFrame, ttl_seconds: float = 900.0, late: str = "1 hour") -> DataFrame:
     """Decisions for the edits of a stream of ``session_id, event_id, ts, kind``."""
-    timed = events.withWatermark("ts", late).withColumn("at", F.unix_micros("ts") / 1e6)
-    return timed.groupBy("session_id").applyInPandasWithState(lambda key, batches, state: fold(key, batches, state, ttl_seconds), OUTPUT, "issued double", "append", GroupStateTimeout.NoTimeout)
+    timed = events.where("kind in ('prepare', 'edit')").withWatermark("ts", late).withColumn("at", F.unix_micros("ts") / 1e6)
+    return timed.groupBy("session_id").applyInPandasWithState(lambda key, batches, state: fold(key, batches, state, ttl_seconds), OUTPUT, "issued double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def report_as_it_comes(events: DataFrame, path: str, checkpoint: str, report: Callable[[DataFrame], DataFrame], session: str = "session_id") -> StreamingQuery:
+    """Append each micro-batch of events below ``path/log`` and write the reports of its sessions anew, each to ``path/reports/batch=N``.
+
+    A reader takes a session's report from the greatest batch. A batch that is repeated after a failure writes the same folders.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+        log = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log").where(F.col("batch") <= number).drop("batch")
+        touched = spark.read.parquet(f"{path}/log/batch={number}").select(session).distinct()
+        report(log.join(touched, session, "left_semi")).write.mode("overwrite").parquet(f"{path}/reports/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from normlake.functions.edits import apply_edits
 from normlake.functions.sizes import broadcast_if_small
-from normlake.functions.text import glob_regex, path_matches, postings, strip_markup
+from normlake.functions import lexicon as lx
+from normlake.functions import payloads
+from normlake.functions.text import folded, glob_regex, normalised, path_matches, plain_text, postings, strip_markup
+from normlake.functions.text import title as title_of
 from normlake.jobs import streams
-from normlake.operators import audit, bundles, checks, extraction, retrieval, review
+from normlake.operators import audit, bundles, checks, extraction, gates, retrieval, review, specs
 from normlake.sources import markdown, records
 from normlake.streaming.receipts import event_stream, receipts, windowed_counts
 
@@ -72,9 +75,45 @@ def test_checks(spark):
     assert lines == [(0, 2, "new Thread("), (1, 2, "new Thread(")]
     shown = {r["rule_id"]: r["score"] for r in checks.applicable(files.where("path like '%java'"), frame).collect()}
     assert shown == {"THREAD": 1, "WEB": 4, "NEED": 4, "ANY": 4}
-    for bad in ("(a+)+$", "x" * 2001, "("):
+    for bad in ("(a+)+$", "x" * 2001, r"(?:[a-z]+\d)*", r"(a{2,})+"):
         with pytest.raises(ValueError):
             checks.rules_frame(spark, [checks.Rule("BAD", "regex_forbid", (bad,))])
+    assert checks.unsafe_pattern(r"(\+)+") == ""
+
+
+def test_invalid_patterns_flags_and_references(spark):
+    files = spark.createDataFrame([("a.txt", "xaab\nBB cc"), ("b.txt", "none")], "path string, content string")
+    records = [
+        {"id": "BROKEN", "check": {"type": "regex_forbid", "pattern": "("}}, {"id": "WHEN", "check": {"type": "regex_require", "pattern": "x", "when_pattern": "["}},
+        {"id": "TWICE", "checks": [{"type": "regex_forbid", "pattern": r"([a-z])\1", "flags": "ignorecase"}, {"type": "regex_forbid", "pattern": "(?P<one>b)(?P=one)", "flags": ["i"]}]},
+        {"id": "EYES", "statement": "look", "severity": "blocker"}, {"id": "LATER", "check": {"type": "ai_review", "phases": "stop"}}, {"id": "OFF", "metadata": {"enforcement_disabled": True}}, {"id": "OPEN", "status": "pending_review"},
+    ]
+    rules = checks.rules_frame(spark, specs.compile_rules(records))
+    found = checks.check_files(files, rules).collect()
+    rows = {(r["rule_id"], r["path"][0], r["line"], r["evidence"]): (r["status"], r["blocking"]) for r in found}
+    assert rows["BROKEN", "a", 0, ""] == rows["WHEN", "b", 0, ""] == ("error", True)
+    assert {k[2:] for k in rows if k[:2] == ("TWICE", "a")} >= {(1, "aa"), (2, "BB"), (2, "cc")} and rows["TWICE", "b", 1, "nn"] == ("fail", False) if ("TWICE", "b", 1, "nn") in rows else rows["TWICE", "b", 0, ""] == ("pass", False)
+    assert rows["EYES", "a", 0, ""] == ("review", False) and not {k for k in rows if k[0] in ("LATER", "OFF", "OPEN")}
+    assert {r["rule_id"] for r in checks.check_files(files, rules, "stop", False, []).collect() if r["status"] == "review"} == set()
+    assert {r["rule_id"] for r in checks.check_files(files, rules, "stop", False, ["LATER"]).collect() if r["status"] == "review"} == {"LATER"}
+    assert not any(r["blocking"] for r in checks.check_files(files, rules, fail_closed=False).collect() if r["status"] == "error")
+
+
+def test_check_declarations():
+    record = {"id": "R", "statement": "s", "include_paths": ["r"], "metadata": {"path_globs": "m", "excluded_paths": ["x"]}, "checks": [{"type": "Regex_Forbid", "regex": "a", "path_glob": "s"}, "ai_review", {"checker": "path_allow", "allow": ["p"], "blocking": False}, 7, "nonsense"]}
+    one, two, three = specs.compile_rules([record])
+    assert (one.kind, one.patterns, one.include, one.exclude) == ("regex_forbid", ("a",), ("s",), ("x",)) and (two.kind, two.include) == ("ai_review", ("m",)) and (three.patterns, three.blocking) == (("p",), False)
+    assert specs.flag_letters("i, multiline,bogus") == "im" and specs.flag_letters(10) == "im" and specs.flag_letters(["dotall", "X"]) == "sx"
+    wrong = specs.draft_errors([record, {"id": "E", "check": []}, {"id": "N", "check": {"type": "companion_change", "trigger": "a"}}, {"id": "U", "check": {"type": "regex_require", "pattern": "(a+)+"}}, {"id": "I", "check": {"type": "regex_require", "pattern": "("}}, {"id": "OK"}])
+    assert [w.split()[0].rstrip(":") for w in wrong] == ["R", "R", "E", "N", "U", "I"]
+    assert specs.configured([record, {"id": "OK"}, {"id": "C", "enforcement_candidates": ["path_forbid", "coding_context"]}]) == 2
+
+
+def test_change_sets(spark):
+    rules = checks.rules_frame(spark, specs.compile_rules([{"id": "PAIR", "severity": "blocker", "checker": {"type": "companion_change", "changed": ["**/*Mapper.java"], "companion_paths": ["**/*Mapper.xml", "docs/*"]}}, {"id": "ANY", "checker": {"type": "companion_change", "changed": ["*.java"], "requires": ["*.xml", "docs/*"], "require_all": False}}]))
+    changes = spark.createDataFrame([(1, "a/UMapper.java", None), (1, "a\\UMapper.java", None), (2, "a/UMapper.java", ""), (2, "r/UMapper.xml", ""), (2, "docs/x", ""), (3, "x.txt", "")], "change_id long, path string, content string")
+    found = {(r["change_id"], r["rule_id"]): (r["status"], r["blocking"], r["evidence"]) for r in checks.check_change_sets(changes, rules).collect()}
+    assert found == {(1, "PAIR"): ("fail", True, "a/UMapper.java"), (1, "ANY"): ("fail", False, "a/UMapper.java"), (2, "PAIR"): ("pass", False, "a/UMapper.java"), (2, "ANY"): ("pass", False, "a/UMapper.java")}
 
 
 def test_companion_changes(spark):
@@ -138,16 +177,61 @@ def test_extraction(spark):
     lexicon = extraction.Lexicon(r"must|shall|never", r"never|must\s+not", r"must|shall", "should", categories={"security": ("password",), "threads": ("pool", "thread")})
     docs = spark.createDataFrame([(1, PROSE + "\nYou SHALL close resources.\n", "guide.md"), (2, None, "empty.md")], "doc_id long, text string, source string")
     found = {r["statement"]: r for r in extraction.extract(docs, lexicon).collect()}
-    assert set(found) == {"must use pools always", "never new Thread", "You shall close resources.", "a must row"}
+    assert set(found) == {"must use pools always", "never new Thread", "You shall close resources.", "a；must row"}
     assert found["never new Thread"]["severity"] == "blocker" and found["never new Thread"]["category"] == "threads"
     assert found["must use pools always"]["confidence"] == 0.8 and found["never new Thread"]["confidence"] == 0.88
     assert all(r["status"] == "pending_review" and r["rule_id"].startswith("AUTO-") for r in found.values())
 
 
-def test_structured_rules():
-    text = "# Rules\n### 1.1 G.NAM.01 Names\n【级别】要求\n【描述】Use clear\nnames\n【反例】x\n### 1.2 G.X.02 Empty\n【级别】建议\n## 2 Other\n"
-    found = extraction.structured_rules(text, {"级别": "level", "描述": "statement", "反例": "bad"})
-    assert [(r["code"], r["statement"], r["level"], r["line_start"], r["line_end"]) for r in found] == [("G.NAM.01", "Use clear\nnames", "要求", 2, 6)]
+STANDARD = """# Std
+### 1.1 G.NAM.01 Names `x`
+text before a field
+【级别】要求
+**【描述】** Use `List<String>` when a < b and c > d
+#### deeper
+```java
+# not a heading
+```
+【反例】
+bad | row
+### 1.2 G.NAM.01 Twice
+【级别】 建议
+## 2 Other
+- 必须 close everything here
+### G.X.02 No number
+"""
+
+
+def test_structured_rules(spark):
+    found = extraction.rule_blocks(STANDARD)
+    assert [(r[1], r[2], r[4], r[5], r[6], r[7]) for r in found] == [(2, 11, "G.NAM.01", "1.1", "Names x", "要求"), (12, 13, "G.NAM.01", "1.2", "Twice", "建议"), (16, 17, "G.X.02", "", "No number", "")]
+    assert found[0][8:] == ("text before a field\nUse List<String> when a < b and c > d\n#### deeper\n# not a heading", "bad；row", "") and found[0][0] == "Std" and found[2][0] == "Std / 2 Other"
+    docs = spark.createDataFrame([(1, STANDARD, "std/安全 规范.md"), (2, STANDARD, "std/b.md"), (3, None, "c.md")], "doc_id long, text string, source string")
+    rules = extraction.extract(docs).where("doc_id = 1").collect()
+    by = {(r["line_start"], r["statement"]): r for r in rules}
+    assert set(by) == {(2, "Names x"), (12, "Twice"), (15, "必须 close everything here"), (16, "No number")}
+    assert by[2, "Names x"]["rule_id"] == "G.NAM.01" and by[12, "Twice"]["rule_id"].startswith("G-NAM-01-") and by[12, "Twice"]["severity"] == "advisory"
+    assert by[2, "Names x"]["confidence"] == 0.96 and by[16, "No number"]["confidence"] == 0.9 and by[2, "Names x"]["section"] == "Std / 1.1 G.NAM.01 Names x"
+    assert by[15, "必须 close everything here"]["severity"] == "major" and "x" not in by[2, "Names x"]["triggers"]
+    named = {(r["doc_id"], r["line_start"]): (r["rule_id"], r["original_id"]) for r in extraction.qualify_ids(extraction.extract(docs)).collect()}
+    assert named[1, 2] == ("安全-规范::G.NAM.01", "G.NAM.01") and named[2, 16] == ("b::G.X.02", "G.X.02") and len({v[0] for v in named.values()}) == len(named)
+
+
+def test_ids_that_stay_equal_get_hashes_and_numbers(spark):
+    rows = [("X.1", "a/d.md", "s", 1, "t"), ("x.1", "a/d.md", "s", 2, "t"), ("X.1", "a/d.md", "s", 2, "t"), ("X.1", "a/d.md", "s", 2, "t"), ("d::Y.1", "e.md", "s", 1, "t"), ("Y.1", "d.md", "s", 1, "t"), ("Y.1", "f.md", "s", 1, "t"), ("Z.1", "g.md", "s", 1, "t"), ("L" * 300, "g.md", "s", 1, "t"), ("L" * 300, "h.md", "s", 1, "t")]
+    found = extraction.qualify_ids(spark.createDataFrame(rows, "rule_id string, document string, section string, line_start int, statement string")).collect()
+    ids = [r["rule_id"] for r in found]
+    assert len(ids) == 10 and len({i.lower() for i in ids}) == 10 and all(len(i) <= 240 for i in ids)
+    assert {r["rule_id"] for r in found if r["original_id"] is None} == {"d::Y.1", "Z.1"}
+
+
+def test_triggers_hints_and_enforcement(spark):
+    text = "```java\ncode()\n```\nUse `Map.of` not 反序列化 @Transactional foo.bar(x) Config.yml 格式化 字符串; 必须同步修改 src/main"
+    row = spark.createDataFrame([(text,)], "t string").select(lx.trigger_terms(F.col("t")).alias("t"), lx.retrieval_hints(F.col("t")).alias("h"), lx.direct_triggers(F.col("t")).alias("d"), lx.enforcement(F.col("t")).alias("e")).first()
+    assert row["t"] == ["Map.of", "@Transactional", "foo.bar", "Config.yml"]
+    assert row["h"][:2] == ["ObjectInputStream", "readObject"] and "占位符" in row["h"] and "Formatter" in row["d"] and len(set(row["h"])) == len(row["h"])
+    assert row["e"] == ["coding_context", "change_set_check", "path_check", "static_check", "ai_review"]
+    assert spark.range(1).select(lx.direct_triggers(F.lit("public class")).alias("d")).first()["d"] == []
 
 
 def test_id_collisions(spark):
@@ -158,7 +242,19 @@ def test_id_collisions(spark):
 def test_edits_and_markup(spark):
     edits = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new"), F.lit(c).alias("every")) for a, b, c in (("a", "b", False), ("b", "c", True), ("", "z", True), ("q", "z", False))])
     assert spark.range(1).select(apply_edits(F.lit("a a b"), edits)).first()[0] == "c a c"
-    assert spark.range(1).select(strip_markup(F.lit("> **A** [b](u) ![i](p) <!-- x\ny --> c | d"))).first()[0] == "A b i c d"
+    assert spark.range(1).select(strip_markup(F.lit("> **A** [b](u) ![i](p) <!-- x y --> c | d"))).first()[0] == "A b i c；d"
+    for text, want in (("use List<String> when a < b and c > d", "use List<String> when a < b and c > d"), ("see <https://x.y/z> now", "see now"), ("| a | b |", "a；b")):
+        assert spark.range(1).select(strip_markup(F.lit(text))).first()[0] == plain_text(text) == want
+    assert plain_text("ＡＢＣ　１") == "ABC 1"
+    titles = [(title, s) for title, s in (("A / Leaf", "short one。rest"), ("", "x" * 60), ("Leaf", "Leaf again"))]
+    assert [r[0] for r in spark.createDataFrame(titles, "a string, b string").select(title_of(F.col("a"), F.col("b"))).collect()] == ["Leaf：short one", "规范候选：" + "x" * 41 + "…", "Leaf again"]
+
+
+def test_normal_forms(spark):
+    rows = spark.createDataFrame([(1, "Ｇetｔer Straße Σς"), (2, None)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["text"], r["low"]) for r in folded(normalised(rows, ["text"]), "text", "low").collect()}
+    assert found == {1: ("Getter Straße Σς", "getter strasse σσ"), 2: (None, None)}
+    assert {r["token"] for r in postings(normalised(rows, ["text"]), "doc_id", "text").collect()} >= {"getter"}
 
 
 def test_sources(spark, tmp_path):
@@ -226,7 +322,7 @@ def test_review_round_trip(spark):
     rules = spark.createDataFrame([("R1", "One", "do\nthis", "major", "d", 3, "a" * 64), ("R2", "Two", "that", "blocker", "d", 9, "b" * 64), ("R3", "Three", "x", "major", "d", 12, "c" * 64)], "rule_id string, title string, statement string, severity string, document string, line_start int, hash string")
     decisions = spark.createDataFrame([("R1", "approved"), ("R2", "modified")], "rule_id string, decision string")
     found = {r["rule_id"]: (r["review_hash"], r["decision"]) for r in bundles.parse_sections(bundles.review_sections(rules, decisions)).collect()}
-    assert found == {"R1": ("a" * 64, "approved"), "R2": ("b" * 64, "modified"), "R3": ("c" * 64, "pending_review")}
+    assert found == {"R1": ("a" * 64, "approved"), "R2": ("b" * 64, "missing_edit"), "R3": ("c" * 64, "pending_review")}
     both = spark.createDataFrame([("<!-- rule R9 " + "d" * 64 + " -->\n- [x] approved\n- [X] rejected",)], "markdown string")
     assert bundles.parse_sections(both).first()["decision"] == "conflict"
 
@@ -247,3 +343,139 @@ def test_session_summary(spark):
     row = bundles.session_summary(events).first()
     assert (row["events"], row["changed_files"], row["failed_rule_ids"], row["blocking_failures"], row["attested_rule_ids"]) == (3, ["a.java"], ["R1", "R2"], 1, ["AI1"])
     assert [x["rule_id"] for x in row["resolved"]] == ["R1"] and [x["rule_id"] for x in row["unresolved"]] == ["R2"]
+
+
+def test_decisions_without_a_valid_hash_approve_nothing(spark):
+    rules = spark.createDataFrame([(i, f"s{i}", f"h{i}") for i in range(1, 9)] + [(8, "again", "h8")], "rule_id long, statement string, hash string")
+    rows = [(1, "approved", None, None), (2, "approved", "old", None), (3, "modified", "h3", " "), (3, "approved", "h3", None), (4, "modified", "h4", ""), (5, "modified", "h5", "new"), (6, "rejected", "h6", None), (8, "approved", "h8", None), (99, "approved", "x", None)]
+    decisions = spark.createDataFrame(rows, "rule_id long, decision string, review_hash string, edited string")
+    found = {r["rule_id"]: (r["status"], r["statement"]) for r in review.apply(rules, decisions).collect()}
+    assert found == {1: ("missing_hash", "s1"), 2: ("stale_hash", "s2"), 3: ("duplicate_decision", "s3"), 4: ("missing_edit", "s4"), 5: ("approved", "new"), 6: ("rejected", "s6"), 7: ("pending_review", "s7"), 8: ("duplicate_rule", "again"), 99: ("unknown_rule", None)}
+    for part in ("rule_id = 1", "rule_id = 2", "rule_id = 5"):
+        with pytest.raises(ValueError, match="refused"):
+            review.apply_strict(rules.where("rule_id <= 2 OR rule_id = 5"), decisions.where(part))
+    assert review.apply_strict(rules.where("rule_id = 5"), decisions.where("rule_id = 5")).first()["status"] == "approved"
+
+
+def test_fingerprints_tell_fields_and_nulls_apart(spark):
+    rows = spark.createDataFrame([("en", "x\nsource="), ("en\nsource=x", ""), ("en", None), ("en", ""), ("en", "")], "lang string, text string")
+    hashes = [r[0] for r in rows.select(review.fingerprint({"lang": F.col("lang"), "text": F.col("text")})).collect()]
+    assert len(set(hashes)) == 4 and hashes[3] == hashes[4]
+
+
+def test_bundle_id_folds_alike(spark):
+    rows = spark.range(500).select(F.col("id").alias("rule_id"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    one, two = (review.bundle_id(rows, n).first() for n in (1, 4096))
+    assert one["rule_count"] == two["rule_count"] == 500 and one["bundle_id"] == review.bundle_id(rows.orderBy(F.desc("rule_id")), 1).first()["bundle_id"]
+    assert review.bundle_id(rows.where("rule_id < 499"), 1).first()["bundle_id"] != one["bundle_id"] and review.bundle_id(rows.limit(0)).count() == 1
+
+
+def test_rounding_is_half_to_even(spark):
+    rows = spark.createDataFrame([(1, 0.1234565)], "k long, x double")
+    assert rows.groupBy("k").agg(F.bround(F.sum("x"), 6).alias("r")).first()["r"] == 0.123456
+
+
+def test_scoring_with_bonuses_and_ties(spark):
+    rows = [(1, "MAP-NULL", "", "major", ["Map.of"], "Map.of 不允许 null 集合"), (2, "MAP-COPY", "G.2", "blocker", [], "Map.copyOf 集合 拷贝"), (3, "POOL", "", "blocker", ["Map.of"], "线程池 管理"), (4, "A-TIE", "", "major", [], "集合 tie"), (5, "B-TIE", "", "blocker", [], "集合 tie")]
+    rules = spark.createDataFrame(rows, "doc_id long, id string, original_id string, severity string, triggers array<string>, text string")
+    queries = spark.createDataFrame([(1, "g.2 集合", "src/Foo.java", "Map.of(k)")], "query_id long, query string, path string, code string")
+    index = retrieval.build_field_index(rules, {"statement": F.col("text")})
+    terms = retrieval.query_terms(queries, {"query": "query", "path": "path", "code": "code"})
+    ranked = retrieval.top_k(retrieval.score_rules(index, rules, queries, terms), 9, 0.0, [retrieval.severity_rank(F.col("severity")), "id"]).orderBy("rank").collect()
+    assert [r["id"] for r in ranked] == ["MAP-COPY", "MAP-NULL", "B-TIE", "A-TIE"]  # POOL holds no term, so no bonus admits it
+    plain = {r["doc_id"]: r["score"] for r in retrieval.bm25(index, terms).collect()}
+    assert ranked[0]["score"] == pytest.approx(plain[2] + 12, abs=1e-6) and ranked[1]["score"] == pytest.approx(plain[1] + 2.5, abs=1e-6)
+    assert retrieval.in_scope(rules, "severity", []).count() == retrieval.in_scope(rules, "severity", None).count() == 5 and retrieval.in_scope(rules, "severity", "MAJOR").count() == 2
+
+
+def test_tool_calls(spark):
+    def call(**fields):
+        return (json.dumps(fields),)
+
+    rows = [call(tool_name="Bash", tool_input={"command": c}) for c in ('echo x > "a b.java"', "cat a.java", "sed -i s/a/b/ x.XML", "git restore a.yml", "python -c \"open('a.xml').write('')\"", "rm notes.txt", "tee a.properties")]
+    p = F.col("p")
+    assert [r[0] for r in spark.createDataFrame(rows, "p string").select(payloads.shell_write(p)).collect()] == [True, False, True, True, True, False, True]
+    rows = [call(tool_name="Edit", tool_input={"file_path": "a/b.Java"}, cwd="/w"), call(toolInput={"path": "/x/.java"}), call(tool_name="read", tool_input={"path": "x.java"}), call(sessionId=" a/b "), call(tool_response={"isError": "no"}, transcript_path="t")]
+    found = spark.createDataFrame(rows, "p string").select(payloads.managed_write(p), payloads.target_path(p), payloads.session_id(p), payloads.tool_failed(p)).collect()
+    assert [r[0] for r in found] == [True, False, False, False, False] and found[0][1] == "/w/a/b.Java" and found[3][2] == "a-b" and found[4][2].startswith("session-") and not found[4][3]
+
+
+def test_prepare_activate_and_read(spark, tmp_path):
+    docs = spark.createDataFrame([(1, STANDARD, "a.md"), (2, STANDARD, "b.md")], "doc_id long, text string, source string")
+    work, live = (tmp_path / n for n in ("work", "live"))
+    found = bundles.prepare(docs, None, None, work.as_uri())
+    sections = spark.read.parquet((work / "review").as_uri())
+    assert sections.count() == found.count() == 8
+    with pytest.raises(ValueError, match="approved"):
+        bundles.activate(found, bundles.parse_sections(sections), live.as_uri(), "v1")
+    marked = sections.withColumn("markdown", F.when(F.col("document") == "a.md", F.replace("markdown", F.lit("- [ ] approved"), F.lit("- [x] approved"))).otherwise(F.col("markdown")))
+    decisions = bundles.parse_sections(marked)
+    sent = []
+    name = bundles.activate(found, decisions, live.as_uri(), "v1", sink=lambda rules, bundle: sent.append((rules.count(), bundle)))
+    assert len(name) == 64 and sent == [(4, name)] and bundles.read_bundle(spark, live.as_uri()).count() == 4
+    assert "- `" in spark.read.parquet((live / "core").as_uri()).first()["markdown"] or "- none" in spark.read.parquet((live / "core").as_uri()).first()["markdown"]
+    with pytest.raises(ValueError, match="companion_change"):
+        bundles.activate(found, decisions, live.as_uri(), "v1", [{"id": "N", "check": {"type": "companion_change"}}])
+    again = bundles.prepare(docs.where("doc_id = 1"), found.select("rule_id", "hash"), decisions, (tmp_path / "next").as_uri())
+    assert again.count() == 4 and spark.read.parquet((tmp_path / "next" / "dropped").as_uri()).count() >= 1
+    row = bundles.status(found, decisions, bundles.read_bundle(spark, live.as_uri())).first()
+    assert (row["candidates"], row["pending"], row["approved"], row["documents"], row["active"]) == (8, 4, 4, 2, 4)
+    with pytest.raises(ValueError):
+        bundles.load_sink("json")
+    assert bundles.load_sink("json:dumps") is json.dumps
+
+
+def test_imports_and_listings(spark, tmp_path):
+    (tmp_path / "company").mkdir()
+    (tmp_path / "other").mkdir()
+    for name in ("company/a.md", "other/b.md", "c.md", "company/d.txt"):
+        (tmp_path / name).write_text("x")
+    assert [(r["scope"], r["name"], r["relative_path"]) for r in markdown.managed_documents(spark, str(tmp_path)).collect()] == [("company", "a.md", "company/a.md")]
+    assert markdown.reports(spark, str(tmp_path), 2).count() == 2
+    names = ["ok.md", "A.MD", "a.txt", "../x.md", " x.md", "con.md", "", None, "x\0.md", ".md", "dup.md", "dup.MD", "big.md", "void.md"]
+    docs = spark.createDataFrame([("company", n, {"big.md": "x" * 99, "void.md": " "}.get(n, "t")) for n in names] + [("nowhere", "n.md", "t")], "scope string, name string, text string")
+    found = [r["problem"] for r in markdown.import_problems(docs, markdown.managed_documents(spark, str(tmp_path)), 50).collect()]
+    assert found.count(None) == 1 and len(found) == 15 and {"exists", "repeated", "too large", "empty", "a reserved name", "not a Markdown file", "unknown scope"} <= set(found)
+
+
+def test_context_stays_within_its_budget(spark):
+    rows = [(1, k, f"R{k}", "", "s" * 1000, "d.md / x", "d" * 5000, "", "p") for k in range(3)] + [(2, 0, "R", "major", "short", "", "", "", "")]
+    found = bundles.context(spark.createDataFrame(rows, "query_id long, rank long, id string, level string, statement string, source string, description string, negative string, positive string"), 2400)
+    by = {r["query_id"]: r["text"] for r in found.collect()}
+    assert len(by[1]) <= 2400 and by[1].count("…") >= 3 and by[2] == "- [R] major short"
+
+
+def test_merged_cards_and_stop_gate(spark):
+    schema = "query_id long, id string, at long"
+    direct, prepared, ranked = (spark.createDataFrame([(1, x, i) for i, x in enumerate(ids)], schema) for ids in (["a", "b", "c"], ["b", "d"], ["e", "a", ""]))
+    assert [r["id"] for r in gates.merge_cards(direct, prepared, ranked, 2).orderBy("place").collect()] == ["a", "b", "c"]
+    assert [(r["id"], r["origin"]) for r in gates.merge_cards(direct, prepared, ranked, 5).orderBy("place").collect()][3:] == [("d", "prepared"), ("e", "ranked")]
+    results = spark.createDataFrame([(1, "R1", "fail", True), (2, "R1", "review", False), (2, "R2", "review", False), (3, "R1", "review", False), (4, "R1", "error", False)], "session_id long, rule_id string, status string, blocking boolean")
+    proof = spark.createDataFrame([(2, "R1", True), (3, "R1", False), (3, "R1", True)], "session_id long, rule_id string, valid boolean")
+    assert {r["session_id"]: r["outcome"] for r in gates.stop_gate(results, proof).collect()} == {1: "blocked", 2: "review_required", 3: "completed", 4: "blocked"}
+    assert {r["session_id"]: r["outcome"] for r in gates.stop_gate(results, proof, False).collect()}[4] == "completed"
+
+
+def test_edits_are_denied_once(spark):
+    log = [(1, 1, "2024-01-01 23:59:00", "edit", "v"), (1, 2, "2024-01-02 00:01:00", "edit", "v"), (1, 3, "2024-01-02 00:02:00", "edit", "v"), (1, 4, "2024-01-02 00:03:00", "prepare", "v"), (1, 5, "2024-01-02 00:04:00", "edit", "v"), (1, 6, "2024-01-02 09:00:00", "edit", "v"), (1, 7, "2024-01-02 09:01:00", "edit", "v"), (2, 8, "2024-01-02 09:00:00", "prepare", "old"), (2, 9, "2024-01-02 09:01:00", "edit", "v")]
+    events = spark.createDataFrame(log, "session_id long, event_id long, ts string, kind string, policy_version string").withColumn("ts", F.to_timestamp("ts"))
+    found = {r["event_id"]: r["decision"] for r in gates.edit_gate(events, 900, "v").collect()}
+    assert found == {1: "denied", 2: "authorized", 3: "denied", 5: "authorized", 6: "denied", 7: "authorized", 9: "denied"}
+
+
+def test_receipts_expire_and_reports_come_with_the_events(spark, tmp_path):
+    from normlake.streaming.receipts import report_as_it_comes
+
+    source, schema = tmp_path / "in", "session_id long, event_id long, ts timestamp, kind string"
+    batches = [[(1, 1, "2024-01-01 00:00:00", "prepare"), (2, 2, "2024-01-01 00:00:00", "prepare")], [(1, 3, "2024-01-01 00:05:00", "edit"), (3, 4, "2024-01-01 09:00:00", "edit")], [(3, 5, "2024-01-01 20:00:00", "prepare"), (3, 6, "2024-01-01 20:01:00", "edit")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "session_id long, event_id long, ts string, kind string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{source}/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
+    query = receipts(stream, 900.0, "1 minute").writeStream.format("memory").queryName("gates").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r["event_id"]: r["authorized"] for r in spark.table("gates").collect()} == {3: True, 4: False, 6: True}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0  # session 2's receipt has expired
+    found = report_as_it_comes(stream, str(tmp_path / "out"), str(tmp_path / "ck2"), lambda log: log.groupBy("session_id").agg(F.count("*").alias("n")))
+    found.awaitTermination(120)
+    last = spark.read.parquet(str(tmp_path / "out" / "reports")).groupBy("session_id").agg(F.max_by("n", "batch").alias("n"))
+    assert {r["session_id"]: r["n"] for r in last.collect()} == {1: 2, 2: 1, 3: 3}
