@@ -82,4 +82,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+#: SQL for the operators that it can express; the others need XXH64, CRC-32, a tokenizer or a learned model.
+ORACLES: dict[str, str] = {
+    "op7_embedding_near_dedup": """WITH RECURSIVE e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings), u AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+      l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95e0),
+      r AS (SELECT vec_id, vec_id AS id FROM e UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.id),
+      c AS (SELECT vec_id, min(id) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+      SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op9_substring_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+      s AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 11, 1)::bigint)) AS i FROM d), g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM s JOIN d USING (doc_id)),
+      m AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM g), h AS (SELECT DISTINCT doc_id, i + k AS j FROM m, range(13) AS t(k) WHERE least < doc_id),
+      x AS (SELECT doc_id, list(j) AS gone FROM h GROUP BY doc_id), o AS (SELECT doc_id, len(w) AS n, coalesce(len(gone), 0) AS removed, list_filter(w, lambda t, j: gone IS NULL OR NOT list_contains(gone, j)) AS kept FROM d LEFT JOIN x USING (doc_id))
+      SELECT doc_id, n AS n_words, removed AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM o""",
+}
