@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHED = 150_000  # words that each of the two generations of a cache remembers
+BLOCK = 4096  # chunks between spaces that are settled at a time
 _TWO_SPACES = regex.compile(r"\s\s")
 
 
@@ -183,12 +184,7 @@ class WordBPE:
         return out
 
     def _word(self, word: str) -> list[int]:
-        symbols = [self.table[b] for b in word.encode("utf-8", "replace")]
-        if len(symbols) < 2 * self.lookahead + 2:
-            symbols[-1] += self.suffix
-            tokens: Iterable[str] = self._merge(symbols)
-        else:
-            tokens = self._tokens(symbols)
+        tokens = self._tokens([self.table[b] for b in word.encode("utf-8", "replace")])
         ids = [self.vocab[t] for t in tokens if t in self.vocab]
         self.known.put(word, ids)
         return ids
@@ -210,29 +206,43 @@ class WordBPE:
                 gap = b" "
         yield machine.end()
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids' decimal form, SHA-256 of the text they decode to."""
-        remembered, ids, names = self.cache.young, [], []
+    def _settled(self, text: str) -> Iterator[tuple[bytes, bytes]]:
+        """Ids in decimal form and the bytes they stand for, of up to ``BLOCK`` chunks of the text at a time; a special token stands alone."""
+        remembered = self.cache.young
         parts = self.marks.split(text) if self.marks and "<|" in text else [text]
         marks = self.marks.findall(text) if len(parts) > 1 else []
         for k, part in enumerate(parts):
             if k:
-                ids.append(b"%d" % self.special[marks[k - 1]])
-                names.append(marks[k - 1].encode())
+                yield b"%d" % self.special[marks[k - 1]], marks[k - 1].encode()
             # No word, and no composed character, reaches across a space or a line feed.
-            found = [remembered.get(chunk) or self._remember(chunk) for chunk in part.replace("\n", " ").split(" ") if chunk]
-            ids += [x for x, _ in found if x]
-            names += [y for x, y in found if x]
-        joined = b" ".join(ids)
-        return joined.count(b" ") + 1 if joined else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(b" ".join(names)).hexdigest()
+            rest = part.replace("\n", " ")
+            while rest:
+                chunks = rest.split(" ", BLOCK)
+                rest = chunks.pop() if len(chunks) > BLOCK else ""
+                found = [remembered.get(chunk) or self._remember(chunk) for chunk in chunks if chunk]
+                ids = b" ".join([x for x, _ in found if x])
+                if ids:
+                    yield ids, b" ".join([y for x, y in found if x])
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids' decimal form, SHA-256 of the text they decode to.
+
+        Both hashes take in what is settled as it comes; neither the ids nor the decoded text of a whole text are ever held.
+        """
+        ids_hash, text_hash, machine, n, gap = hashlib.sha256(), hashlib.sha256(), ByteToText(), 0, b""
+        for ids, data in self._settled(text):
+            ids_hash.update(gap + ids)
+            text_hash.update(machine.push(gap + data).encode("utf-8"))
+            n, gap = n + ids.count(b" ") + 1, b" "
+        text_hash.update(machine.end().encode("utf-8"))
+        return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
     def _remember(self, chunk: str) -> tuple[bytes, bytes]:
+        """A chunk's ids in decimal form and the bytes they stand for, from the transducer."""
         if entry := self.cache.again(chunk):
             return entry
         ids = self.encode_plain(chunk)
-        machine = ByteToText()
-        text = machine.push(b" ".join([self.spelled[i] for i in ids])) + machine.end()
-        entry = (b" ".join([b"%d" % i for i in ids]), text.encode("utf-8"))
+        entry = (b" ".join([b"%d" % i for i in ids]), b" ".join([self.spelled[i] for i in ids]))
         self.cache.put(chunk, entry)
         return entry
 

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from normlake.llm.queries import tokenizer_path
-from normlake.llm.tokens import ByteBPE, ByteToText, WordBPE, digests, sufficient_lookahead
+from normlake.llm.tokens import BLOCK, ByteBPE, ByteToText, WordBPE, digests, sufficient_lookahead
 
 draw = random.Random(11)
 ODD = ["", " ", "The  cat's <|endoftext|> éclair 12!!!", "a   b \n c\t\td ", "ΣΑΣ Straße ǅ İ é", "日本語 テスト٣٤ ½", "a b c\x1cd\x85e", "<|startoftext|><|endoftext|>", "it's we'll I'D 'S", "\n\n\nx\n"]
@@ -72,3 +72,11 @@ def test_odd_rows(spark, odd_docs):
     nothing = hashlib.sha256(b"").hexdigest()
     assert found.count() == odd_docs.count() and by[3][1:] == by[4][1:] == by[7][1:] == (0, nothing, nothing)
     assert digests(odd_docs.limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
+def test_long_texts_are_settled_in_blocks():
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder, reference = WordBPE.load(path), library_of(path)
+    text = " ".join(f"w{i % 977}é" for i in range(2 * BLOCK + 5)) + "  <|endoftext|>\n\n tail"
+    ids = reference.encode(text, add_special_tokens=False).ids
+    assert encoder.digest(text) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(reference.decode(ids, skip_special_tokens=False).encode()).hexdigest())
