@@ -5,7 +5,7 @@ Fingerprints: the shingles of a text vote on 64 bits. Links: two fingerprints th
 one of 15 shards, each named by a pair of blocks and their bits. Each shard's fingerprints form a
 BK-tree (children keyed by integer Hamming distance to the parent), and a query follows only the
 edges within the radius. All shards together are as large as the corpus, so trees aren't broadcast
-to every executor: a shard's tree goes to that shard's queries alone. A shard of more than
+to every executor: a shard's tree is built where that shard's queries are, and every link comes from a search in one. A shard of more than
 ``most_in_tree`` fingerprints is split into trees of that size, each copied to all chunks of queries
 of its shard, so no task holds an unbounded group.
 
@@ -148,10 +148,8 @@ def _runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         edges = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
         firsts, lasts = np.concatenate(([0], edges)), np.concatenate((edges, [len(key)]))
         unsigned = fp.view(np.uint64)
-        two = firsts[lasts - firsts == 2]  # most runs: one comparison, done for all at once
-        near = (np.bitwise_count(unsigned[two] ^ unsigned[two + 1]) <= radius) & ((side[two] == 0) | (side[two] != side[two + 1]))
-        a, b = [fp[two[near]]], [fp[two[near] + 1]]
-        for i, j in zip(firsts[lasts - firsts > 2].tolist(), lasts[lasts - firsts > 2].tolist()):
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(firsts[lasts - firsts > 1].tolist(), lasts[lasts - firsts > 1].tolist()):
             if found := tree_links(unsigned[i:j].tolist(), side[i:j].tolist(), radius):
                 pairs = np.array(found, np.uint64).view(np.int64)
                 a.append(pairs[:, 0])

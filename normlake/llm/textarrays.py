@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 PAD = 5
 CHUNK = 1 << 20
@@ -93,16 +94,25 @@ def word_bounds(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes wherever they stand."""
-    powers, inverses = _power_tables(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts])
-
-
-def owners(positions: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The text (its index in the chunk) in which each position lies."""
-    return np.searchsorted(starts, positions, side="right") - 1
+    """A 64-bit hash of each word; equal words have equal hashes wherever they stand.
+
+    Words are hashed in runs of up to ``CHUNK`` values, so the power tables stay that long whatever the text; a longer word has a hash of its own kind.
+    """
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = int(np.searchsorted(ends, starts[i] + CHUNK, side="right"))
+        first = int(starts[i])
+        if j <= i:
+            out[i] = xxhash.xxh64_intdigest(values[first : int(ends[i])].tobytes(), 3)
+            i += 1
+            continue
+        own = values[first : int(ends[j - 1])]
+        powers, inverses = _power_tables(min(CHUNK, len(own)) + 1)
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers[: len(own)], out=sums[1:])
+        out[i:j] = mix((sums[ends[i:j] - first] - sums[starts[i:j] - first]) * inverses[starts[i:j] - first])
+        i = j
+    return out
 
 
 def sums_by_text(values: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:

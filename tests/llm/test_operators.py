@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from normlake.llm import embeddings, language, packing, quality, rules, sharding, simhash, substring, toxicity
+from normlake.llm import textarrays as ta
 from normlake.llm.components import components
 from normlake.llm.queries import QUERIES, tokenizer_path
 
@@ -72,6 +73,15 @@ def test_quality_scores_do_not_depend_on_neighbours(prose):
     assert np.allclose(alone[0], quality.probabilities(["a", prose(9, 50), "", prose(3, 9)], model)[1])
 
 
+def test_word_hashes_of_texts_beyond_a_chunk():
+    words = [f"w{i % 5000}" for i in range(400_000)] + ["x" * (2 * ta.CHUNK)] * 2 + ["w1"]
+    points, _, _ = ta.code_points([" ".join(words)])
+    first, last = ta.word_bounds(points)
+    hashes = ta.word_hashes(points, first, last)
+    assert len(hashes) == len(words) and (hashes[5000:400_000] == hashes[: 395_000]).all() and hashes[-1] == hashes[1] and hashes[-2] == hashes[-3]
+    assert len(np.unique(hashes)) == 5001 and len(ta._powers) <= 2 * ta.CHUNK + 2
+
+
 # 2 SimHash
 
 
