@@ -379,6 +379,25 @@ def test_base_counts_and_verdicts_of_odd_rows(spark, odd_docs, prose):
     assert rules.judge(odd_docs.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_ratio_against_plain_counts(spark, prose):
+    params = rules.RuleParams(buckets=64, threshold=-0.01)
+    texts = {i: prose(i, 55 + i) if i < 6 else " ".join(w if j % 3 else "spam" for j, w in enumerate(prose(i, 60).split())) for i in range(12)} | {12: "", 13: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = rules.judge(docs, spark.createDataFrame([(0,), (1,), (2,), (99,)], "doc_id long"), params).collect()
+
+    def buckets(text):
+        words = (text or "").encode().split()
+        single = [xxhash.xxh64_intdigest(w, 42) for w in words]
+        return [h % 64 for h in single + [xxhash.xxh64_intdigest(w, h) for w, h in zip(words[1:], single)]]
+
+    raw, target = Counter(b for t in texts.values() for b in buckets(t)), Counter(b for i in range(3) for b in buckets(texts[i]))
+    ratio = {b: np.log((target[b] + 1) / (target.total() + 64)) - np.log((raw[b] + 1) / (raw.total() + 64)) for b in range(64)}
+    for r in found:
+        own = buckets(texts[r["doc_id"]])
+        want = sum(ratio[b] for b in own) / len(own) if own else 0.0
+        assert r["ratio"] == pytest.approx(want, abs=1e-12) and r["kept"] == (not r["base_failed"] and want >= params.threshold)
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_return_every_row(spark, name):
