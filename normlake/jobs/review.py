@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,22 @@ def cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.cache_misses(keyed, cache).groupBy("lang").agg(F.count_if("cached").alias("cached"), F.count_if(~F.col("cached")).alias("generated"))
 
 
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A provider that needs no network: the number of words and the first one."""
+    for batch in batches:
+        words = batch["text"].fillna("").str.split(" ")
+        yield pd.DataFrame({"key": batch["key"], "n": words.str.len(), "first": words.str[0]})
+
+
+def cached_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a provider says of each text, asked only for texts that the cache (those of labelled documents) lacks."""
+    docs = _t(spark, sf_dir, "documents")
+    keyed = docs.select(F.sha2(F.concat(F.lit("model:"), "text"), 256).alias("key"), "text")
+    words = F.split("text", " ")
+    cache = keyed.join(docs.join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2(F.concat(F.lit("model:"), "text"), 256).alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return v.enriched(keyed, cache.select("key", F.size(words).cast("long").alias("n"), F.element_at(words, 1).alias("first")), _measure, "n long, first string")
+
+
 def mirror_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     incoming = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 20).alias("k"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("balance"))
@@ -95,12 +114,13 @@ def multi_field_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "p_brand", "p_type", "p_size")
 
 
-QUERIES = {f.__name__: f for f in (fingerprint_rows, decision_counts, reconcile_decisions, apply_decisions, bundle_fingerprint, cache_hit_miss, mirror_upsert, uniform_dimension, multi_field_filter, rule_view, locked_updates, id_set_problems, status_rollup)}
+QUERIES = {f.__name__: f for f in (fingerprint_rows, decision_counts, reconcile_decisions, apply_decisions, bundle_fingerprint, cache_hit_miss, mirror_upsert, uniform_dimension, multi_field_filter, rule_view, locked_updates, id_set_problems, status_rollup, cached_enrichment)}
 _HASH = "sha256(json_object('lang', lang, 'source', {0}, 'text', text)::varchar)"
 _SHOWN = "sha256(json_object('decision', decision, 'edited', edited, 'notes', '', 'review_hash', review_hash, 'rule_id', rule_id)::varchar)"
 _D = f"""d AS (SELECT doc_id AS rule_id, CASE WHEN toxic = 1 THEN 'modified' WHEN quality = 1 THEN 'approved' ELSE 'pending_review' END AS decision, CASE WHEN toxic = 1 THEN 'edited' END AS edited,
   CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE {_HASH.format('source')} END AS review_hash FROM labels LEFT JOIN documents USING (doc_id))"""
 ORACLES = {
+    "cached_enrichment": "SELECT sha256('model:' || text) AS key, any_value(len(string_split(text, ' '))) AS n, any_value(string_split(text, ' ')[1]) AS first, bool_or(l.doc_id IS NOT NULL) AS cached FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1",
     "fingerprint_rows": f"SELECT doc_id AS rule_id, {_HASH.format('source')} AS hash FROM documents",
     "bundle_fingerprint": f"""WITH r AS (SELECT doc_id AS rule_id, {_HASH.format('source')} AS hash FROM documents), b AS (SELECT substr(hash, 1, 2) AS b, sha256(string_agg(rule_id || ':' || hash, chr(10) ORDER BY rule_id)) AS h, count(*) AS n FROM r GROUP BY 1)
       SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS bundle_id, sum(n)::bigint AS rule_count FROM b""",

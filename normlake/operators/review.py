@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +146,18 @@ def cache_misses(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(known, "key", "left").withColumn("cached", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def enriched(keyed: DataFrame, cache: DataFrame, provider: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], columns: str) -> DataFrame:
+    """``key``, ``columns`` and ``cached`` for every distinct key: from the cache, or from ``provider``, which is asked once for each missing key.
+
+    ``provider`` maps batches of the misses (``keyed``'s columns) to batches of ``key`` and ``columns``, a DDL string.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+    hits = keyed.select("key").distinct().join(cache.select("key", *names), "key").withColumn("cached", F.lit(True))
+    missing = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    made = missing.mapInPandas(provider, f"key string, {columns}").withColumn("cached", F.lit(False))
+    return hits.select("key", *names, "cached").unionByName(made)
+
+
 def mirror(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Upsert: incoming values win column by column where they aren't null; adds ``change`` (kept, updated or inserted)."""
     values = [c for c in current.columns if c != key]

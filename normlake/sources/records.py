@@ -17,10 +17,12 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A bundle file, ``{"rules": [...]}``, as one row per rule; confidence is held to 0 to 1."""
+    """A bundle file, ``{"rules": [...]}``, or a bare list of rules, as one row per rule; confidence is held to 0 to 1."""
     fields = ",".join(f"{p.split(' ', 1)[0]}:{p.split(' ', 1)[1]}" for p in RULE.split(", "))
-    whole = spark.read.schema(f"rules array<struct<{fields}>>, policy_version string, bundle_id string").json(path, multiLine=True)
-    rows = whole.select(F.explode("rules").alias("r"), "policy_version", "bundle_id").select("r.*", "policy_version", "bundle_id")
+    whole = spark.read.schema(f"rules array<struct<{fields}>>, policy_version string, bundle_id string, {RULE}").json(path, multiLine=True)
+    names = [p.split(" ", 1)[0] for p in RULE.split(", ")]
+    nested = whole.where("rules is not null").select(F.explode("rules").alias("r"), "policy_version", "bundle_id").select("r.*", "policy_version", "bundle_id")
+    rows = nested.unionByName(whole.where("rules is null and id is not null").select(*names, "policy_version", "bundle_id"))
     return rows.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")))
 
 
@@ -30,7 +32,9 @@ def write_approved(rules: DataFrame, path: str) -> None:
 
 
 def validate_bundle(rules: DataFrame) -> list[str]:
-    """What is wrong with a bundle: it is empty, holds a rule that isn't approved, or ids that repeat. One pass."""
-    row = rules.agg(F.count("*").alias("n"), F.count_if(F.col("status") != "approved").alias("open"), F.count_distinct("id").alias("ids")).first()
-    found = [("empty bundle", row["n"] == 0), ("rules that aren't approved", row["open"] > 0), ("ids that repeat", row["ids"] < row["n"])]
+    """What is wrong with a bundle: it is empty, holds a rule that isn't approved, ids that repeat, or several or no proper bundle ids. One pass."""
+    proper = F.coalesce(F.lower("bundle_id").rlike("^[0-9a-f]{64}$"), F.lit(False)) if "bundle_id" in rules.columns else F.lit(True)
+    bundles = F.count_distinct("bundle_id") if "bundle_id" in rules.columns else F.lit(1)
+    row = rules.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("status") != "approved", F.lit(True))).alias("open"), F.count_distinct("id").alias("ids"), F.count_if(~proper).alias("improper"), F.max(F.lit(1)).alias("_"), bundles.alias("bundles")).first()
+    found = [("empty bundle", row["n"] == 0), ("rules that aren't approved", row["open"] > 0), ("ids that repeat", row["ids"] < row["n"]), ("a bundle id that isn't 64 hexadecimal digits", row["improper"] > 0), ("several bundle ids", row["bundles"] > 1)]
     return [what for what, wrong in found if wrong]

@@ -269,10 +269,14 @@ def test_sources(spark, tmp_path):
     log.write_text(json.dumps({"event_id": "1", "event": "post_write_check", "results": [{"rule_id": "R1", "status": "fail"}]}) + "\n[1]\n{broken\n" + json.dumps({"event_id": "2"})[:-3])
     assert [r["event_id"] for r in records.read_events(spark, str(log)).collect()] == ["1"]
     bundle = tmp_path / "rules.json"
-    bundle.write_text(json.dumps({"rules": [{"id": "A", "status": "approved", "confidence": 3.0}, {"id": "A", "status": "rejected"}]}, indent=1))
+    bundle.write_text(json.dumps({"bundle_id": "a" * 64, "rules": [{"id": "A", "status": "approved", "confidence": 3.0}, {"id": "A", "status": "rejected"}]}, indent=1))
     rules = records.read_rules(spark, str(bundle))
     assert rules.orderBy(F.desc("status")).first()["id"] == "A" and rules.agg(F.max("confidence")).first()[0] == 1.0
     assert records.validate_bundle(rules) == ["rules that aren't approved", "ids that repeat"] and records.validate_bundle(rules.limit(0)) == ["empty bundle"]
+    assert records.validate_bundle(rules.withColumn("bundle_id", F.col("id")).where("status = 'approved'")) == ["a bundle id that isn't 64 hexadecimal digits"]
+    bare = tmp_path / "bare.json"
+    bare.write_text(json.dumps([{"id": "A", "status": "approved", "confidence": -1.0}, {"id": "B"}], indent=1))
+    assert {(r["id"], r["confidence"]) for r in records.read_rules(spark, str(bare)).collect()} == {("A", 0.0), ("B", 0.0)}
     records.write_approved(rules, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
 
