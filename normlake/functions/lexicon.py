@@ -64,7 +64,8 @@ def trigger_terms(raw: Column) -> Column:
     source = F.regexp_replace(raw, r"(?m)^\s*(?:```+|~~~+)[^\n]*$", "")
     patterns = (r"(?<!`)`([^`\n]{1,100})`(?!`)", rf"(?U)(@[A-Z][A-Za-z0-9_]*|\b{NAME}(?:\.{NAME})+\b|\b{NAME}(?:\.java|\.xml|\.yml|\.yaml|\.properties)\b)", rf"(?U)(\b{NAME}(?:\.{NAME})+)\s*\(")
     found = F.concat(*[F.regexp_extract_all(source, F.lit(p), 1) for p in patterns])
-    return F.array_distinct(F.filter(F.transform(found, strip_markup), lambda t: (F.length(t) > 1) & (F.length(t) <= 100)))
+    plain = F.transform(found, lambda t: F.when(t.rlike(r"[<\[`*_~>|\s；]"), strip_markup(t)).otherwise(t))
+    return F.array_distinct(F.filter(plain, lambda t: (F.length(t) > 1) & (F.length(t) <= 100)))
 
 
 def _added(text: Column, groups: tuple) -> Column:

@@ -88,7 +88,7 @@ ORACLES = {
     "rule_cards": "SELECT doc_id AS id, lang AS title, substr(text, 1, 50) AS statement, CASE WHEN doc_id % 2 = 0 THEN 'blocker' ELSE 'major' END AS severity, CASE WHEN doc_id % 3 = 0 THEN 'coding' ELSE 'api' END AS category, concat_ws(' / ', CASE WHEN doc_id % 5 > 0 THEN source END, CASE WHEN doc_id % 7 > 0 THEN lang END) AS source FROM documents",
     "rendered_context": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rank FROM documents), c AS (SELECT *, count(*) OVER (PARTITION BY source, lang) AS n FROM r WHERE rank <= 3),
       s AS (SELECT *, least(3200, greatest(520, 800 // n)) AS share, regexp_replace(text, '\\s', '_', 'g') AS st, CASE WHEN doc_id % 3 > 0 THEN nullif(regexp_replace(text, '\\s', '-', 'g'), '') END AS de FROM c),
-      k AS (SELECT *, {_CUT('st', '180')} AS sc, ' (' || source || ')' AS suffix FROM s),
+      k AS (SELECT *, {_CUT('st', 'least(600, greatest(180, share // 4))')} AS sc, ' (' || source || ')' AS suffix FROM s),
       f AS (SELECT *, greatest(100, greatest(0, share - length(sc) - length(suffix) - 80) // (1 + (de IS NOT NULL)::int)) AS room FROM k),
       t AS (SELECT source || '/' || lang AS query_id, rank, '- [' || doc_id || ']' || CASE WHEN doc_id % 2 = 0 THEN ' ' || lang ELSE '' END || ' ' || sc || suffix || coalesce(chr(10) || '  description: ' || {_CUT('de', 'room')}, '') || chr(10) || '  positive: ' || lang AS line FROM f),
       w AS (SELECT query_id, count(*) AS n_cards, string_agg(line, chr(10) ORDER BY rank) AS text FROM t GROUP BY query_id)
