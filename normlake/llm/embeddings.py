@@ -2,7 +2,7 @@
 
 Vectors are scaled to length 1, so that cosine >= ``threshold`` means a Euclidean distance of at most
 ``eps`` = sqrt(2 - 2 threshold). Each vector is at home in the cell of its nearest pivot. A cell of more than ``most`` vectors is
-parted by their distance to the pivot. For each part the least and the greatest distance to every pivot are known; by the
+parted by their distance to the pivot; small cells share a part. For each part the least and the greatest distance to every pivot are known; by the
 triangle inequality two parts can hold vectors within ``eps`` of each other only if these ranges lie within ``eps`` for all
 pivots. Each part is copied to those it may reach, and each pair of parts is compared once, independently of all others.
 
@@ -123,13 +123,22 @@ def near_duplicates(vectors: DataFrame, params: JoinParams = JoinParams(), vec_i
     share = [k / BANDS for k in range(1, BANDS)]
     cells = distinct.select("v").mapInArrow(homes, "size long, cell long, far double").groupBy("size", "cell").agg(F.count("*").alias("n"), F.percentile_approx("far", share).alias("cuts")).collect()
     plan: dict[int, dict[int, tuple[int, np.ndarray, int]]] = {}
-    first = 0
-    for r in sorted(cells, key=lambda r: (r["size"], r["cell"])):
+
+    def near_first(r) -> float:
+        known = by_size.get(r["size"])
+        return 0.0 if known is None else float(_distances(known[[r["cell"]]], known[:1])[0, 0])
+
+    first, shared, room, size = 0, 0, 0, None
+    for r in sorted(cells, key=lambda r: (r["size"], near_first(r), r["cell"])):
+        if r["n"] <= room and r["size"] == size:  # small cells share a part
+            plan[size][r["cell"]], room = (shared, np.zeros(0), 1), room - r["n"]
+            continue
         parts = -(-r["n"] // most)
         bands = min(parts, BANDS)
         cuts = np.array(r["cuts"])[[round(k * BANDS / bands) - 1 for k in range(1, bands)]] if bands > 1 else np.zeros(0)
         deals = -(-parts // bands)  # by hash, where there aren't bands enough
         plan.setdefault(r["size"], {})[r["cell"]] = (first, cuts, deals)
+        shared, room, size = first, most - r["n"] if parts == 1 else 0, r["size"]
         first += bands * deals
     known_plan = spark.sparkContext.broadcast(plan)
 
