@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, packing, quality, rules, sharding, simhash, substring, tokens, toxicity
+from . import embeddings, language, merkle, packing, quality, rules, sharding, simhash, substring, tokens, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -70,6 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -81,10 +85,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: CRC-32 of a decimal number: each of its digits' codes is an element to take in, each -1 one of its eight steps.
+_CRC = "xor(list_reduce(flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])), lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, (r & 1) * 3988292384) END, 4294967295::bigint), 4294967295)"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Every node ``g, level, i, h, c`` (c: nodes of its level) over ``leaves`` of ``g, i, h``."""
+    return f"""{name}0 AS (SELECT g, 0 AS level, i, h FROM {leaves} UNION ALL SELECT g, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}0) WHERE c > 1 GROUP BY g, level, i // 8),
+      {name} AS (SELECT *, count(*) OVER (PARTITION BY g, level) AS c FROM {name}0), {name}r AS (SELECT g, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM {name} WHERE c > 1 GROUP BY g, level, i // 8)"""
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 #: SQL for the operators that it can express; the others need XXH64, CRC-32, a tokenizer or a learned model.
 ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '') AS g, {_LEAF.format(text='text')} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_LEAF.format(text='text')} END AS changed FROM documents),
+      l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM d), {_tree('n', 'l')},
+      s AS (SELECT g AS sub, 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM n WHERE c = 1), {_tree('m', 's')}, t AS (SELECT h AS root FROM m WHERE c = 1),
+      p AS (SELECT doc_id, leaf, changed, l.i, s.h AS subroot, nr.level, hs, l.i // (8 ** nr.level)::bigint % 8 AS place FROM l JOIN s ON sub = l.g LEFT JOIN nr ON nr.g = l.g AND run = l.i // (8 ** (nr.level + 1))::bigint
+        UNION ALL SELECT doc_id, leaf, changed, l.i, s.h, mr.level + 100, hs, s.i // (8 ** mr.level)::bigint % 8 FROM l JOIN s ON sub = l.g LEFT JOIN mr ON run = s.i // (8 ** (mr.level + 1))::bigint),
+      e AS (SELECT *, array_to_string(hs[1:place], '') AS a, array_to_string(hs[place + 2:], '') AS b FROM p),
+      f AS (SELECT doc_id, leaf, changed, subroot, coalesce(string_agg(a || b, '' ORDER BY level) FILTER (level IS NOT NULL), '') AS others, coalesce(list(a || '|' || b ORDER BY level) FILTER (level IS NOT NULL), []) AS steps FROM e GROUP BY doc_id, leaf, changed, subroot, i),
+      o AS (SELECT *, list_reduce(steps, lambda h, x: sha256(string_split(x, '|')[1] || h || string_split(x, '|')[2]), changed) AS folded_root FROM f)
+      SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, folded_root, folded_root = root AS verified FROM o, t""",
     "op7_embedding_near_dedup": """WITH RECURSIVE e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings), u AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
       l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95e0),
       r AS (SELECT vec_id, vec_id AS id FROM e UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.id),
