@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, merkle, packing, quality, rules, sharding, simhash, substring, tokens, toxicity
+from . import embeddings, language, merkle, packing, quality, ranked, rules, sharding, simhash, substring, tokens, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -70,6 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 20)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op12_ranked_search": op12_ranked_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 _FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
@@ -99,9 +104,16 @@ def _tree(name: str, leaves: str) -> str:
       {name} AS (SELECT *, count(*) OVER (PARTITION BY g, level) AS c FROM {name}0), {name}r AS (SELECT g, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM {name} WHERE c > 1 GROUP BY g, level, i // 8)"""
 
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _WORDS = r"[^\x20\x09-\x0D]+"
 #: SQL for the operators that it can express; the others need XXH64, CRC-32, a tokenizer or a learned model.
 ORACLES: dict[str, str] = {
+    "op12_ranked_search": f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, w, len(w) AS n FROM d WHERE len(w) > 0), s AS (SELECT count(*) AS docs, sum(n)::bigint AS terms FROM e),
+      p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM e) GROUP BY doc_id, n, t), f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+      q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+      x AS (SELECT item_id, doc_id, sum(c * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint AS score FROM q JOIN p USING (t) JOIN f USING (t), s GROUP BY item_id, doc_id),
+      r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+      SELECT item_id, rank::int AS rank, doc_id, score FROM r WHERE rank <= 20""",
     "op13_merkle_manifest": f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '') AS g, {_LEAF.format(text='text')} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_LEAF.format(text='text')} END AS changed FROM documents),
       l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM d), {_tree('n', 'l')},
       s AS (SELECT g AS sub, 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM n WHERE c = 1), {_tree('m', 's')}, t AS (SELECT h AS root FROM m WHERE c = 1),
