@@ -1,11 +1,11 @@
 """Document fingerprints: improbable byte windows in chained Bloom filters, compared by normalised bit overlap.
 
-Every window of 64 bytes has an entropy, in thousandths of the greatest possible. A histogram over all windows of all documents says how
-rare each value is. In a text each run of 64 neighbouring windows votes for its rarest one (the first of equals); windows with 16 votes, or as many as
-the text's foremost, are its features. Features go by their order in the text into Bloom filters of 2,048 bits, five bits each, 160 to a filter; a filter that
+Every window of 16 bytes has an entropy, in thousandths of the greatest possible. A histogram over all windows of all documents says how
+rare each value is. In a text each run of 64 neighbouring windows votes for its rarest one (the first of equals); windows with 16 votes, or
+as many as the text's foremost, are its features. A text of at most 160 windows, which fit into one filter, has them all. Features go by their order in the text into Bloom filters of 2,048 bits, five bits each, 160 to a filter; a filter that
 is full starts the next. Two filters' overlap is the share of common bits beyond what chance gives; two chains' likeness is the mean, weighted by bits, of each filter's best match.
 
-A null text is empty. An empty text has no filter: it is like another empty one (1), and nothing else (0). A text of under 64 bytes is one
+A null text is empty. An empty text has no filter: it is like another empty one (1), and nothing else (0). A text of under 16 bytes is one
 feature. Equal texts have equal fingerprints, wherever they stand. Texts are taken whole.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .textarrays import CHUNK, mix
 
-WINDOW, RUN, VOTES = 64, 64, 16
+WINDOW, RUN, VOTES = 16, 64, 16
 LEVELS = 1000
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 #: Windows that are judged at a time, whatever the length of a text.
@@ -113,14 +113,15 @@ def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     owners, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     if len(values):
         votes = _votes(values, starts, ends, rank)
-        long = np.flatnonzero(ends - starts >= WINDOW)
-        if len(long):
-            most = np.zeros(len(texts), np.int64)
+        if (ends - starts >= WINDOW).any():
+            dense = ends - starts - WINDOW < PER_FILTER
+            owner = np.repeat(np.arange(len(texts)), ends - starts)
+            fits = np.arange(len(values)) + WINDOW <= ends[owner]
             # Windows that don't fit have no votes, so what follows a long text up to the next one adds nothing.
+            most = np.zeros(len(texts), np.uint8)
+            long = np.flatnonzero(ends - starts >= WINDOW)
             most[long] = np.maximum.reduceat(votes, starts[long])
-            owner = np.repeat(np.arange(len(texts)), ends - starts)
-            at = np.flatnonzero(votes[: len(values)])
-            at = at[votes[at] >= np.minimum(most[owner[at]], VOTES)]
+            at = np.flatnonzero((dense[owner] & fits) | ((votes[: len(values)] > 0) & (votes[: len(values)] >= np.minimum(most, VOTES)[owner])))
             windows = sliding_window_view(values, WINDOW)
             owners.append(owner[at])
             hashes += [((windows[at[i : i + 8192]].astype(np.uint64) + np.uint64(1)) * _POWERS).sum(axis=1, dtype=np.uint64) for i in range(0, len(at), 8192)]
