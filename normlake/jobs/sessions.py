@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import payloads as t
 from ..functions.edits import apply_edits
-from ..operators import gates
+from ..operators import gates, receipts
+from .streams import GATE_SQL, TTL, gate_events
 
 
 def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +31,8 @@ def receipt_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate before a write: denied once without a receipt, then authorized; every seventh event has another version."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('purchase', 'error', 'view')")
-    version = F.when(F.col("event_id") % 7 == 0, "v0").otherwise("v1")
-    kind = F.when(F.col("event_type") == "purchase", "prepare").otherwise("edit")
-    return gates.edit_gate(events.select(F.col("user_id").alias("session_id"), "event_id", "ts", kind.alias("kind"), version.alias("policy_version")), 36_000, "v1")
+    """The gate before and after writes, by session and path, over the whole log at once."""
+    return receipts.decisions(gate_events(spark, sf_dir), TTL)
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +110,7 @@ ORACLES = {
     "apply_edit": f"SELECT conv_id, turn, sha256(CASE WHEN contains({_REST}, 'THE') THEN substr({_REST}, 1, instr({_REST}, 'THE') - 1) || '<1>' || substr({_REST}, instr({_REST}, 'THE') + 3) ELSE text END) AS edited_sha256 FROM conversations",
     "receipt_decisions": """SELECT user_id, event_id, coalesce(before = 'purchase' AND epoch(ts) - epoch(since) BETWEEN 0 AND 36000, false) AS authorized FROM (
       SELECT *, lag(event_type) OVER w AS before, lag(ts) OVER w AS since FROM events WHERE event_type IN ('purchase', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'error'""",
-    "edit_gate": """WITH e AS (SELECT user_id, event_id, ts, event_type = 'purchase' AS prepare, CASE WHEN event_id % 7 = 0 THEN 'v0' ELSE 'v1' END AS version FROM events WHERE event_type IN ('purchase', 'error', 'view')),
-      f AS (SELECT *, coalesce(epoch(ts) - epoch(lag(ts) OVER w) BETWEEN 0 AND 36000 AND lag(version) OVER w = 'v1', false) AS fresh, row_number() OVER w AS seq FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-      g AS (SELECT *, max(CASE WHEN prepare OR NOT fresh THEN seq END) OVER (PARTITION BY user_id ORDER BY seq) AS begun FROM f)
-      SELECT user_id AS session_id, event_id, CASE WHEN (seq - begun) % 2 = 1 THEN 'authorized' ELSE 'denied' END AS decision FROM g WHERE NOT prepare""",
+    "edit_gate": f"WITH RECURSIVE {GATE_SQL} SELECT s AS session_id, p AS path, id AS event_id, kind, decision FROM r WHERE decision <> ''",
     "managed_writes": f"WITH {_CALLS} SELECT tool, count(*) AS n, count(*) FILTER (managed) AS managed, count(*) FILTER (shell_write) AS denied FROM m GROUP BY tool",
     "tool_calls": f"WITH {_CALLS} SELECT page_id, event, tool, target, session, failed, managed, shell_write FROM m",
     "report_cells": f"SELECT substr(regexp_replace(role || '/' || conv_id, '[^A-Za-z0-9_.\\-]+', '-', 'g'), 1, 120) AS session, turn, CASE WHEN length({_FLAT}) > 60 THEN substr({_FLAT}, 1, 59) || '…' WHEN {_FLAT} = '' THEN '—' ELSE {_FLAT} END AS cell FROM conversations",

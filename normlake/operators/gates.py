@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .audit import numbered
-
 # What a reviewer's line says if it clears a rule, and what takes that back.
 CLEARED = r"(?:审查通过|结论\s*[:：]\s*通过|已修复|无未解决(?:问题|项)|仅建议\s*[,，；;:]?\s*无阻断|\bpass(?:ed)?\b|\bcompliant\b)"
 OPEN = r"(?:未通过|不通过|未修复|仍有|尚有|(?<!不)存在(?:严重)?问题|有阻断|不符合|无法确认|\bfail(?:ed)?\b|\bnon[- ]compliant\b|\bunresolved\b)"
@@ -29,23 +27,6 @@ def before_in_session(events: DataFrame, session: str, order: list[str], value:
     return own.join(carried, [session, "_slice"]).withColumn(name, F.coalesce("_own", "_carried")).drop("_slice", "_v", "_own", "_carried")
 
 
-def edit_gate(events: DataFrame, ttl_seconds: int = 900, version: str = "") -> DataFrame:
-    """Decisions for the edits of a log of ``session_id, event_id, ts, kind`` (prepare, edit) and ``policy_version``: ``decision`` authorized or denied.
-
-    An edit needs the receipt that the event before it left: a prepare leaves a ready one, a denied edit one for its retry, an authorized edit none. So
-    without a prepare, edits are denied once and then authorized, as long as the receipt is in time and of the current version.
-    """
-    order = ["ts", "event_id"]
-    asked = before_in_session(numbered(events, "session_id", order), "session_id", order, F.struct("ts", "policy_version"), "before")
-    age = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before.ts").cast("timestamp"))) / 1e6
-    fresh = F.coalesce((age >= 0) & (age <= max(1, ttl_seconds)) & (F.col("before.policy_version") == version), F.lit(False))
-    # From a prepare or an edit without a receipt on, edits in time are authorized and denied by turns.
-    begun = asked.withColumn("begin", F.when((F.col("kind") == "prepare") | ~fresh, F.col("seq")))
-    placed = before_in_session(begun, "session_id", order, F.col("begin"), "last")
-    turn = (F.col("seq") - F.coalesce("begin", "last")) % 2 == 1
-    return placed.where("kind = 'edit'").select("session_id", "event_id", F.when(turn, "authorized").otherwise("denied").alias("decision"))
-
-
 def merge_cards(direct: DataFrame, prepared: DataFrame, ranked: DataFrame, limit: int) -> DataFrame:
     """Cards for each query, each id once: direct ones, all of them, then prepared and ranked ones up to ``limit``; ``origin, place``.
 
