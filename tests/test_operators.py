@@ -11,10 +11,8 @@ from normlake.functions import lexicon as lx
 from normlake.functions import payloads
 from normlake.functions.text import folded, glob_regex, normalised, path_matches, plain_text, postings, strip_markup
 from normlake.functions.text import title as title_of
-from normlake.jobs import streams
 from normlake.operators import audit, bundles, checks, extraction, gates, retrieval, review, specs
 from normlake.sources import markdown, records
-from normlake.streaming.receipts import event_stream, receipts, windowed_counts
 
 
 def test_token_traps(spark):
@@ -281,23 +279,6 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 1
 
 
-def test_receipt_stream(spark, tmp_path):
-    rows = [(1, 1, "2024-01-01 00:00:00", "prepare"), (1, 2, "2024-01-01 00:05:00", "edit"), (1, 3, "2024-01-01 00:06:00", "edit"), (2, 4, "2024-01-01 00:00:00", "prepare"), (2, 5, "2024-01-01 00:30:00", "edit")]
-    spark.createDataFrame(rows, "session_id long, event_id long, t string, kind string").selectExpr("session_id", "event_id", "timestamp(t) as ts", "kind", "kind as event_type").write.parquet(str(tmp_path / "log.parquet"))
-    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "log.parquet")).schema).parquet(str(tmp_path / "log.parquet"))
-    receipts(stream, 900.0).writeStream.format("memory").queryName("decided").trigger(availableNow=True).start().awaitTermination()
-    assert {r["event_id"]: r["authorized"] for r in spark.table("decided").collect()} == {2: True, 3: False, 5: False}
-    assert windowed_counts(stream).isStreaming
-    assert event_stream(spark, "/root/testdata/sf0.001", "events").isStreaming
-
-
-def test_receipts_of_a_folder_of_parts(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
-    want = streams.receipts_stream(spark, "/root/testdata/sf0.001").collect()
-    assert want and sorted(streams.receipts_stream(spark, str(tmp_path)).collect()) == sorted(want)
-
-
 def test_broadcast_only_behind_a_check(spark):
     big, small = spark.range(50), spark.range(5)
     assert "ResolvedHint" not in broadcast_if_small(big, 10)._jdf.queryExecution().analyzed().toString()
@@ -458,28 +439,3 @@ def test_merged_cards_and_stop_gate(spark):
     proof = spark.createDataFrame([(2, "R1", True), (3, "R1", False), (3, "R1", True)], "session_id long, rule_id string, valid boolean")
     assert {r["session_id"]: r["outcome"] for r in gates.stop_gate(results, proof).collect()} == {1: "blocked", 2: "review_required", 3: "completed", 4: "blocked"}
     assert {r["session_id"]: r["outcome"] for r in gates.stop_gate(results, proof, False).collect()}[4] == "completed"
-
-
-def test_edits_are_denied_once(spark):
-    log = [(1, 1, "2024-01-01 23:59:00", "edit", "v"), (1, 2, "2024-01-02 00:01:00", "edit", "v"), (1, 3, "2024-01-02 00:02:00", "edit", "v"), (1, 4, "2024-01-02 00:03:00", "prepare", "v"), (1, 5, "2024-01-02 00:04:00", "edit", "v"), (1, 6, "2024-01-02 09:00:00", "edit", "v"), (1, 7, "2024-01-02 09:01:00", "edit", "v"), (2, 8, "2024-01-02 09:00:00", "prepare", "old"), (2, 9, "2024-01-02 09:01:00", "edit", "v")]
-    events = spark.createDataFrame(log, "session_id long, event_id long, ts string, kind string, policy_version string").withColumn("ts", F.to_timestamp("ts"))
-    found = {r["event_id"]: r["decision"] for r in gates.edit_gate(events, 900, "v").collect()}
-    assert found == {1: "denied", 2: "authorized", 3: "denied", 5: "authorized", 6: "denied", 7: "authorized", 9: "denied"}
-
-
-def test_receipts_expire_and_reports_come_with_the_events(spark, tmp_path):
-    from normlake.streaming.receipts import report_as_it_comes
-
-    source, schema = tmp_path / "in", "session_id long, event_id long, ts timestamp, kind string"
-    batches = [[(1, 1, "2024-01-01 00:00:00", "prepare"), (2, 2, "2024-01-01 00:00:00", "prepare")], [(1, 3, "2024-01-01 00:05:00", "edit"), (3, 4, "2024-01-01 09:00:00", "edit")], [(3, 5, "2024-01-01 20:00:00", "prepare"), (3, 6, "2024-01-01 20:01:00", "edit")]]
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, "session_id long, event_id long, ts string, kind string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{source}/{k}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
-    query = receipts(stream, 900.0, "1 minute").writeStream.format("memory").queryName("gates").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert {r["event_id"]: r["authorized"] for r in spark.table("gates").collect()} == {3: True, 4: False, 6: True}
-    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0  # session 2's receipt has expired
-    found = report_as_it_comes(stream, str(tmp_path / "out"), str(tmp_path / "ck2"), lambda log: log.groupBy("session_id").agg(F.count("*").alias("n")))
-    found.awaitTermination(120)
-    last = spark.read.parquet(str(tmp_path / "out" / "reports")).groupBy("session_id").agg(F.max_by("n", "batch").alias("n"))
-    assert {r["session_id"]: r["n"] for r in last.collect()} == {1: 2, 2: 1, 3: 3}
