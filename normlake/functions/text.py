@@ -177,6 +177,21 @@ def glob_regex(glob: str) -> str:
     return f"(?s)^(.*/)?{out}$" if glob.startswith("**/") else f"(?s)^{out}$"
 
 
+def glob_pattern(glob: Column) -> Column:
+    """:func:`glob_regex` of a column of globs."""
+    whole = F.lower(normal_path(glob))
+    pieces_ = F.regexp_extract_all(F.regexp_replace(whole, r"^\*\*/", ""), F.lit(r"(?s)(\[!?+\]?+[^\]]*+\]|.)"), 1)
+
+    def piece(x: Column) -> Column:
+        escaped = lambda t: F.regexp_replace(t, r"([\\.+(){}|^$\[\]&])", r"\\$1")
+        inner = F.substring(x, F.lit(2), F.length(x) - 2)
+        chosen = F.when(F.startswith(inner, F.lit("!")), F.concat(F.lit("[^"), escaped(F.substring(inner, F.lit(2), F.length(inner))), F.lit("]"))).otherwise(F.concat(F.lit("["), escaped(inner), F.lit("]")))
+        return F.when(F.length(x) > 1, chosen).when(x == "*", ".*").when(x == "?", ".").otherwise(escaped(x))
+
+    body = F.array_join(F.transform(pieces_, piece), "")
+    return F.concat(F.when(F.startswith(whole, F.lit("**/")), "(?s)^(.*/)?").otherwise("(?s)^"), body, F.lit("$"))
+
+
 def path_matches(path: Column, globs: list[str]) -> Column:
     """Whether a path, or its last part, matches any of the globs; false for none."""
     whole = F.lower(normal_path(path))

@@ -78,7 +78,7 @@ def activated_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.when(F.col("document") < "std/src2", "approved").otherwise("rejected")
     marked = spark.read.parquet(f"{work}/review").withColumn("markdown", F.replace("markdown", F.concat(F.lit("- [ ] "), box), F.concat(F.lit("- [x] "), box)))
     b.activate(found, b.parse_sections(marked), live, "v1")
-    return b.read_bundle(spark, live).groupBy("document", "severity").agg(F.count("*").alias("n"))
+    return b.read_bundle(spark, live).rules.groupBy("document", "severity").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (core_rules_topk, context_budget, user_summary, core_block, rule_cards, rendered_context, import_checks, activated_bundle)}

@@ -5,18 +5,19 @@ from __future__ import annotations
 import importlib
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lexicon import source_label
-from ..functions.payloads import cell, safe_session
+from ..sources import snapshots
 from .audit import FAILED, issues
 from .extraction import Lexicon, extract, qualify_ids
-from .retrieval import Index, build_index
-from .review import apply_strict, bundle_id, decision_counts, fingerprint, reconcile
-from .specs import draft_errors
+from .retrieval import Index, build_field_index, cosine
+from .review import apply_strict, bundle_id, decision_counts, reconcile
+from .specs import draft_errors, rules_table
 
 SCHEMA_VERSION = 1
 SEVERITIES, SCOPES = ("blocker", "major", "advisory"), ("company", "department", "project", "unknown")
@@ -65,6 +66,31 @@ def read_index(spark: SparkSession, path: str, policy_version: str | None = None
     return Index(found.drop("bucket"), spark.read.parquet(f"{path}/lengths"), totals)
 
 
+def write_vectors(vectors: DataFrame, path: str, cells: int = 64, most_sample: int = 20_000) -> None:
+    """Store vectors (``rule_id, v``) in cells around ``cells`` of them, so that a query reads the cells nearest to it.
+
+    Centres are chosen by hash from at most ``most_sample`` vectors; every vector is stored with its nearest centre by cosine. Null and zero vectors are left out: they are like nothing.
+    """
+    usable = vectors.where(F.coalesce(F.size("v"), F.lit(0)) > 0).where(F.exists("v", lambda x: x != 0))
+    centres = usable.limit(most_sample).orderBy(F.xxhash64("rule_id")).limit(cells).select("v").collect()  # at most ``cells``
+    spark = vectors.sparkSession
+    named = spark.createDataFrame([(i, list(r["v"])) for i, r in enumerate(centres)], "cell int, centre array<double>")
+    pairs = usable.join(F.broadcast(named)).withColumn("near", cosine(F.col("v"), F.col("centre")))
+    best = pairs.groupBy("rule_id").agg(F.max_by(F.struct("cell", "v"), F.struct("near", -F.col("cell"))).alias("x")).select("rule_id", "x.cell", "x.v")
+    best.repartition("cell").write.partitionBy("cell").parquet(f"{path}/rows")
+    named.coalesce(1).write.parquet(f"{path}/centres")
+
+
+def read_vectors(spark: SparkSession, path: str, queries: DataFrame | None = None, probes: int = 8) -> DataFrame:
+    """Stored vectors as ``doc_id, v``; given queries (``q``), only those of each query's ``probes`` nearest cells (all, if there are no more)."""
+    rows = spark.read.schema("rule_id string, v array<double>, cell int").parquet(f"{path}/rows")
+    if queries is not None:
+        near = queries.join(F.broadcast(spark.read.parquet(f"{path}/centres"))).select("q", "cell", cosine(F.col("q"), F.col("centre")).alias("near"))
+        chosen = near.groupBy("q").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("near", "cell")))), 1, probes).alias("x")).select(F.explode("x.cell").alias("cell")).distinct()
+        rows = rows.where(F.col("cell").isin([r["cell"] for r in chosen.collect()]))  # at most as many as there are cells
+    return rows.select(F.col("rule_id").alias("doc_id"), "v")
+
+
 def core_rules(rules: DataFrame, limit: int = 40) -> DataFrame:
     """The rules for every context: those marked ``core``, then blockers outside project scope that aren't marked otherwise.
 
@@ -169,17 +195,6 @@ def core_block(rules: DataFrame, limit: int = 40, heading: str = "## Core rules"
     return listed.select(F.concat(F.lit(f"{heading}\n\n"), body, F.lit("\n")).alias("markdown"))
 
 
-def session_report(summary: DataFrame) -> DataFrame:
-    """``session_id, markdown``: a short report for each row of :func:`session_summary`."""
-    def listed(name: str, items: Column) -> Column:
-        return F.concat(F.lit(f"## {name}\n\n"), F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "- none").otherwise(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), cell(x))), "\n")))
-
-    issue = lambda c: F.transform(c, lambda i: F.concat_ws(" ", i["rule_id"], i["path"], i["checker"]))
-    parts = [F.concat(F.lit("# Session "), safe_session(F.col("session_id").cast("string"))), F.concat(F.lit("Events: "), F.col("events").cast("string")), F.concat(F.lit("Blocking failures: "), F.coalesce("blocking_failures", F.lit(0)).cast("string"))]
-    parts += [listed("Changed files", F.col("changed_files")), listed("Rules", F.col("matched_rule_ids")), listed("Unresolved", issue(F.col("unresolved"))), listed("Resolved", issue(F.col("resolved")))]
-    return summary.select("session_id", F.concat_ws("\n\n", *parts).alias("markdown"))
-
-
 #: Where a bundle's rules are mirrored to: any callable that takes the rules and the bundle's id.
 Sink = Callable[[DataFrame, str], None]
 
@@ -193,15 +208,53 @@ def load_sink(name: str) -> Sink:
     return found
 
 
-def prepare(documents: DataFrame, previous: DataFrame | None, decisions: DataFrame | None, path: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
-    """From documents (``doc_id, text, source``) to a stored review: candidates, their hashes, and the decisions that still hold.
+#: What a rule's record doesn't hold: it changes without the rule's changing.
+APART = ("status", "reviewer_notes")
+
+
+def with_records(candidates: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
+    """Add ``record`` and its ``hash``: each candidate as a rule's record (canonical JSON, all but ``APART``).
 
-    Writes ``candidates`` and ``review`` below ``path`` and returns the candidates. Decisions whose rule has changed or gone are
-    stored as ``dropped``: nobody's work disappears unseen.
+    ``drafts`` (``rule_id, metadata``: a JSON object) adds to a rule's metadata what a person or provider wrote of it: checks, path scopes, ``global_core``. A name that both have is the draft's.
+    """
+    none = F.lit(None).cast("map<string,variant>")
+    own = {"level": "level", "rule_number": "number", "description": "description", "negative_example": "negative", "positive_example": "positive", "retrieval_hints": "hints", "code_signals": "code_signals", "direct_triggers": "direct_triggers", "original_rule_id": "original_id"}
+    structured = F.coalesce("structured", F.lit(False))
+    meta = F.map_from_arrays(F.array(*[F.lit(n) for n in own]), F.array(*[F.to_json(F.to_variant_object(F.array(c))) for c in own.values()]))
+    parsed = F.map_filter(F.transform_values(meta, lambda _, v: F.try_variant_get(F.parse_json(v), "$[0]", "variant")), lambda _, v: ~F.is_variant_null(v))
+    basis = F.when(structured, F.map_concat(parsed, F.create_map(F.lit("structured_format"), F.parse_json(F.lit("true"))))).otherwise(F.map_filter(parsed, lambda k, _: k == "original_rule_id"))
+    rows = candidates.join(drafts.select("rule_id", F.try_parse_json("metadata").try_cast("map<string,variant>").alias("_added")), "rule_id", "left") if drafts is not None else candidates.withColumn("_added", none)
+    added = F.coalesce("_added", F.create_map().cast("map<string,variant>"))
+    merged = F.map_concat(F.map_filter(basis, lambda k, _: ~F.map_contains_key(added, k)), added)
+    source = F.struct("document", "section", "line_start", "line_end", "quote")
+    whole = F.struct(F.col("rule_id").alias("id"), "title", "statement", "scope", "category", "severity", source.alias("source"), F.col("enforcement").alias("enforcement_candidates"), F.col("triggers").alias("trigger_terms"), "tags", "confidence", merged.alias("metadata"))
+    return rows.withColumn("record", F.to_json(F.to_variant_object(whole))).withColumn("hash", F.sha2("record", 256)).drop("_added")
+
+
+def read_records(rows: DataFrame) -> DataFrame:
+    """Rules as columns from their ``record``: what is shown, ranked and indexed; other columns stay."""
+    named = "id string, title string, statement string, scope string, category string, severity string, source struct<document:string,section:string,line_start:int,line_end:int,quote:string>, enforcement_candidates array<string>, trigger_terms array<string>, tags array<string>, confidence double, metadata struct<description:string,negative_example:string,positive_example:string,global_core:boolean,level:string,original_rule_id:string,direct_triggers:array<string>>"
+    parsed = rows.withColumn("_r", F.from_json("record", named))
+    r = F.col("_r")
+    columns = {"title": r["title"], "statement": r["statement"], "scope": r["scope"], "category": r["category"], "severity": r["severity"], "document": r["source"]["document"], "section": r["source"]["section"], "line_start": r["source"]["line_start"], "line_end": r["source"]["line_end"], "quote": r["source"]["quote"], "enforcement": r["enforcement_candidates"], "triggers": r["trigger_terms"], "tags": r["tags"], "confidence": r["confidence"], "core": r["metadata"]["global_core"], "level": r["metadata"]["level"], "original_id": r["metadata"]["original_rule_id"], "direct_triggers": r["metadata"]["direct_triggers"], "description": r["metadata"]["description"], "negative": r["metadata"]["negative_example"], "positive": r["metadata"]["positive_example"]}
+    return parsed.withColumns(columns).drop("_r")
+
+
+def searchable(rules: DataFrame) -> Index:
+    """The index of rules (:func:`read_records`): all that they say, each field counted as often as it weighs."""
+    fields = {"id": F.col("rule_id"), "title": F.col("title"), "statement": F.col("statement"), "section": F.concat_ws(" ", "document", "section"), "triggers": F.array_join("triggers", " "), "tags": F.array_join("tags", " "), "category": F.col("category"), "scope": F.col("scope"), "metadata": F.concat_ws("\n", "description", "negative", "positive")}
+    return build_field_index(rules, fields, "rule_id")
+
+
+def prepare(documents: DataFrame, previous: DataFrame | None, decisions: DataFrame | None, path: str, lexicon: Lexicon = Lexicon(), drafts: DataFrame | None = None) -> DataFrame:
+    """From documents (``doc_id, text, source``, maybe ``scope``) to a stored review: candidates, their hashes, and the decisions that still hold.
+
+    Writes ``extracted``, ``candidates`` and ``review`` below ``path`` and returns the candidates with their ``record`` and its ``hash``. Decisions whose rule has changed in anything but its status and
+    notes, or has gone, are stored as ``dropped``: nobody's work disappears unseen.
     """
-    found = qualify_ids(extract(documents, lexicon)).withColumn("hash", fingerprint({c: F.col(c).cast("string") for c in ("rule_id", "statement", "title", "severity", "category", "document", "section")}))
-    found.write.mode("overwrite").parquet(f"{path}/candidates")
     spark = documents.sparkSession
+    extract(documents, lexicon).write.mode("overwrite").parquet(f"{path}/extracted")  # read several times below
+    with_records(qualify_ids(spark.read.parquet(f"{path}/extracted")), drafts).write.mode("overwrite").parquet(f"{path}/candidates")
     stored = spark.read.parquet(f"{path}/candidates")
     none = spark.createDataFrame([], "rule_id string, decision string, review_hash string, edited string, notes string")
     held = reconcile(previous, decisions, stored) if previous is not None and decisions is not None else none.select("rule_id", "decision", F.lit("").alias("outcome"))
@@ -211,38 +264,83 @@ def prepare(documents: DataFrame, previous: DataFrame | None, decisions: DataFra
     return stored
 
 
-def activate(candidates: DataFrame, decisions: DataFrame, path: str, policy_version: str, records: list[dict] | None = None, sink: Sink | None = None, core_limit: int = 40) -> str:
-    """From candidates and strict decisions to a stored, fingerprinted bundle with its index, core block and mirror; returns the bundle's id.
+def rule_hashes(rules: DataFrame, policy_version: str) -> DataFrame:
+    """``rule_id, hash`` of rules (``rule_id, record``) under a version: what a bundle's id is made of."""
+    return rules.select("rule_id", F.sha2(F.concat_ws("\x1f", F.lit(policy_version), "record"), 256).alias("hash"))
+
+
+def activate(candidates: DataFrame, decisions: DataFrame, path: str, policy_version: str, sink: Sink | None = None, core_limit: int = 40, vectors: DataFrame | None = None, block_severities: tuple[str, ...] = ("blocker",), after: Callable[[str], None] = lambda step: None) -> str:
+    """From candidates and strict decisions to the active bundle: rules, compiled checks, core block and index in a version of its own; returns the bundle's id.
 
-    Nothing is written if a decision is refused, no rule is approved or a check's draft is wrong. The manifest comes last.
+    Nothing is switched if a decision is refused, no rule is approved, a check's draft is wrong, or anything fails before all is written: readers keep the old
+    bundle, which is never touched. ``vectors`` (``rule_id, v``) are stored beside the index. ``after`` is told of each step that is done.
     """
+    spark = candidates.sparkSession
+    seen = snapshots.current(spark, path)
     applied = apply_strict(candidates, decisions).where("status = 'approved'").select("rule_id", F.col("statement").alias("_statement"))
-    approved = candidates.drop("status").join(applied, "rule_id").withColumn("statement", F.col("_statement")).withColumn("status", F.lit("approved")).drop("_statement")
-    if approved.isEmpty():
+    approved = candidates.select("rule_id", "record").join(applied, "rule_id")
+    # An edit is a new statement of the record; all else stays as it was reviewed.
+    edited = F.to_json(F.to_variant_object(F.map_concat(F.map_filter(F.try_parse_json("record").try_cast("map<string,variant>"), lambda k, _: k != "statement"), F.create_map(F.lit("statement"), F.try_variant_get(F.parse_json(F.to_json(F.array("_statement"))), "$[0]", "variant")))))
+    version = snapshots.new_version(path)
+    approved.select("rule_id", F.lit("approved").alias("status"), edited.alias("record")).write.parquet(f"{version}/rules")
+    rules = spark.read.parquet(f"{version}/rules")
+    if rules.isEmpty():
         raise ValueError("no rule is approved; the active bundle stays")
-    if wrong := draft_errors(records or []):
-        raise ValueError("; ".join(wrong[:20]))
-    hashed = approved.withColumn("hash", fingerprint({"rule_id": F.col("rule_id").cast("string"), "statement": F.col("statement"), "severity": F.col("severity"), "policy_version": F.lit(policy_version)}))
-    name = bundle_id(hashed.select("rule_id", "hash")).first()["bundle_id"]
-    hashed.write.mode("overwrite").parquet(f"{path}/rules")
-    stored = candidates.sparkSession.read.parquet(f"{path}/rules")
-    core_block(stored.select("rule_id", "statement", "severity", F.lit("unknown").alias("scope"), F.lit(None).cast("boolean").alias("core")), core_limit).write.mode("overwrite").parquet(f"{path}/core")
+    if wrong := [f"{r['rule_id']} check {r['check_no']}: {r['problem']}" for r in draft_errors(rules).limit(20).collect()]:
+        raise ValueError("; ".join(wrong))
+    name = bundle_id(rule_hashes(rules, policy_version)).first()["bundle_id"]
+    after("rules")
+    rules_table(rules, block_severities).write.parquet(f"{version}/checks")
+    after("checks")
+    shown = read_records(rules)
+    core_block(shown.select("rule_id", "statement", "severity", "scope", "core"), core_limit).write.parquet(f"{version}/core")
+    after("core")
+    write_index(searchable(shown), f"{version}/index", policy_version, name)
+    after("index")
+    if vectors is not None:
+        write_vectors(vectors.join(rules.select("rule_id"), "rule_id", "left_semi"), f"{version}/vectors")
+        after("vectors")
+    snapshots.switch(spark, path, version, seen, {"bundle_id": name, "policy_version": policy_version})
+    after("switch")
     if sink is not None:
-        sink(stored, name)
-    write_index(build_index(stored, "rule_id", "statement"), f"{path}/index", policy_version, name)
+        sink(shown, name)
     return name
 
 
-def read_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """An active bundle's rules after all checks: not empty, all approved, and its index of the fingerprint that its rules have now."""
-    rules = spark.read.parquet(f"{path}/rules")
+@dataclass(frozen=True)
+class Bundle:
+    """A bundle as it was when it was opened; a later activation doesn't change it."""
+
+    bundle_id: str
+    policy_version: str
+    path: str
+    rules: DataFrame
+    checks: DataFrame
+
+    def core(self) -> str:
+        return self.rules.sparkSession.read.parquet(f"{self.path}/core").first()["markdown"]
+
+    def index(self, terms: DataFrame | None = None) -> Index:
+        return read_index(self.rules.sparkSession, f"{self.path}/index", self.policy_version, self.bundle_id, terms)
+
+    def vectors(self, queries: DataFrame | None = None, probes: int = 8) -> DataFrame:
+        return read_vectors(self.rules.sparkSession, f"{self.path}/vectors", queries, probes)
+
+
+def read_bundle(spark: SparkSession, path: str) -> Bundle:
+    """The active bundle after all checks: not empty, all approved, ids that don't repeat, and the fingerprint that its rules' whole records have now."""
+    found = snapshots.current(spark, path)
+    if found is None:
+        raise ValueError("no bundle is active")
+    rules = spark.read.parquet(f"{found.path}/rules")
     row = rules.agg(F.count("*").alias("n"), F.count_if(F.col("status") != "approved").alias("open"), F.count_distinct("rule_id").alias("ids")).first()
     if not row["n"] or row["open"] or row["ids"] < row["n"]:
         raise ValueError("the bundle is empty, repeats ids or holds rules that aren't approved")
-    version = manifest(spark, f"{path}/index").first()["policy_version"]
-    again = rules.withColumn("hash", fingerprint({"rule_id": F.col("rule_id").cast("string"), "statement": F.col("statement"), "severity": F.col("severity"), "policy_version": F.lit(version)}))
-    read_index(spark, f"{path}/index", version, bundle_id(again.select("rule_id", "hash")).first()["bundle_id"])
-    return rules
+    version = found.about["policy_version"]
+    if bundle_id(rule_hashes(rules, version)).first()["bundle_id"] != found.about["bundle_id"]:
+        raise ValueError("the bundle's rules aren't those that were activated")
+    read_index(spark, f"{found.path}/index", version, found.about["bundle_id"])
+    return Bundle(found.about["bundle_id"], version, found.path, read_records(rules), spark.read.parquet(f"{found.path}/checks"))
 
 
 def status(candidates: DataFrame, decisions: DataFrame, active: DataFrame) -> DataFrame:

@@ -7,23 +7,22 @@ partitioned and never shuffled. Only a forbidden pattern's findings (offset, lin
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sizes import broadcast_if_small
-from ..functions.text import glob_regex, normal_path
+from ..functions.text import glob_pattern, glob_regex, normal_path
 
 BLOCKING = ("blocker", "major")
+# The longest pattern, and what a repeated repetition looks like.
 MOST_PATTERN = 2000
-_REPEAT = r"(?:[+*]|\{\d*,?\d*\})"
-_PLAIN = r"(?:[^()\\]|\\.)*"
-_NESTED = re.compile(rf"\((?:\?:)?{_PLAIN}{_REPEAT}{_PLAIN}\)\s*{_REPEAT}")
+NESTED = r"\((?:\?:)?(?:[^()\\]|\\.){0,1000}(?:[+*]|\{\d*,?\d*\})(?:[^()\\]|\\.){0,1000}\)\s*(?:[+*]|\{\d*,?\d*\})"
 EVIDENCE = 180
+#: A check as it is declared, and as it is run: globs as regular expressions, flags as a prefix of the patterns.
+DECLARED = "rule_id string, check_no int, kind string, patterns array<string>, include array<string>, exclude array<string>, when_pattern string, when_terms array<string>, triggers array<string>, severity string, rule_severity string, blocking boolean, require_all boolean, most_findings int, flags string, message string, trigger_paths array<string>, phases array<string>, source string, core boolean"
 
 
 @dataclass(frozen=True)
@@ -53,58 +52,48 @@ class Rule:
     core: bool = False
 
 
-def java_pattern(pattern: str, flags: str = "") -> str:
+def java_pattern(pattern: Column, flags: Column) -> Column:
     """The same pattern in Java's syntax: named groups and references are written differently, ignoring case covers all letters."""
-    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
-    letters = flags.replace("i", "iu")
-    return f"(?{letters}){pattern}" if letters else pattern
+    named = F.regexp_replace(F.regexp_replace(pattern, r"\(\?P<", "(?<"), r"\(\?P=(\w+)\)", r"\\k<$1>")
+    letters = F.regexp_replace(F.coalesce(flags, F.lit("")), "i", "iu")
+    return F.when(letters == "", named).otherwise(F.concat(F.lit("(?"), letters, F.lit(")"), named))
 
 
-def _java_error(spark: SparkSession, pattern: str) -> str:
-    """Why Spark's regular expressions refuse a pattern; empty if they don't."""
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except IllegalArgumentException as error:
-        return str(error).splitlines()[0]
-    return ""
+def pattern_problem(pattern: Column, flags: Column) -> Column:
+    """Why a pattern is refused: it is too long, repeats a repetition, or Java's compiler doesn't take it; empty if it is fine."""
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), java_pattern(pattern, flags)).isNotNull()
+    return F.when(F.length(pattern) > MOST_PATTERN, f"pattern longer than {MOST_PATTERN} characters").when(pattern.rlike(NESTED), "nested repetition").when(~compiles, "invalid pattern").otherwise("")
 
 
-def unsafe_pattern(pattern: str) -> str:
-    """Why a pattern is refused: it is too long, repeats a repetition or doesn't compile; empty if it is fine."""
-    if len(pattern) > MOST_PATTERN:
-        return f"pattern longer than {MOST_PATTERN} characters"
-    if _NESTED.search(pattern):
-        return "nested repetition"
-    try:
-        re.compile(pattern)
-    except re.error as error:
-        return f"invalid pattern: {error}"
-    return ""
+def compiled(checks: DataFrame) -> DataFrame:
+    """Checks (``DECLARED``) ready to be run: ``check_id`` tells the checks of one rule apart, ``error`` says what is wrong with one.
 
+    A pattern that is refused, or a check without its patterns, makes the check give ``error`` rows, and the job goes on.
+    """
+    regex = F.startswith("kind", F.lit("regex"))
+    empty = F.array().cast("array<string>")
+    of_when = F.when(F.coalesce("when_pattern", F.lit("")) == "", "").otherwise(pattern_problem(F.col("when_pattern"), F.col("flags")))
+    of_patterns = F.when(regex, F.coalesce(F.get(F.filter(F.transform("patterns", lambda p: pattern_problem(p, F.col("flags"))), lambda why: why != ""), F.lit(0)), F.lit(""))).otherwise("")
+    lacks = F.when((F.col("kind") != "ai_review") & (F.size("patterns") == 0) | (F.col("kind") == "companion_change") & (F.size("trigger_paths") == 0), F.concat("kind", F.lit(" lacks its patterns"))).otherwise("")
+    judged = checks.withColumns({"_when": of_when, "_patterns": of_patterns, "_lacks": lacks})
+    why = F.when(F.col("_when") != "", F.col("_when")).when(F.col("_patterns") != "", F.col("_patterns")).otherwise(F.col("_lacks"))
+    globs = lambda c: F.transform(c, glob_pattern)
+    return judged.select(
+        F.concat_ws("#", "rule_id", F.col("check_no").cast("string")).alias("check_id"), "rule_id", "check_no", "kind",
+        F.when(F.col("_patterns") != "", empty).when(regex, F.transform("patterns", lambda p: java_pattern(p, F.col("flags")))).otherwise(globs("patterns")).alias("patterns"), F.col("patterns").alias("named"), globs("include").alias("include"), globs("exclude").alias("exclude"),
+        F.when((F.col("_when") != "") | (F.coalesce("when_pattern", F.lit("")) == ""), "").otherwise(java_pattern(F.col("when_pattern"), F.col("flags"))).alias("when_pattern"),
+        F.when(F.col("_when") != "", empty).otherwise(F.transform("when_terms", F.lower)).alias("when_terms"), F.transform("triggers", F.lower).alias("triggers"), "severity", "rule_severity", "blocking", "require_all", F.greatest(F.lit(1), "most_findings").alias("most_findings"), "message",
+        globs("trigger_paths").alias("trigger_paths"), "phases", "source", F.coalesce("core", F.lit(False)).alias("core"), F.when(why == "", "").otherwise(F.concat(F.lit("invalid rule: "), why)).alias("error"), (F.col("_when") != "").alias("untimed"),
+    )
 
-def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """The rules as a table: globs become regular expressions and flags a prefix of the patterns.
 
-    A pattern that could backtrack for ever raises ``ValueError``. One that doesn't compile, or a check without patterns,
-    makes the rule give ``error`` rows, and the job goes on.
-    """
-    schema = "rule_id string, kind string, patterns array<string>, include array<string>, exclude array<string>, when_pattern string, when_terms array<string>, triggers array<string>, severity string, blocking boolean, require_all boolean, most_findings int, message string, trigger_paths array<string>, phases array<string>, source string, core boolean, error string"
-    rows = []
+def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """Compiled checks of rules that are written in Python; rules that share an id are its checks, in order."""
+    rows, seen = [], {}
     for r in rules:
-        regex, error = r.kind.startswith("regex"), ""
-        for pattern in (*(r.patterns if regex else ()), r.when_pattern):
-            if (why := unsafe_pattern(pattern)) and not why.startswith("invalid"):
-                raise ValueError(f"{r.rule_id}: {why}")
-        patterns = [java_pattern(p, r.flags) for p in r.patterns] if regex else [glob_regex(p) for p in r.patterns]
-        when = java_pattern(r.when_pattern, r.flags) if r.when_pattern else ""
-        if when and (error := _java_error(spark, when)):
-            when = ""
-        if regex and (bad := next((why for p in patterns if (why := _java_error(spark, p))), "")):
-            patterns, error = [], error or bad
-        if r.kind != "ai_review" and not r.patterns or r.kind == "companion_change" and not r.trigger_paths:
-            error = error or f"{r.kind} lacks its patterns"
-        rows.append((r.rule_id, r.kind, patterns, [glob_regex(g) for g in r.include], [glob_regex(g) for g in r.exclude], when, [t.lower() for t in r.when_terms], [t.lower() for t in r.triggers], r.severity, r.blocking, r.require_all, r.most_findings or 3, r.message, [glob_regex(g) for g in r.trigger_paths], list(r.phases), r.source, r.core, error and f"invalid rule: {error}"))
-    return spark.createDataFrame(rows, schema)
+        seen[r.rule_id] = seen.get(r.rule_id, 0) + 1
+        rows.append((r.rule_id, seen[r.rule_id], r.kind, list(r.patterns), list(r.include), list(r.exclude), r.when_pattern, list(r.when_terms), list(r.triggers), r.severity, r.severity, r.blocking, r.require_all, r.most_findings or 3, r.flags, r.message, list(r.trigger_paths), list(r.phases), r.source, r.core))
+    return compiled(spark.createDataFrame(rows, DECLARED))
 
 
 def _any_path(globs: Column, path: Column) -> Column:
@@ -126,8 +115,8 @@ def applies(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.join(broadcast_if_small(rules, 10_000), included & ~excluded & pattern & terms)
 
 
-def verdicts(files: DataFrame, rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``rule_id, path, kind, status, severity, blocking, n_hits`` and ``keep`` columns of each applicable pair (ai_review: status review)."""
+def _judged(files: DataFrame, rules: DataFrame, keep: list[str]) -> DataFrame:
+    """Every applicable (file, check) with ``status`` and ``n_hits``, and all that is known of the check; companion checks apart."""
     pairs = applies(files, rules.where("kind <> 'companion_change'"))
     content, path = F.col("content"), F.col("_path")
     counts = F.aggregate("patterns", F.lit(0), lambda a, p: a + F.call_function("regexp_count", content, p))
@@ -137,8 +126,13 @@ def verdicts(files: DataFrame, rules: DataFrame, keep: list[str] | None = None)
     ok = F.when(F.col("kind") == "regex_forbid", counts == 0).when(F.col("kind") == "regex_require", required).when(F.col("kind") == "path_allow", allowed).when(F.col("kind") == "path_forbid", ~allowed)
     status = F.when(F.col("error") != "", "error").when(F.col("kind") == "ai_review", "review").when(ok, "pass").otherwise("fail")
     hits = F.when(F.col("kind") == "regex_forbid", F.least(counts, F.col("most_findings"))).otherwise(0)
-    out = pairs.select(*(keep or []), "rule_id", "path", "kind", "severity", F.col("blocking").alias("_b"), status.alias("status"), hits.cast("long").alias("n_hits"))
-    return out.select(*(keep or []), "rule_id", "path", "kind", "severity", "status", "n_hits", blocks(F.col("severity"), F.col("_b"), F.col("status")).alias("blocking"))
+    out = pairs.select(*keep, "check_id", "rule_id", "path", "kind", "severity", F.col("blocking").alias("_b"), status.alias("status"), hits.cast("long").alias("n_hits"), "message", "source", "phases", "error")
+    return out.withColumn("blocking", blocks(F.col("severity"), F.col("_b"), F.col("status"))).drop("_b")
+
+
+def verdicts(files: DataFrame, rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``check_id, rule_id, path, kind, severity, status, n_hits, blocking`` and ``keep`` columns of each applicable pair (ai_review: status review)."""
+    return _judged(files, rules, keep or []).select(*(keep or []), "check_id", "rule_id", "path", "kind", "severity", "status", "n_hits", "blocking")
 
 
 def blocks(severity: Column, explicit: Column, status: Column, severities: tuple[str, ...] = BLOCKING) -> Column:
@@ -153,79 +147,80 @@ def evidence_cut(text: Column, most: int = EVIDENCE) -> Column:
 
 
 def findings(files: DataFrame, rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns and ``rule_id, path, n, line, evidence`` of a forbidden pattern's first matches, counted across the rule's patterns."""
-    kept = keep or []
+    """``keep`` columns and ``check_id, rule_id, path, n, line, evidence`` of a forbidding check's first matches, counted across its patterns."""
+    kept = [*(keep or []), "check_id", "rule_id", "path"]
     pairs = applies(files, rules.where("kind = 'regex_forbid' AND error = ''"))
-    hits = pairs.select(*kept, "rule_id", "path", "content", "most_findings", F.posexplode("patterns").alias("p", "pattern"))
+    hits = pairs.select(*kept, "content", "most_findings", F.posexplode("patterns").alias("p", "pattern"))
     # Group 0 is the whole match, so a pattern's own groups and back-references keep their numbers.
     cut = hits.withColumn("found", F.expr("slice(regexp_extract_all(content, pattern, 0), 1, most_findings)")).where(F.size("found") > 0)
     cut = cut.withColumn("parts", F.expr("split(content, pattern, most_findings + 1)"))
-    each = cut.select(*kept, "rule_id", "path", "p", "most_findings", "parts", "found", F.posexplode("found").alias("i", "evidence"))
+    each = cut.select(*kept, "p", "most_findings", "parts", "found", F.posexplode("found").alias("i", "evidence"))
     before = F.concat(F.array_join(F.expr("slice(parts, 1, i + 1)"), ""), F.array_join(F.expr("slice(found, 1, i)"), ""))
     line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    ordered = each.select(*kept, "rule_id", "path", "p", "i", "most_findings", line.cast("long").alias("line"), evidence_cut(F.col("evidence")).alias("evidence"))
-    grouped = ordered.groupBy(*kept, "rule_id", "path", "most_findings").agg(F.array_sort(F.collect_list(F.struct("p", "i", "line", "evidence"))).alias("all"))
-    return grouped.select(*kept, "rule_id", "path", F.posexplode(F.expr("slice(all, 1, most_findings)")).alias("n", "f")).select(*kept, "rule_id", "path", F.col("n").cast("long").alias("n"), "f.line", "f.evidence")
+    ordered = each.select(*kept, "p", "i", "most_findings", line.cast("long").alias("line"), evidence_cut(F.col("evidence")).alias("evidence"))
+    grouped = ordered.groupBy(*kept, "most_findings").agg(F.array_sort(F.collect_list(F.struct("p", "i", "line", "evidence"))).alias("all"))
+    return grouped.select(*kept, F.posexplode(F.expr("slice(all, 1, most_findings)")).alias("n", "f")).select(*kept, F.col("n").cast("long").alias("n"), "f.line", "f.evidence")
 
 
 def check_files(files: DataFrame, rules: DataFrame, phase: str = "post", fail_closed: bool = True, review_ids: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """All results of all files, ``keep`` columns first: ``rule_id, path, kind, status, severity, blocking, message, line, evidence, source``.
+    """All results of all files, ``keep`` columns first: ``check_id, rule_id, path, kind, status, severity, blocking, message, line, evidence, source``.
 
-    A forbidden pattern gives a row for each finding up to its limit, or one that passes; an invalid rule gives an ``error`` row, which blocks if
-    ``fail_closed``; reviews come in their phases, for the rules in ``review_ids`` (None: all, empty: none).
+    Every check of a rule is judged by itself. A forbidden pattern gives a row for each finding up to its check's limit, or one that passes; an invalid check gives
+    an ``error`` row, which blocks if ``fail_closed``; reviews come in their phases, for the rules in ``review_ids`` (None: all, empty: none).
     """
     kept = keep or []
-    about = rules.select("rule_id", "kind", "message", "source", F.array_contains("phases", phase).alias("_phase"), "error")
-    found = verdicts(files, rules, kept)
     reviewed = F.lit(True) if review_ids is None else F.col("rule_id").isin(review_ids) if review_ids else F.lit(False)
-    named = found.join(broadcast_if_small(about, 10_000), ["rule_id", "kind"]).where((F.col("status") != "review") | (F.col("_phase") & reviewed))
-    places = findings(files, rules, kept).drop("n").withColumn("kind", F.lit("regex_forbid")).withColumn("status", F.lit("fail"))
-    wide = named.join(places, [*kept, "rule_id", "path", "kind", "status"], "left")
+    found = _judged(files, rules, kept).where((F.col("status") != "review") | (F.array_contains("phases", phase) & reviewed))
+    places = findings(files, rules, kept).drop("n", "rule_id").withColumn("status", F.lit("fail"))
+    wide = found.join(places, [*kept, "check_id", "path", "status"], "left")
     message = F.when(F.col("status") == "error", F.col("error")).when(F.col("status") == "pass", "").otherwise(F.col("message"))
     blocking = F.when(F.col("status") == "error", F.lit(fail_closed)).otherwise(F.col("blocking"))
-    return wide.select(*kept, "rule_id", "path", "kind", "status", "severity", blocking.alias("blocking"), message.alias("message"), F.coalesce("line", F.lit(0)).cast("long").alias("line"), F.coalesce("evidence", F.lit("")).alias("evidence"), "source")
+    return wide.select(*kept, "check_id", "rule_id", "path", "kind", "status", "severity", blocking.alias("blocking"), message.alias("message"), F.coalesce("line", F.lit(0)).cast("long").alias("line"), F.coalesce("evidence", F.lit("")).alias("evidence"), "source")
 
 
 def check_change_sets(changes: DataFrame, rules: DataFrame, fail_closed: bool = True) -> DataFrame:
-    """Results of whole change sets (``change_id, path, content``; a path counts once): its files' checks in phase ``stop``, and companion rules.
+    """Results of whole change sets (``change_id, path, content``; a path counts once): its files' checks in phase ``stop``, and companion checks.
 
-    A companion rule that a changed path triggers wants all (or any) of its required paths in the same set. Its row names the first five
-    triggers as evidence. However many rules there are, paths are matched in one pass.
+    A companion check that a changed path triggers wants all (or any) of its required paths in the same set; each check of a rule has its own
+    row, which names the first five triggers as evidence and, if it fails, the patterns that no path meets. However many checks there are, paths are matched in one pass.
     """
     once = changes.groupBy("change_id", normal_path(F.col("path")).alias("path")).agg(F.min("content").alias("content"))
     files = check_files(once, rules, "stop", fail_closed, keep=["change_id"])
     path = F.lower(F.col("path"))
     pairs = once.join(broadcast_if_small(rules.where("kind = 'companion_change' AND error = ''"), 10_000))
-    marked = pairs.select("change_id", "rule_id", "severity", F.col("blocking").alias("_b"), "message", "source", "require_all", F.size("patterns").alias("wanted"), "path", _any_path(F.col("trigger_paths"), path).alias("fires"), F.filter(F.transform("patterns", lambda p, i: F.when(_any_path(F.array(p), path), i)), lambda i: i.isNotNull()).alias("meets"))
+    marked = pairs.select("change_id", "check_id", "path", _any_path(F.col("trigger_paths"), path).alias("fires"), F.filter(F.transform("patterns", lambda p, i: F.when(_any_path(F.array(p), path), i)), lambda i: i.isNotNull()).alias("meets"))
     marked = marked.where("fires OR size(meets) > 0")
-    keys = ["change_id", "rule_id", "severity", "_b", "message", "source", "require_all", "wanted"]
-    rank = F.row_number().over(Window.partitionBy("change_id", "rule_id").orderBy("path"))
-    first = marked.where("fires").select("change_id", "rule_id", "path").withColumn("k", rank).where("k <= 5").groupBy("change_id", "rule_id").agg(F.array_sort(F.collect_list("path")).alias("fired"))
-    met = marked.select(*keys, F.explode_outer("meets").alias("m")).groupBy(*keys).agg(F.count_distinct("m").alias("met"))
-    sets = met.join(first, ["change_id", "rule_id"])
-    status = F.when(F.when(F.col("require_all"), F.col("met") == F.col("wanted")).otherwise(F.col("met") > 0), "pass").otherwise("fail")
+    rank = F.row_number().over(Window.partitionBy("change_id", "check_id").orderBy("path"))
+    first = marked.where("fires").select("change_id", "check_id", "path").withColumn("k", rank).where("k <= 5").groupBy("change_id", "check_id").agg(F.array_sort(F.collect_list("path")).alias("fired"))
+    met = marked.select("change_id", "check_id", F.explode_outer("meets").alias("m")).groupBy("change_id", "check_id").agg(F.collect_set("m").alias("met"))
+    about = rules.select("check_id", "rule_id", "severity", F.col("blocking").alias("_b"), "message", "source", "require_all", "named")
+    sets = met.join(first, ["change_id", "check_id"]).join(broadcast_if_small(about, 10_000), "check_id")
+    status = F.when(F.when(F.col("require_all"), F.size("met") == F.size("named")).otherwise(F.size("met") > 0), "pass").otherwise("fail")
+    missing = F.array_join(F.filter("named", lambda _, i: ~F.array_contains("met", i)), ", ")
+    said = F.when(F.col("status") == "pass", "").otherwise(F.concat(F.col("message"), F.lit("；缺少："), missing))
     held = sets.withColumn("status", status)
-    companions = held.select("change_id", "rule_id", F.get("fired", F.lit(0)).alias("path"), F.lit("companion_change").alias("kind"), "status", "severity", blocks(F.col("severity"), F.col("_b"), F.col("status")).alias("blocking"), F.when(F.col("status") == "pass", "").otherwise(F.col("message")).alias("message"), F.lit(0).cast("long").alias("line"), F.array_join("fired", ", ").alias("evidence"), "source")
+    companions = held.select("change_id", "check_id", "rule_id", F.get("fired", F.lit(0)).alias("path"), F.lit("companion_change").alias("kind"), "status", "severity", blocks(F.col("severity"), F.col("_b"), F.col("status")).alias("blocking"), said.alias("message"), F.lit(0).cast("long").alias("line"), F.array_join("fired", ", ").alias("evidence"), "source")
     broken = rules.where("kind = 'companion_change' AND error <> ''")
-    wrong = once.select("change_id").distinct().join(broadcast_if_small(broken, 10_000)).select("change_id", "rule_id", F.lit("").alias("path"), "kind", F.lit("error").alias("status"), "severity", F.lit(fail_closed).alias("blocking"), F.col("error").alias("message"), F.lit(0).cast("long").alias("line"), F.lit("").alias("evidence"), "source")
+    wrong = once.select("change_id").distinct().join(broadcast_if_small(broken, 10_000)).select("change_id", "check_id", "rule_id", F.lit("").alias("path"), "kind", F.lit("error").alias("status"), "severity", F.lit(fail_closed).alias("blocking"), F.col("error").alias("message"), F.lit(0).cast("long").alias("line"), F.lit("").alias("evidence"), "source")
     return files.unionByName(companions).unionByName(wrong)
 
 
 def applicable(files: DataFrame, rules: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rules worth showing before a file is written: ``path, rule_id, score, rank``.
+    """Rules worth showing before a file is written, each once: ``path, rule_id, score, checkers`` (its applicable kinds), ``rank``.
 
-    1, plus 4 for each trigger in path or content, 3 for a path scope, 3 for a content scope, 2 for a blocker.
-    A rule without any signal (and only reviewed by hand) isn't shown.
+    1, plus 4 for each trigger in path or content, 3 if an applicable check has a path scope, 3 for a content scope, 2 for a blocker.
+    A rule without any signal (and only reviewed by hand) isn't shown; a check whose trigger pattern is invalid doesn't count.
     """
-    pairs = applies(files, rules)
+    pairs = applies(files, rules.where("NOT untimed"))
     hay = F.concat(F.col("_path"), F.lit("\n"), F.lower("content"))
     terms = F.size(F.filter("triggers", lambda t: F.contains(hay, t)))
-    scoped, timed = F.size("include") > 0, (F.col("when_pattern") != "") | (F.size("when_terms") > 0)
-    score = 1 + 4 * terms + 3 * scoped.cast("int") + 3 * timed.cast("int") + 2 * (F.lower("severity") == "blocker").cast("int")
-    shown = pairs.where((terms > 0) | scoped | timed | (F.col("kind") != "ai_review") | F.col("core")).select("path", "rule_id", score.cast("long").alias("score"))
-    ranked = shown.groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "rule_id"))).alias("all"))
+    flags = pairs.select("path", "rule_id", "kind", "core", terms.alias("terms"), (F.size("include") > 0).alias("scoped"), ((F.col("when_pattern") != "") | (F.size("when_terms") > 0)).alias("timed"), (F.lower("rule_severity") == "blocker").alias("heavy"))
+    by_rule = flags.groupBy("path", "rule_id").agg(F.max("terms").alias("terms"), F.bool_or("scoped").alias("scoped"), F.bool_or("timed").alias("timed"), F.bool_or("heavy").alias("heavy"), F.bool_or(F.col("kind") != "ai_review").alias("firm"), F.bool_or("core").alias("core"), F.array_sort(F.collect_set("kind")).alias("checkers"))
+    score = 1 + 4 * F.col("terms") + 3 * F.col("scoped").cast("int") + 3 * F.col("timed").cast("int") + 2 * F.col("heavy").cast("int")
+    shown = by_rule.where("terms > 0 OR scoped OR timed OR firm OR core").select("path", "rule_id", score.cast("long").alias("score"), "checkers")
+    ranked = shown.groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "rule_id", "checkers"))).alias("all"))
     taken = F.slice("all", 1, limit) if limit is not None else F.col("all")
-    return ranked.select("path", F.posexplode(taken).alias("rank", "x")).select("path", "x.rule_id", (-F.col("x.s")).alias("score"), (F.col("rank") + 1).cast("long").alias("rank"))
+    return ranked.select("path", F.posexplode(taken).alias("rank", "x")).select("path", "x.rule_id", (-F.col("x.s")).alias("score"), "x.checkers", (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 def companion_changes(changes: DataFrame, trigger: list[str], required: list[str], require_all: bool = True) -> DataFrame:
