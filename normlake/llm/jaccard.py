@@ -115,13 +115,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes that are at most ``REACH`` places apart in their cell's order by size and may be similar."""
+    """Pairs of nodes that are at most ``REACH`` places apart in their cell's order by size and may be similar, wherever batches end."""
     num, den = LEAST
+    tail = [np.zeros(0, np.int64)] * 3  # the rows before a batch that its first ones can reach
     for batch in batches:
-        key, n, node = (batch.column(i).to_numpy() for i in range(3))
+        key, n, node = (np.concatenate([t, batch.column(i).to_numpy()]) for i, t in enumerate(tail))
+        old = len(tail[0])
         for step in range(1, min(REACH, max(len(key) - 1, 0)) + 1):
-            near = np.flatnonzero((key[step:] == key[:-step]) & (n[step:] * num <= n[:-step] * den))
+            first = max(old - step, 0)  # pairs of rows before this batch came with theirs
+            near = np.flatnonzero((key[first + step :] == key[first:-step]) & (n[first + step :] * num <= n[first:-step] * den)) + first
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[near], node[near + step])), pa.array(np.maximum(node[near], node[near + step]))], ["a", "b"])
+        tail = [key[-REACH:], n[-REACH:], node[-REACH:]]
 
 
 def cell_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicates against all pairs' exact similarities."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -42,3 +43,16 @@ def test_components_are_those_of_all_similar_pairs(spark, most):
     for k, r in roots.items():
         want.setdefault(r, set()).add(k)
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
+
+
+def test_neighbours_are_the_same_wherever_batches_end():
+    random = np.random.default_rng(7)
+    key, n = np.sort(random.integers(0, 9, 60)), random.integers(1, 12, 60)
+    order = np.lexsort((n, key))
+    key, n, node = key[order], n[order], np.arange(60)
+    num, den = jaccard.LEAST
+    want = {(i, j) for i in range(60) for j in range(i + 1, min(i + jaccard.REACH, 59) + 1) if key[i] == key[j] and n[j] * num <= n[i] * den}
+    for size in (1, 2, 3, 7, 59, 10_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (key, n, node)], ["key", "n", "set_id"]) for i in range(0, 60, size)]
+        found = [p for out in jaccard._neighbours(iter(batches)) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        assert len(found) == len(want) and set(found) == want
