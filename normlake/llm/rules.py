@@ -82,11 +82,13 @@ def judge(docs: DataFrame, target: DataFrame, params: RuleParams = RuleParams(),
     columns aren't read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = ratios(rows, target, params).scalar()
-    counted = base_counts(rows, params).select("*", grams(F.col("words"), params.buckets).alias("grams"), table.alias("ratios"))
-    total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get("ratios", b))
+    # ``buckets`` numbers, whatever the table's size: as a constant of the expression they aren't copied onto each row.
+    known = ratios(rows, target, params).select(F.to_json("ratios").alias("r")).first()["r"]
+    table = F.from_json(F.lit(known), "array<double>")
+    counted = base_counts(rows, params).withColumn("grams", grams(F.col("words"), params.buckets))
+    total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
     scored = counted.withColumn("ratio", F.when(F.size("grams") == 0, 0.0).otherwise(total / F.size("grams")))
-    return scored.drop("words", "grams", "ratios").withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= params.threshold))
+    return scored.drop("words", "grams").withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= params.threshold))
 
 
 def target_ids(labels: DataFrame, label: str = "quality", rows: int = RuleParams.target_rows, doc_id: str = "doc_id") -> DataFrame:
