@@ -205,22 +205,23 @@ def check_change_sets(changes: DataFrame, rules: DataFrame, fail_closed: bool =
     return files.unionByName(companions).unionByName(wrong)
 
 
-def applicable(files: DataFrame, rules: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rules worth showing before a file is written, each once: ``path, rule_id, score, checkers`` (its applicable kinds), ``rank``.
+def applicable(files: DataFrame, rules: DataFrame, limit: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Rules worth showing before a file is written, each once: ``keep`` columns, ``path, rule_id, score, checkers`` (its applicable kinds), ``rank``.
 
     1, plus 4 for each trigger in path or content, 3 if an applicable check has a path scope, 3 for a content scope, 2 for a blocker.
     A rule without any signal (and only reviewed by hand) isn't shown; a check whose trigger pattern is invalid doesn't count.
     """
+    of = [*(keep or []), "path"]
     pairs = applies(files, rules.where("NOT untimed"))
     hay = F.concat(F.col("_path"), F.lit("\n"), F.lower("content"))
     terms = F.size(F.filter("triggers", lambda t: F.contains(hay, t)))
-    flags = pairs.select("path", "rule_id", "kind", "core", terms.alias("terms"), (F.size("include") > 0).alias("scoped"), ((F.col("when_pattern") != "") | (F.size("when_terms") > 0)).alias("timed"), (F.lower("rule_severity") == "blocker").alias("heavy"))
-    by_rule = flags.groupBy("path", "rule_id").agg(F.max("terms").alias("terms"), F.bool_or("scoped").alias("scoped"), F.bool_or("timed").alias("timed"), F.bool_or("heavy").alias("heavy"), F.bool_or(F.col("kind") != "ai_review").alias("firm"), F.bool_or("core").alias("core"), F.array_sort(F.collect_set("kind")).alias("checkers"))
+    flags = pairs.select(*of, "rule_id", "kind", "core", terms.alias("terms"), (F.size("include") > 0).alias("scoped"), ((F.col("when_pattern") != "") | (F.size("when_terms") > 0)).alias("timed"), (F.lower("rule_severity") == "blocker").alias("heavy"))
+    by_rule = flags.groupBy(*of, "rule_id").agg(F.max("terms").alias("terms"), F.bool_or("scoped").alias("scoped"), F.bool_or("timed").alias("timed"), F.bool_or("heavy").alias("heavy"), F.bool_or(F.col("kind") != "ai_review").alias("firm"), F.bool_or("core").alias("core"), F.array_sort(F.collect_set("kind")).alias("checkers"))
     score = 1 + 4 * F.col("terms") + 3 * F.col("scoped").cast("int") + 3 * F.col("timed").cast("int") + 2 * F.col("heavy").cast("int")
-    shown = by_rule.where("terms > 0 OR scoped OR timed OR firm OR core").select("path", "rule_id", score.cast("long").alias("score"), "checkers")
-    ranked = shown.groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "rule_id", "checkers"))).alias("all"))
+    shown = by_rule.where("terms > 0 OR scoped OR timed OR firm OR core").select(*of, "rule_id", score.cast("long").alias("score"), "checkers")
+    ranked = shown.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "rule_id", "checkers"))).alias("all"))
     taken = F.slice("all", 1, limit) if limit is not None else F.col("all")
-    return ranked.select("path", F.posexplode(taken).alias("rank", "x")).select("path", "x.rule_id", (-F.col("x.s")).alias("score"), "x.checkers", (F.col("rank") + 1).cast("long").alias("rank"))
+    return ranked.select(*of, F.posexplode(taken).alias("rank", "x")).select(*of, "x.rule_id", (-F.col("x.s")).alias("score"), "x.checkers", (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 def companion_changes(changes: DataFrame, trigger: list[str], required: list[str], require_all: bool = True) -> DataFrame:

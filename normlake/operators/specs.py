@@ -113,7 +113,7 @@ def _spec(item: Column) -> Column:
 def declared(records: DataFrame) -> DataFrame:
     """One row for each check of each record, whatever its status: ``rule_id, check_no`` (from 1), ``kind, spec, r, m``.
 
-    Checks are those that a record declares, else its candidates of a known kind (described by its metadata), else a review unless enforcement is disabled.
+    Checks are those that a record declares, else its candidates of a known kind (described by its metadata), else a review (in no phase if enforcement is disabled).
     """
     rows = _parsed(records)
     item = F.transform("items", lambda x: F.struct(_kind(x).alias("kind"), _spec(x).alias("spec"), (is_a(x, "STRING") | is_a(x, "OBJECT")).alias("usable")))
@@ -121,7 +121,9 @@ def declared(records: DataFrame) -> DataFrame:
     own = F.transform(good, lambda x: F.struct(x["kind"].alias("kind"), x["spec"].alias("spec")))
     candidates = F.when(filled(field(F.col("r"), "enforcement_candidates")), field(F.col("r"), "enforcement_candidates")).otherwise(field(F.col("m"), "enforcement_candidates"))
     named = F.transform(F.filter(F.transform(texts(candidates), F.lower), lambda k: k.isin(*KINDS)), lambda k: F.struct(k.alias("kind"), F.col("m").alias("spec")))
-    review = F.when(filled(field(F.col("m"), "enforcement_disabled")), F.array().cast("array<struct<kind:string,spec:variant>>")).otherwise(F.array(F.struct(F.lit("ai_review").alias("kind"), F.parse_json(F.lit("{}")).alias("spec"))))
+    # A disabled rule is still shown where its triggers stand, but no phase reviews it.
+    asked = F.when(filled(field(F.col("m"), "enforcement_disabled")), F.parse_json(F.lit('{"phases": ["never"]}'))).otherwise(F.parse_json(F.lit("{}")))
+    review = F.array(F.struct(F.lit("ai_review").alias("kind"), asked.alias("spec")))
     found = rows.select("rule_id", "r", "m", own.alias("own"), named.alias("named"), review.alias("review"))
     chosen = F.when(F.size("own") > 0, F.col("own")).when(F.size("named") > 0, F.col("named")).otherwise(F.col("review"))
     return found.select("rule_id", "r", "m", F.posexplode(chosen).alias("p", "c")).select("rule_id", (F.col("p") + 1).alias("check_no"), "c.kind", "c.spec", "r", "m")
@@ -151,9 +153,7 @@ def rules_table(records: DataFrame, block_severities: tuple[str, ...] = ("blocke
 
 def configured(records: DataFrame) -> DataFrame:
     """``rule_id, configured``: whether each record has a check other than a review."""
-    rows = declared(records).select("rule_id", (F.col("kind") != "ai_review").alias("c"))
-    none = _parsed(records).select("rule_id", F.lit(False).alias("c"))  # a record whose enforcement is disabled has no check
-    return rows.unionByName(none).groupBy("rule_id").agg(F.bool_or("c").alias("configured"))
+    return declared(records).groupBy("rule_id").agg(F.bool_or(F.col("kind") != "ai_review").alias("configured"))
 
 
 def draft_errors(records: DataFrame) -> DataFrame:

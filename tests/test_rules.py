@@ -42,7 +42,8 @@ def test_declarations(spark):
     values = spark.createDataFrame([("10",), ('["dotall", "X"]',), ("null",), ('"i"',), ("3.5",)], "j string").select(specs.flag_letters(F.parse_json("j")).alias("f"))
     assert [r["f"] for r in values.collect()] == ["im", "sx", "", "i", "i"]
     kinds = specs.rules_table(table(spark, {"id": "A"}, {"id": "B", "metadata": {"enforcement_disabled": True}}, {"id": "C", "enforcement_candidates": ["path_forbid", "coding_context"], "metadata": {"paths": "p"}}, {"id": "D", "status": "Approved", "check": {"type": "ai_review"}}, {"id": "E", "status": "rejected"}, {"statement": "no id"}))
-    assert {(r["rule_id"], r["kind"], tuple(r["named"])) for r in kinds.collect()} == {("A", "ai_review", ()), ("C", "path_forbid", ("p",)), ("D", "ai_review", ()), ("UNKNOWN-RULE", "ai_review", ())}
+    assert {(r["rule_id"], r["kind"], tuple(r["named"])) for r in kinds.collect()} == {("A", "ai_review", ()), ("B", "ai_review", ()), ("C", "path_forbid", ("p",)), ("D", "ai_review", ()), ("UNKNOWN-RULE", "ai_review", ())}
+    assert {r["rule_id"] for r in checks.check_files(spark.createDataFrame([("a", "")], "path string, content string"), kinds).collect()} == {"A", "C", "D", "UNKNOWN-RULE"}
     assert specs.rules_table(spark.createDataFrame([("nonsense",), ("[1]",), (None,), ("5",)], "record string")).count() == 0
     found = specs.configured(table(spark, record, {"id": "OK"}, {"id": "C", "enforcement_candidates": ["path_forbid", "coding_context"]}, {"id": "B", "metadata": {"enforcement_disabled": True}}))
     assert {r["rule_id"]: r["configured"] for r in found.collect()} == {"R": True, "OK": False, "C": True, "B": False}
