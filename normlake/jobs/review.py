@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_path
 from ..operators import bundles
 from ..operators import review as v
+from ..sources import cache
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +101,23 @@ def cached_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.enriched(keyed, cache.select("key", F.size(words).cast("long").alias("n"), F.element_at(words, 1).alias("first")), _measure, "n long, first string")
 
 
+def _embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A stand-in for a model: four counts of a text as its vector."""
+    for b in batches:
+        yield pd.DataFrame({"key": b["key"], "v": [[float(len(t)), float(t.count(" ")), float(t.count("e")), 1.0] for t in b["text"]]})
+
+
+def written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all texts from a cache that was filled with those of French ones before: the provider is asked for the others alone, once for each text, and never again."""
+    path, docs = shared_path(spark, "cache"), _t(spark, sf_dir, "documents")
+    keyed = docs.select(cache.key_of("embedding-v1", "counts", F.col("text"), 4).alias("key"), "text", "lang")
+    size = F.size("v") == 4
+    cache.filled(keyed.where("lang = 'fr'"), path, _embed, "v array<double>", size, 2)
+    found = cache.filled(keyed, path, _embed, "v array<double>", size, 2).select("key", "v", "cached")
+    again = cache.filled(keyed, path, _embed, "v array<double>", size, 2).select("key", F.col("cached").alias("cached_again"))
+    return found.join(again, "key").select("key", F.element_at("v", 1).alias("n"), F.element_at("v", 2).alias("spaces"), F.element_at("v", 3).alias("es"), "cached", "cached_again")
+
+
 def mirror_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     incoming = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 20).alias("k"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("balance"))
@@ -114,12 +133,14 @@ def multi_field_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "p_brand", "p_type", "p_size")
 
 
-QUERIES = {f.__name__: f for f in (fingerprint_rows, decision_counts, reconcile_decisions, apply_decisions, bundle_fingerprint, cache_hit_miss, mirror_upsert, uniform_dimension, multi_field_filter, rule_view, locked_updates, id_set_problems, status_rollup, cached_enrichment)}
+QUERIES = {f.__name__: f for f in (fingerprint_rows, decision_counts, reconcile_decisions, apply_decisions, bundle_fingerprint, cache_hit_miss, mirror_upsert, uniform_dimension, multi_field_filter, rule_view, locked_updates, id_set_problems, status_rollup, cached_enrichment, written_back)}
 _HASH = "sha256(json_object('lang', lang, 'source', {0}, 'text', text)::varchar)"
 _SHOWN = "sha256(json_object('decision', decision, 'edited', edited, 'notes', '', 'review_hash', review_hash, 'rule_id', rule_id)::varchar)"
 _D = f"""d AS (SELECT doc_id AS rule_id, CASE WHEN toxic = 1 THEN 'modified' WHEN quality = 1 THEN 'approved' ELSE 'pending_review' END AS decision, CASE WHEN toxic = 1 THEN 'edited' END AS edited,
   CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE {_HASH.format('source')} END AS review_hash FROM labels LEFT JOIN documents USING (doc_id))"""
 ORACLES = {
+    "written_back": """SELECT sha256('{"dimensions":4,"model":"counts","purpose":"embedding-v1","text":' || to_json(text)::varchar || '}') AS key, any_value(length(text)::double) AS n, any_value((length(text) - length(replace(text, ' ', '')))::double) AS spaces,
+      any_value((length(text) - length(replace(text, 'e', '')))::double) AS es, bool_or(lang = 'fr') AS cached, true AS cached_again FROM documents GROUP BY 1""",
     "cached_enrichment": "SELECT sha256('model:' || text) AS key, any_value(len(string_split(text, ' '))) AS n, any_value(string_split(text, ' ')[1]) AS first, bool_or(l.doc_id IS NOT NULL) AS cached FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1",
     "fingerprint_rows": f"SELECT doc_id AS rule_id, {_HASH.format('source')} AS hash FROM documents",
     "bundle_fingerprint": f"""WITH r AS (SELECT doc_id AS rule_id, {_HASH.format('source')} AS hash FROM documents), b AS (SELECT substr(hash, 1, 2) AS b, sha256(string_agg(rule_id || ':' || hash, chr(10) ORDER BY rule_id)) AS h, count(*) AS n FROM r GROUP BY 1)
