@@ -141,7 +141,7 @@ def identify(docs: DataFrame, sample: DataFrame, params: LanguageParams = Langua
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ta.parts(batches):
             names, scores = decide(batch.column(len(kept)).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 

@@ -134,7 +134,7 @@ def score(docs: DataFrame, sample: DataFrame, params: QualityParams = QualityPar
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ta.parts(batches):
             texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
             values = probabilities(texts, shared.value)[:, 1] if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], [*kept, "score"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 PAD = 5
@@ -33,6 +34,13 @@ def chunks(texts: list, size: int = CHUNK) -> Iterator[tuple[int, list]]:
         yield first, texts[first:]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of so many rows, so that what is made of a part's texts goes before the next one's is made."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The chunk's code points and each text's first index and end in them."""
     gap = "\n" * PAD
