@@ -62,6 +62,7 @@ def enforcement(statement: Column, code: str = CODE, path: str = PATH, together:
 def trigger_terms(raw: Column) -> Column:
     """Inline code, annotations, dotted names, file names and calls, each once, of 2 to 100 characters."""
     source = F.regexp_replace(raw, r"(?m)^\s*(?:```+|~~~+)[^\n]*$", "")
+    # Inline code; annotations, dotted names and file names; calls.
     patterns = (r"(?<!`)`([^`\n]{1,100})`(?!`)", rf"(?U)(@[A-Z][A-Za-z0-9_]*|\b{NAME}(?:\.{NAME})+\b|\b{NAME}(?:\.java|\.xml|\.yml|\.yaml|\.properties)\b)", rf"(?U)(\b{NAME}(?:\.{NAME})+)\s*\(")
     found = F.concat(*[F.regexp_extract_all(source, F.lit(p), 1) for p in patterns])
     plain = F.transform(found, lambda t: F.when(t.rlike(r"[<\[`*_~>|\s；]"), strip_markup(t)).otherwise(t))

@@ -79,6 +79,7 @@ def shell_write(payload: Column, extensions: tuple[str, ...] = MANAGED) -> Colum
     """Whether a shell command that mentions a managed file type looks like one that writes: by redirection, by name, by call, or by git."""
     command = F.lower(_input(payload, COMMAND_KEYS))
     types = "|".join(re.escape(x.lower()) for x in extensions)
+    # Fixed value: a redirection into a file of a managed type, quoted or not.
     redirected = rf">{{1,2}}\s*(?:\"[^\"]*(?:{types})\"|'[^']*(?:{types})'|[^\s\"']*(?:{types})(?:\s|$))"
     mentions, calls = F.lit(False), F.lit(False)
     for x in extensions:

@@ -102,7 +102,7 @@ ORACLES = {
     "review_requests": """SELECT user_id, count(*) FILTER (s = 'fail') AS failed, count(*) FILTER (s = 'review') AS review, count(*) FILTER (s = 'review' AND (event_id % 3 = 0 OR event_id % 3 = 1 AND event_id % 2 = 1)) AS asked
       FROM (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'pass' WHEN 'view' THEN 'skip' ELSE 'review' END AS s FROM events) GROUP BY user_id""",
     "appended_sequence": "SELECT event_id, seq FROM (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) WHERE ts >= TIMESTAMP '2024-01-16'",
-    "event_counts": "SELECT coalesce(event_type, 'None') AS event, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
+    "event_counts": "SELECT coalesce(event_type, 'unknown') AS event, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
     "latest_by_key": f"WITH {_R} SELECT user_id, arg_max(status, (ts, event_id)) AS status, bool_or(status IN ('fail', 'error')) AS ever_failed, count(*) AS n FROM r GROUP BY user_id",
     "resolved_unresolved": f"""WITH {_R}, l AS (SELECT user_id, checker, arg_max(status, (ts, event_id)) AS status, bool_or(status = 'fail') AS failed FROM r GROUP BY user_id, checker)
       SELECT user_id, checker, status, CASE WHEN status = 'fail' THEN 'unresolved' ELSE 'resolved' END AS state FROM l WHERE status = 'fail' OR (failed AND status IN ('pass', 'skip'))""",

@@ -10,8 +10,8 @@ FAILED, SETTLED = ("fail", "error"), ("pass", "skip")
 
 
 def event_counts(events: DataFrame, event: str, session: str) -> DataFrame:
-    """``event, n, n_users``; a null event counts as ``None``."""
-    return events.groupBy(F.coalesce(F.col(event), F.lit("None")).alias("event")).agg(F.count("*").alias("n"), F.count_distinct(session).alias("n_users"))
+    """``event, n, n_users``; an event without a name counts as ``unknown``."""
+    return events.groupBy(F.coalesce(F.col(event), F.lit("unknown")).alias("event")).agg(F.count("*").alias("n"), F.count_distinct(session).alias("n_users"))
 
 
 def status_counts(events: DataFrame, status: str) -> DataFrame:

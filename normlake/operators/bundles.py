@@ -168,6 +168,7 @@ def context(found: DataFrame, most_chars: int = 12_000) -> DataFrame:
     Each card gets an even share of the budget, from 520 to 3,200 characters; statements and fields that are longer end in an ellipsis, and so
     does the whole if it is still too long. A query has a bounded number of cards.
     """
+    # What the frame takes of the budget, the least and greatest share of a card, of its statement and of each of its fields.
     sized = found.withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
     share = F.least(F.lit(3200), F.greatest(F.lit(520), F.floor(F.lit(max(0, most_chars - 700)) / F.col("_n")))).cast("int")
 
