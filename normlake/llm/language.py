@@ -137,12 +137,13 @@ def identify(docs: DataFrame, sample: DataFrame, params: LanguageParams = Langua
     model = learn(learned["text"].tolist(), learned["lang"].tolist(), params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = keep or ["doc_id"]
-    rows = docs.select(*kept, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
+    sent = kept if text in kept else [*kept, text]  # a text that is kept goes to Python once
+    rows, at = docs.select(*sent), sent.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)]) + ", lang_pred string, score double"
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ta.parts(batches):
-            names, scores = decide(batch.column(len(kept)).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+            names, scores = decide(batch.column(at).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     return rows.mapInArrow(judged, schema)

@@ -130,13 +130,14 @@ def score(docs: DataFrame, sample: DataFrame, params: QualityParams = QualityPar
     model = train(learned["text"].tolist(), learned["y"].astype(int).tolist(), params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = keep or ["doc_id"]
-    rows = docs.select(*kept, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double"
+    sent = kept if text in kept else [*kept, text]  # a text that is kept goes to Python once
+    rows, at = docs.select(*sent), sent.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)]) + ", score double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ta.parts(batches):
-            texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
+            texts = [x or "" for x in batch.column(at).to_pylist()]
             values = probabilities(texts, shared.value)[:, 1] if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(values, pa.float64())], [*kept, "score"])
 
     return rows.mapInArrow(scored, schema)

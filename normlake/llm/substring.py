@@ -163,7 +163,7 @@ def _whole(batch_texts: list[bytes | None]) -> list[bytes]:
 
 def _anchors(docs: DataFrame, width: int) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ta.parts(batches):
             for _, texts in ta.chunks(_whole(batch.column(0).to_pylist())):
                 *_, owner, anchor, _, _ = _passages(texts, width)
                 once = np.unique(anchor ^ ta.mix(owner.astype(np.uint64)), return_index=True)[1]
@@ -237,17 +237,19 @@ def repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, merged = batch.column(0).to_pylist(), {}
-            for doc, route, _, text in _selected(batch, width, *known.value):
-                if (entry := merged.get(text)) is None:
-                    merged[text] = [route, ids[doc], ids[doc]]
-                else:
-                    entry[1], entry[2] = min(entry[1], ids[doc]), max(entry[2], ids[doc])
+            merged: dict[bytes, list[int]] = {}
+            for part in ta.parts(iter([batch])):
+                ids = part.column(0).to_pylist()
+                for doc, route, _, text in _selected(part, width, *known.value):
+                    if (entry := merged.get(text)) is None:
+                        merged[text] = [route, ids[doc], ids[doc]]
+                    else:
+                        entry[1], entry[2] = min(entry[1], ids[doc]), max(entry[2], ids[doc])
             columns = [pa.array([e[0] for e in merged.values()], pa.int64()), pa.array(list(merged), pa.binary()), *(pa.array([e[k] for e in merged.values()], pa.int64()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays(columns, ["route", "text", "low", "high"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ta.parts(batches):
             found = list(zip(*[(doc, route, _signed(text), start) for doc, route, start, text in _selected(batch, width, *known.value)])) or [[], [], [], []]
             at = pa.array(found[0], pa.int64())
             columns = [pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64()), batch.column(0).take(at), batch.column(2).take(at), pa.array(found[3], pa.int32())]
@@ -270,14 +272,15 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), text:
     """
     kept = keep or [doc_id]
     base = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)], F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"), F.xxhash64(text).alias("_th"))
-    joined = base.join(repeats(base, params), ["doc_id", "_th"], "left").select(*[f"_k{i}" for i in range(len(kept))], "_text", "starts")
-    width, n = params.width, len(kept)
+    sent = [f"_k{i}" for i in range(len(kept))] + ["_text"] * (text not in kept)  # a text that is kept is shuffled and goes to Python once
+    joined = base.join(repeats(base, params), ["doc_id", "_th"], "left").select(*sent, "starts")
+    width, n, at = params.width, len(kept), kept.index(text) if text in kept else len(kept)
     fields = [f"`_k{i}` {joined.schema[i].dataType.simpleString()}" for i in range(n)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ta.parts(batches):
             counts, removed, texts = [], [], []
-            for value, starts in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+            for value, starts in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(sent)).to_pylist()):
                 words = (value or b"").split()
                 counts.append(len(words))
                 if starts:

@@ -48,3 +48,19 @@ def test_documents_without_id_stay_once(spark):
     rows = [(None, sentence(1, 60)), (None, sentence(1, 60)), (None, sentence(2, 60)), (7, sentence(2, 60)), (8, sentence(3, 60))]
     found = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == sorted([(0, sentence(1, 60)), (7, sentence(2, 60)), (8, sentence(3, 60))])
+
+
+def test_a_text_goes_to_python_once(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for stage, more in ((corpus_pipeline.quality_stage, 0), (corpus_pipeline.language_stage, 0), (corpus_pipeline.repeats_stage, 1)):
+        plan = stage(spark, docs, folder)._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() != "MapInArrow":
+            plan = plan.children().head()
+        assert plan.children().head().output().size() == len(docs.columns) + more
+
+
+def test_repeats_far_apart_in_one_batch_are_cut(spark):
+    rows = [(i, sentence(i, 20) + (f" {sentence(99_999, 15)}" if i in (10, 1400) else ""), 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1)
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeats_stage(spark, docs, "").collect()}
+    assert len(found) == 1500 and found[1400] == sentence(1400, 20) and found[10] == rows[10][1]
