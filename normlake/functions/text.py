@@ -192,6 +192,13 @@ def glob_pattern(glob: Column) -> Column:
     return F.concat(F.when(F.startswith(whole, F.lit("**/")), "(?s)^(.*/)?").otherwise("(?s)^"), body, F.lit("$"))
 
 
+def ascii_bounds(pattern: str) -> str:
+    r"""``pattern`` with its ``\b`` and ``\B`` spelled out by ``\w``: up to version 18, Java's bounds count letters beyond ASCII as parts of words, SQL's don't."""
+    spelled = {"b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
+    # A backslash and what it escapes are read together, so an escaped backslash before a b stays.
+    return re.sub(r"(?s)\\(.)", lambda m: spelled.get(m[1], m[0]), pattern)
+
+
 def path_matches(path: Column, globs: list[str]) -> Column:
     """Whether a path, or its last part, matches any of the globs; false for none."""
     whole = F.lower(normal_path(path))

@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from normlake.functions.edits import apply_edits
 from normlake.functions.sizes import broadcast_if_small
 from normlake.functions import lexicon as lx
 from normlake.functions import payloads
-from normlake.functions.text import folded, glob_regex, normalised, path_matches, plain_text, postings, strip_markup
+from normlake.functions.text import ascii_bounds, folded, glob_regex, normalised, path_matches, plain_text, postings, strip_markup
 from normlake.functions.text import title as title_of
 from normlake.operators import audit, bundles, checks, extraction, gates, retrieval, review, specs
 from normlake.sources import markdown, records
@@ -114,6 +115,15 @@ def test_evidence_is_by_line(spark):
     assert {r["rule_id"]: r["valid"] for r in found.collect()} == {"R1": False, "R2": True}
 
 
+def test_evidence_has_the_word_bounds_of_sql(spark):
+    rows = [(1, "x laévio"), (2, "x été la"), (3, "x la_"), (4, "x la et"), (5, "x la ét"), (6, "x étéla"), (7, "x d'étéet la"), (8, "xla")]
+    found = audit.evidence(spark.createDataFrame(rows, "message_id long, text string"), spark.createDataFrame([("x",)], "rule_id string"), r"\b(the|la|der)\b", r"\b(and|et|und)\b")
+    duck = duckdb.connect()
+    said = lambda line, pattern: duck.execute("SELECT regexp_matches(?, ?)", [line, pattern]).fetchone()[0]
+    assert {r["message_id"]: r["valid"] for r in found.collect()} == {i: said(t, r"(?i)\b(the|la|der)\b") and not said(t, r"(?i)\b(and|et|und)\b") for i, t in rows}
+    assert [ascii_bounds(p) for p in ("\\\\b", r"\d")] == ["\\\\b", r"\d"]
+
+
 def test_receipt_validity(spark):
     rows = spark.createDataFrame([("ready", 0.0, True), ("ready", 101.0, True), ("denied", 0.0, True), ("ready", -1.0, True), ("authorized", 5.0, False), (None, 5.0, True)], "s string, age double, same boolean")
     valid = audit.receipt_valid(F.col("s"), F.lit(1000.0) - F.col("age"), F.lit(1000.0), 100, F.col("same"))
