@@ -9,6 +9,7 @@ from ..functions.shared import shared_path
 from ..functions.text import TOKEN, normalised, postings
 from ..operators import bundles
 from ..operators import retrieval as r
+from ..operators.vectors import nearest
 
 STOP = ["the", "of", "and", "to", "in", "is", "http", "com", "example", "www", "org", "net", "html"]
 
@@ -71,7 +72,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = r.semantic(*_vectors(spark, sf_dir), -1.0).where("query_id <> doc_id").select("query_id", "doc_id", F.round("sim", 6).alias("score"))
+    found = nearest(*_vectors(spark, sf_dir), 10).select("query_id", "doc_id", F.col("sim").alias("score"))
     return r.top_k(found, 10, floor=0.0)
 
 
