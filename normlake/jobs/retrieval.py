@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_path
 from ..functions.text import TOKEN, normalised, postings
-from ..operators import bundles
+from ..operators import bundles, ranking
 from ..operators import retrieval as r
 from ..operators.vectors import nearest
 
@@ -22,12 +22,26 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.query_terms(_queries(spark, sf_dir), {"query": "query"})
+
+
+def _lexical(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    """Each query's ``limit`` best documents."""
+    return r.top_k(ranking.search(_t(spark, sf_dir, "documents"), _terms(spark, sf_dir), limit).drop("direct"), limit)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.bm25(r.build_index(_t(spark, sf_dir, "documents")), r.query_terms(_queries(spark, sf_dir), {"query": "query"}))
 
 
+def four_places(score: str) -> Column:
+    """``score`` rounded as DuckDB does it, by the product: 70.44415 has 4 digits 70.4441, as its product is 704441.4999; Spark rounds the decimal form."""
+    return (F.round(F.col(score) * 10_000, 0) / 10_000).alias("score")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return df.select("query_id", "doc_id", four_places("score"), "rank")
 
 
 def token_postings_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +61,12 @@ def doc_length_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(r.top_k(_lexical(spark, sf_dir), 5))
+    return _rounded(r.top_k(_pairs(spark, sf_dir), 5))
 
 
 def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     scoped = _t(spark, sf_dir, "documents").where(F.lower("lang").isin("fr", "de")).select("doc_id")
-    return _rounded(r.top_k(_lexical(spark, sf_dir).join(scoped, "doc_id", "left_semi"), 5))
+    return _rounded(r.top_k(_pairs(spark, sf_dir).join(scoped, "doc_id", "left_semi"), 5))
 
 
 def bm25_field_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,16 +101,15 @@ def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(r.top_k(r.blend(_lexical(spark, sf_dir), _similar(spark, sf_dir)), 10))
+    return _rounded(r.top_k(r.blend(_pairs(spark, sf_dir), _similar(spark, sf_dir)), 10))
 
 
 def direct_union_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark passage word for word are direct results, however many."""
-    lexical = _lexical(spark, sf_dir)
-    texts = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    direct = lexical.join(texts, "doc_id").join(_queries(spark, sf_dir), "query_id").where(F.expr("contains(body, query)")).select("query_id", "doc_id", "score")
-    ranked = r.top_k(lexical, 5).select("query_id", "doc_id", "score")
-    return r.direct_first(direct, ranked, 5).select("query_id", "doc_id", F.round("score", 4).alias("score"), "origin", "place")
+    found = ranking.search(_t(spark, sf_dir, "documents"), _terms(spark, sf_dir), 5, passages=_queries(spark, sf_dir))
+    direct = found.where("direct").select("query_id", "doc_id", "score")
+    ranked = r.top_k(found.where("NOT direct"), 5).select("query_id", "doc_id", "score")
+    return r.direct_first(direct, ranked, 5).select("query_id", "doc_id", four_places("score"), "origin", "place")
 
 
 def id_trigger_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +142,7 @@ def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = r.query_terms(queries, {"query": "query", "path": "path"}, STOP)
     ranked = r.top_k(r.score_rules(index, rules, queries, terms), 5, ties=[r.severity_rank(F.col("severity")), "id"])
     shown = r.explain(index, terms, ranked)
-    return shown.select("query_id", "id", F.round("score", 4).alias("score"), "severity", "rank", F.array_join("hits", ",").alias("trigger_hits"), F.array_join("query_matches", ",").alias("query_matches"), F.array_join("path_matches", ",").alias("path_matches"))
+    return shown.select("query_id", "id", four_places("score"), "severity", "rank", F.array_join("hits", ",").alias("trigger_hits"), F.array_join("query_matches", ",").alias("query_matches"), F.array_join("path_matches", ",").alias("path_matches"))
 
 
 def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

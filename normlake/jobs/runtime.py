@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import shared_path
 from ..operators import bundles as b
 from ..operators import runtime
-from .retrieval import _post
+from .retrieval import _post, four_places
 
 LIMIT, SCOPES = 10, ["Company", "department"]
 
@@ -43,7 +43,7 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runtime_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the bundle says about each edit: direct rules, then ranked ones by text and vector, of two scopes."""
     found = runtime.runtime_rules(rule_bundle(spark, sf_dir), edits(spark, sf_dir), LIMIT, SCOPES, probes=64)
-    return found.select("query_id", "rule_id", "direct", F.round("score", 4).alias("score"), F.array_join("checkers", ",").alias("checkers"), "place", F.array_join("hits", ",").alias("hits"), "severity", "category")
+    return found.select("query_id", "rule_id", "direct", four_places("score"), F.array_join("checkers", ",").alias("checkers"), "place", F.array_join("hits", ",").alias("hits"), "severity", "category")
 
 
 QUERIES = {"runtime_search": runtime_search}
