@@ -72,7 +72,7 @@ def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_field_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), "url", "html")
     terms = r.query_terms(_queries(spark, sf_dir).join(pages, "query_id"), {"query": "query", "path": "url", "code": "html"}, STOP)
-    return _rounded(r.top_k(r.bm25(r.build_index(_t(spark, sf_dir, "documents")), terms), 5))
+    return _rounded(r.top_k(ranking.search(_t(spark, sf_dir, "documents"), terms, 5), 5))
 
 
 def low_signal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
