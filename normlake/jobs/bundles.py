@@ -10,7 +10,7 @@ from ..functions.shared import shared_path
 from ..operators import bundles as b
 from ..sources import markdown
 from .extraction import _REQ, _STD, _standards
-from .retrieval import _Q, _SCORED, _STATS, _pairs, r
+from .retrieval import _Q, _SCORED, _STATS, _lexical
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def core_rules_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = r.top_k(_pairs(spark, sf_dir), 5).select("query_id", "doc_id", "rank")
+    ranked = _lexical(spark, sf_dir, 5).select("query_id", "doc_id", "rank")
     cards = ranked.join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return b.within_budget(cards, 6000).select("query_id", "doc_id", "rank", F.col("used").cast("long").alias("used"))
 
