@@ -101,7 +101,7 @@ def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(r.top_k(r.blend(_pairs(spark, sf_dir), _similar(spark, sf_dir)), 10))
+    return _rounded(r.top_k(ranking.blended(_t(spark, sf_dir, "documents"), _terms(spark, sf_dir), _similar(spark, sf_dir), 10), 10))
 
 
 def direct_union_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
