@@ -65,8 +65,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scoped = _t(spark, sf_dir, "documents").where(F.lower("lang").isin("fr", "de")).select("doc_id")
-    return _rounded(r.top_k(_pairs(spark, sf_dir).join(scoped, "doc_id", "left_semi"), 5))
+    found = ranking.search(_t(spark, sf_dir, "documents"), _terms(spark, sf_dir), 5, wanted=F.lower("lang").isin("fr", "de"))
+    return _rounded(r.top_k(found, 5))
 
 
 def bm25_field_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
