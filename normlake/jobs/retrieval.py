@@ -31,10 +31,6 @@ def _lexical(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     return r.top_k(ranking.search(_t(spark, sf_dir, "documents"), _terms(spark, sf_dir), limit).drop("direct"), limit)
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.bm25(r.build_index(_t(spark, sf_dir, "documents")), r.query_terms(_queries(spark, sf_dir), {"query": "query"}))
-
-
 def four_places(score: str) -> Column:
     """``score`` rounded as DuckDB does it, by the product: 70.44415 has 4 digits 70.4441, as its product is 704441.4999; Spark rounds the decimal form."""
     return (F.round(F.col(score) * 10_000, 0) / 10_000).alias("score")
@@ -61,7 +57,7 @@ def doc_length_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(r.top_k(_pairs(spark, sf_dir), 5))
+    return _rounded(_lexical(spark, sf_dir, 5))
 
 
 def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
