@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_path
+from ..functions.shared import shared_path, stored
+from ..functions.sizes import broadcast_if_small
 from ..functions.text import TOKEN, normalised, postings
 from ..operators import bundles, ranking
 from ..operators import retrieval as r
@@ -115,11 +116,11 @@ def id_trigger_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", hits.cast("long").alias("hits"), (r.id_bonus(F.lower("text"), F.col("source")) + hits * r.TRIGGER_BONUS).alias("bonus"))
 
 
-def _rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rule_rows(docs: DataFrame) -> DataFrame:
     """Documents as rules: the id is source and number, title and statement are lines, triggers two words, the severity follows the number."""
     line = F.element_at(F.split("text", "\n"), 1)
     severity = F.when(F.col("doc_id") % 3 == 0, "blocker").when(F.col("doc_id") % 3 == 1, "major").otherwise("advisory")
-    rules = _t(spark, sf_dir, "documents").select(
+    rules = docs.select(
         "doc_id", F.concat_ws("-", "source", "doc_id").alias("id"), F.col("source").alias("original_id"), F.substring(line, 1, 40).alias("title"), F.col("text").alias("statement"), F.col("lang").alias("section"), severity.alias("severity"),
         F.array(F.element_at(F.split(line, "[ .,]"), 1), F.col("lang")).alias("triggers"),
     )
@@ -132,12 +133,13 @@ def _fields() -> dict:
 
 def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scoring: weighted fields, BM25, id and trigger bonuses, severity before id among ties, floor, limit, explanations."""
-    rules, pages = _rule_rows(spark, sf_dir), _t(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("path"), F.lit("").alias("code"))
+    docs, pages = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("path"), F.lit("").alias("code"))
     queries = _queries(spark, sf_dir).join(pages, "query_id")
-    index = r.build_field_index(rules, _fields())
     terms = r.query_terms(queries, {"query": "query", "path": "path"}, STOP)
-    ranked = r.top_k(r.score_rules(index, rules, queries, terms), 5, ties=[r.severity_rank(F.col("severity")), "id"])
-    shown = r.explain(index, terms, ranked)
+    found = ranking.search_rules(_rule_rows(docs), _fields(), queries, terms, 5)
+    few = stored(_rule_rows(docs.join(broadcast_if_small(found.select("doc_id").distinct()), "doc_id", "left_semi")), "few")
+    ranked = r.top_k(found.join(few.select("doc_id", "id", "severity", "triggers"), "doc_id"), 5, ties=[r.severity_rank(F.col("severity")), "id"])
+    shown = r.explain(r.build_field_index(few, _fields()), terms, r.with_hits(ranked, queries))
     return shown.select("query_id", "id", four_places("score"), "severity", "rank", F.array_join("hits", ",").alias("trigger_hits"), F.array_join("query_matches", ",").alias("query_matches"), F.array_join("path_matches", ",").alias("path_matches"))
 
 
