@@ -146,9 +146,9 @@ def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 from an index that is stored once, with its manifest checked, and read back; only the queries' buckets of postings are read."""
     path = shared_path(spark, "index")
-    bundles.write_index(r.build_index(_t(spark, sf_dir, "documents")), path, "v1", "0" * 64)
-    terms = r.query_terms(_queries(spark, sf_dir), {"query": "query"})
-    return _rounded(r.top_k(r.bm25(bundles.read_index(spark, path, "v1", "0" * 64, terms), terms), 5))
+    bundles.write_index(ranking.index_to_store(_t(spark, sf_dir, "documents"), [(F.col("text"), 1)]), path, "v1", "0" * 64)
+    found = ranking.search_index(lambda tokens: bundles.read_index(spark, path, "v1", "0" * 64, tokens), _terms(spark, sf_dir), 5)
+    return _rounded(r.top_k(found, 5))
 
 
 def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

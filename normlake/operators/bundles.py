@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ from ..functions.lexicon import source_label
 from ..sources import snapshots
 from .audit import FAILED, issues
 from .extraction import Lexicon, extract, qualify_ids
-from .retrieval import Index, build_field_index, cosine
+from .ranking import index_to_store
+from .retrieval import FIELD_REPEATS, Index, cosine, of_lengths, of_postings
 from .review import apply_strict, bundle_id, decision_counts, reconcile
 from .specs import draft_errors, rules_table
 
@@ -31,9 +32,14 @@ def write_index(index: Index, path: str, policy_version: str, bundle_id: str, bu
     bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
     dealt = index.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "token")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spark = index.postings.sparkSession
+    if index.ids is not None:  # what follows comes from the stored postings, which are made once
+        index = of_postings(spark.read.parquet(f"{path}/postings").drop("bucket"), index.ids)
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    if index.ids is not None:
+        index = replace(index, totals=of_lengths(index.ids, spark.read.parquet(f"{path}/lengths")))
     index.totals.write.mode("overwrite").parquet(f"{path}/totals")
-    manifest = index.totals.select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(policy_version).alias("policy_version"), F.lit(bundle_id).alias("bundle_id"), F.lit(buckets).alias("buckets"), F.col("n").alias("rule_count"))
+    manifest = spark.read.parquet(f"{path}/totals").select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(policy_version).alias("policy_version"), F.lit(bundle_id).alias("bundle_id"), F.lit(buckets).alias("buckets"), F.col("n").alias("rule_count"))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
@@ -244,7 +250,7 @@ def read_records(rows: DataFrame) -> DataFrame:
 def searchable(rules: DataFrame) -> Index:
     """The index of rules (:func:`read_records`): all that they say, each field counted as often as it weighs."""
     fields = {"id": F.col("rule_id"), "title": F.col("title"), "statement": F.col("statement"), "section": F.concat_ws(" ", "document", "section"), "triggers": F.array_join("triggers", " "), "tags": F.array_join("tags", " "), "category": F.col("category"), "scope": F.col("scope"), "metadata": F.concat_ws("\n", "description", "negative", "positive")}
-    return build_field_index(rules, fields, "rule_id")
+    return index_to_store(rules, [(text, FIELD_REPEATS[name]) for name, text in fields.items()], "rule_id")
 
 
 def prepare(documents: DataFrame, previous: DataFrame | None, decisions: DataFrame | None, path: str, lexicon: Lexicon = Lexicon(), drafts: DataFrame | None = None) -> DataFrame:
