@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import stored
+from ..functions.sizes import is_small
+from . import ranking
 from . import retrieval as r
 from .bundles import Bundle
 from .checks import applicable
@@ -21,16 +24,17 @@ def runtime_rules(bundle: Bundle, queries: DataFrame, limit: int = 20, scopes: l
     texts = queries.select("query_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("query", "path", "code")])
     terms = r.query_terms(texts, {"query": "query", "path": "path", "code": "code"}, stop)
     rules = bundle.rules
-    shown = rules.select(F.col("rule_id").alias("doc_id"), F.col("rule_id").alias("id"), "original_id", "severity", F.coalesce("triggers", F.array().cast("array<string>")).alias("triggers"))
-    scored = r.score_rules(bundle.index(terms), shown, texts, terms).select("query_id", "doc_id", "score", "hits")
+    about = rules.select(F.col("rule_id").alias("doc_id"), F.col("rule_id").alias("id"), "original_id", "severity", F.coalesce("triggers", F.array().cast("array<string>")).alias("triggers"), "scope", "category")
+    wanted = stored(r.in_scope(r.in_scope(about, "scope", scopes), "category", categories), "wanted")  # parsed from the records once
+    similar = None
     if "q" in queries.columns:
         asked = queries.where("q is not null").select("query_id", "q")
         similar = r.semantic(bundle.vectors(asked, probes), asked, least)
-        lexical = scored.select("query_id", "doc_id", "score")
-        scored = r.blend(lexical, similar, weight).join(scored.select("query_id", "doc_id", "hits"), ["query_id", "doc_id"], "left")
-    about = rules.select(F.col("rule_id").alias("doc_id"), "severity", "scope", "category")
-    wanted = r.in_scope(r.in_scope(about, "scope", scopes), "category", categories)
-    ranked = r.top_k(scored.join(wanted.select("doc_id", "severity"), "doc_id"), limit, ties=[r.severity_rank(F.col("severity")), "doc_id"])
+    found = ranking.search_bundle(bundle.index, wanted, texts, terms, max(1, limit), similar, weight)
+    few = F.broadcast(found) if is_small(found) else found
+    chosen = wanted.select("doc_id", "severity", "triggers").join(few, "doc_id")
+    ranked = r.with_hits(r.top_k(chosen, limit, ties=[r.severity_rank(F.col("severity")), "doc_id"]), texts)
+    ranked = ranked.withColumn("hits", F.when(F.col("held"), F.col("hits")))
     ranked = ranked.select("query_id", F.col("doc_id").alias("rule_id"), "score", F.col("rank").alias("_ranked"), "hits")
     files = texts.select("query_id", "path", F.concat_ws("\n", "query", "code").alias("content"))
     direct = applicable(files, bundle.checks, keep=["query_id"]).select("query_id", "rule_id", "checkers", F.col("rank").alias("_direct"))
