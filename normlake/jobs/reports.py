@@ -34,7 +34,7 @@ def merged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "summaries")
     session_events(spark, sf_dir).repartitionByRange(5, "timestamp", "event_id").write.parquet(f"{out}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    summaries.summaries_as_they_come(stream, f"{out}/kept", f"{out}/state", fan=2, buckets=4).awaitTermination()
+    summaries.summaries_as_they_come(stream, f"{out}/kept", f"{out}/state", fan=2, buckets=4, reports=False).awaitTermination()
     return summaries.latest(spark, f"{out}/kept")
 
 

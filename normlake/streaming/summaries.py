@@ -54,8 +54,11 @@ def _store(rows: DataFrame, place: str) -> None:
     rows.repartition("bucket").sortWithinPartitions("bucket", "session_id").write.mode("overwrite").partitionBy("bucket").parquet(place)
 
 
-def take_batch(batch: DataFrame, number: int, path: str, fan: int = 8, buckets: int = 64) -> None:
-    """Store one micro-batch's facts, merge runs that are due, and write the summaries and reports of its sessions."""
+def take_batch(batch: DataFrame, number: int, path: str, fan: int = 8, buckets: int = 64, reports: bool = True) -> None:
+    """Store one micro-batch's facts, merge runs that are due, and write the summaries and, unless only these are wanted, the reports of its sessions.
+
+    Without ``reports`` the events' own lines, which no summary counts, are stored like all facts but not read again.
+    """
     spark = batch.sparkSession
     for _, old in replaced(number - 1, fan):
         for run in old:
@@ -70,16 +73,18 @@ def take_batch(batch: DataFrame, number: int, path: str, fan: int = 8, buckets:
     places = sorted(r["bucket"] for r in touched.select("bucket").distinct().collect())  # at most ``buckets``
     wanted = touched.select(F.col("session_id").alias("_s"))
     held = read_facts(spark, path, current_runs(number + 1, fan), places)
+    held = held if reports else held.where("kind <> 'line'")
     own_state = f"{path}/touched"  # of this batch alone; read several times below
     merge(held.join(wanted, F.col("session_id").eqNullSafe(F.col("_s")), "left_semi")).write.mode("overwrite").parquet(own_state)
     merged = spark.read.schema(SCHEMA).parquet(own_state)
     summary(merged).write.mode("overwrite").parquet(f"{path}/summaries/batch={number}")
-    report_lines(merged).repartition("session_id").sortWithinPartitions("session_id", "section", "place").write.mode("overwrite").parquet(f"{path}/reports/batch={number}")
+    if reports:
+        report_lines(merged).repartition("session_id").sortWithinPartitions("session_id", "section", "place").write.mode("overwrite").parquet(f"{path}/reports/batch={number}")
 
 
-def summaries_as_they_come(events: DataFrame, path: str, checkpoint: str, fan: int = 8, buckets: int = 64) -> StreamingQuery:
+def summaries_as_they_come(events: DataFrame, path: str, checkpoint: str, fan: int = 8, buckets: int = 64, reports: bool = True) -> StreamingQuery:
     """Keep ``path`` up to date with a stream of events, until all that is there has been read."""
-    return events.writeStream.foreachBatch(lambda batch, number: take_batch(batch, number, path, fan, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(lambda batch, number: take_batch(batch, number, path, fan, buckets, reports)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, path: str, name: str = "summaries") -> DataFrame:

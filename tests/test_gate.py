@@ -175,3 +175,15 @@ def test_a_batch_reads_its_own_sessions_alone(spark, tmp_path):
         summaries.take_batch(spark.createDataFrame([event(n + 1, f"s{n}")], EVENT), n, str(tmp_path), fan=8, buckets=50)
         assert [r["session_id"] for r in spark.read.parquet(f"{tmp_path}/summaries/batch={n}").collect()] == [f"s{n}"]
         assert spark.read.parquet(f"{tmp_path}/touched").select("session_id").distinct().count() == 1
+
+
+def test_summaries_alone_are_the_same_and_all_facts_are_kept(spark, tmp_path):
+    event = lambda i, s: (1, str(i), f"2024-01-{i:02d}", s, "post_write_check", "p", None, None, "completed", ["R"], None)
+    events = [[event(1, "a"), event(2, "b")], [event(3, "a")]]
+    for place, reports in (("all", True), ("short", False)):
+        for n, batch in enumerate(events):
+            summaries.take_batch(spark.createDataFrame(batch, EVENT), n, f"{tmp_path}/{place}", fan=2, buckets=2, reports=reports)
+    found = [sorted(map(str, summaries.latest(spark, f"{tmp_path}/{p}").collect())) for p in ("all", "short")]
+    assert found[0] == found[1] and not (tmp_path / "short" / "reports").exists()
+    assert spark.read.parquet(f"{tmp_path}/short/facts/level=1").where("kind = 'line'").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/short/touched").where("kind = 'line'").count() == 0
